@@ -26,11 +26,16 @@ NO_STORE = "N/A"
 
 
 def total_in(traffic: Traffic, request: Request) -> DataFrame:
-    return _sums(traffic, request).select("total_in")
+    sums = _sums(traffic, business_days(traffic, request), request, ins=F.col("in_count"))
+    return sums.select(F.coalesce("ins", F.lit(0)).alias("total_in"))
 
 
 def occupancy(traffic: Traffic, request: Request) -> DataFrame:
-    return _sums(traffic, request).select("current_occupancy")
+    """Visitors in minus visitors out; negative if more were seen leaving."""
+    rows = business_days(traffic, request)
+    sums = _sums(traffic, rows, request, ins=F.col("in_count"), outs=F.col("out_count"))
+    inside = F.coalesce(F.col("ins") - F.col("outs"), F.lit(0))
+    return sums.select(inside.alias("current_occupancy"))
 
 
 def average_in(traffic: Traffic, request: Request) -> DataFrame:
@@ -61,29 +66,28 @@ def busiest_store(traffic: Traffic, request: Request) -> DataFrame:
 def previous_total(traffic: Traffic, request: Request) -> DataFrame:
     """Visitors of the same dates one period earlier; 0 if there were none."""
     window = previous_window(request, traffic.rules)
-    if window is None:
-        rows = traffic.counts.filter(F.lit(False))
-    else:
-        rows = in_window(traffic.counts, window)
-    return _filtered_sum(traffic, rows, request, {"prev_total": F.col("in_count")})
+    rows = traffic.counts.filter(F.lit(False)) if window is None else in_window(traffic.counts, window)
+    sums = _sums(traffic, rows, request, ins=F.col("in_count"))
+    return sums.select(F.coalesce("ins", F.lit(0)).alias("prev_total"))
 
 
 def growth(traffic: Traffic, request: Request) -> DataFrame:
     """Both totals in one scan, and the change from the previous one."""
     now = window_of(request, traffic.rules)
     before = previous_window(request, traffic.rules)
-    rows = in_either_window(traffic.counts, now, before)
-    sums = _filtered_sum(
+    count = F.col("in_count")
+    sums = _sums(
         traffic,
-        rows,
+        in_either_window(traffic.counts, now, before),
         request,
-        {
-            "total_in": _counted(F.col("in_count"), now),
-            "prev_total": _counted(F.col("in_count"), before),
-        },
+        ins=_counted(count, now),
+        ins_before=_counted(count, before),
+    )
+    return sums.select(
+        F.coalesce("ins", F.lit(0)).alias("total_in"),
+        F.coalesce("ins_before", F.lit(0)).alias("prev_total"),
+        _growth(F.col("ins"), F.col("ins_before")).alias("growth"),
     )
-    change = growth_percent(F.col("total_in"), F.col("prev_total"))
-    return sums.select("total_in", "prev_total", change.alias("growth"))
 
 
 def metrics(traffic: Traffic, request: Request) -> DataFrame:
@@ -126,14 +130,14 @@ def metrics(traffic: Traffic, request: Request) -> DataFrame:
     )
     empty = F.col("total").isNull()
     peak = label(clock_time(F.col("peak"), traffic.rules), request.peak_label)
-    change = growth_percent(F.col("total"), F.coalesce("total_before", F.lit(0)))
+    change = _growth(F.col("total"), F.col("total_before"))
     return summary.select(
         F.coalesce("total", F.lit(0)).alias("total_in"),
         nearest_whole(F.coalesce("mean", F.lit(0.0))).alias("average_in"),
         F.coalesce(peak, F.lit(NO_PEAK)).alias("peak_time"),
         F.coalesce(F.col("total") - F.col("total_out"), F.lit(0)).alias("current_occupancy"),
         F.when(empty, F.lit(NO_STORE)).otherwise(short_name(F.col("busiest"))).alias("busiest_store"),
-        F.when(empty, F.lit(0.0)).otherwise(change).alias("growth"),
+        change.alias("growth"),
     )
 
 
@@ -153,23 +157,18 @@ def _counted(count: Column, window) -> Column:
     return F.when(window.contains(F.col("record_time")), count)
 
 
-def _sums(traffic: Traffic, request: Request) -> DataFrame:
-    ins, outs = F.col("in_count"), F.col("out_count")
-    sums = _filtered_sum(
-        traffic, business_days(traffic, request), request, {"total_in": ins, "total_out": outs}
-    )
-    return sums.withColumn("current_occupancy", F.col("total_in") - F.col("total_out"))
+def _growth(current: Column, previous: Column) -> Column:
+    """No rows now means no change, whatever there was before."""
+    change = growth_percent(current, F.coalesce(previous, F.lit(0)))
+    return F.when(current.isNull(), F.lit(0.0)).otherwise(change)
 
 
-def _filtered_sum(
-    traffic: Traffic, rows: DataFrame, request: Request, values: dict[str, Column]
-) -> DataFrame:
-    """One row of sums, 0 where nothing was counted."""
-    sums = [F.sum(value).alias(name) for name, value in values.items()]
+def _sums(traffic: Traffic, rows: DataFrame, request: Request, **values: Column) -> DataFrame:
+    """One row of sums, NULL where no row was counted."""
     if request.store != ALL_STORES:
-        rows = prefilter_store(traffic, rows, request).groupBy("store_id").agg(*sums)
+        rows = prefilter_store(traffic, rows, request).groupBy("store_id").agg(
+            *[F.sum(value).alias(name) for name, value in values.items()]
+        )
         rows = with_store_names(traffic, rows, request)
         values = {name: F.col(name) for name in values}
-    return rows.agg(
-        *[F.coalesce(F.sum(value), F.lit(0)).alias(name) for name, value in values.items()]
-    )
+    return rows.agg(*[F.sum(value).alias(name) for name, value in values.items()])
