@@ -2,8 +2,9 @@
 
 ``round`` rescales and then rounds the product, so a value that lies just beside
 a tie can fall to the wrong side of it. Here the product with 10 or 100 is split
-into parts that are exact, added with the rounding error kept (TwoSum), and the
-error decides the ties.
+into parts that are exact, added with the rounding error kept, and the error
+decides the ties. The value appears many times in the expression: pass a column
+that is already computed, not a long expression.
 """
 
 from __future__ import annotations
@@ -12,20 +13,19 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
-def _two_sum(a: Column, b: Column) -> tuple[Column, Column]:
-    """``a + b`` as a double, and the part the double lost."""
-    total = a + b
-    b_kept = total - a
-    return total, (a - (total - b_kept)) + (b - b_kept)
+def _sum_with_error(larger: Column, smaller: Column) -> tuple[Column, Column]:
+    """The sum as a double, and the part the double lost."""
+    total = larger + smaller
+    return total, smaller - (total - larger)
 
 
 def _scaled(value: Column, digits: int) -> tuple[Column, Column]:
     """``value * 10**digits`` as a double and its error; products by 2**n are exact."""
     if digits == 1:
-        return _two_sum(value * 8.0, value * 2.0)
+        return _sum_with_error(value * 8.0, value * 2.0)
     if digits == 2:
-        low, low_error = _two_sum(value * 32.0, value * 4.0)
-        high, high_error = _two_sum(value * 64.0, low)
+        low, low_error = _sum_with_error(value * 32.0, value * 4.0)
+        high, high_error = _sum_with_error(value * 64.0, low)
         return high, low_error + high_error
     raise ValueError("digits must be 1 or 2")
 
@@ -68,11 +68,20 @@ def nearest_whole(value: Column) -> Column:
     return F.rint(value).cast("bigint")
 
 
-def growth_percent(current: Column, previous: Column) -> Column:
-    """Change in percent, one decimal; 100 from nothing, 0 if both are nothing."""
-    ratio = (current - previous).cast("double") / F.nullif(previous, F.lit(0)).cast("double")
+def percent_change(current: Column, previous: Column) -> Column:
+    """The unrounded change in percent; NULL where there was nothing before."""
+    before = F.nullif(previous, F.lit(0)).cast("double")
+    return (current - previous).cast("double") / before * 100.0
+
+
+def growth(current: Column, previous: Column, change: Column) -> Column:
+    """``change``, the percent change, to one decimal; 100 from nothing to some.
+
+    No rows now (NULL) means no change, whatever there was before.
+    """
     return (
-        F.when(previous > 0, round_exact(ratio * 100.0))
+        F.when(current.isNull(), F.lit(0.0))
+        .when(previous > 0, round_exact(change))
         .when(current > 0, F.lit(100.0))
         .otherwise(F.lit(0.0))
     )

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from doorflux.functions import rounding
 from doorflux.functions.periods import ALL_STORES, Request, label
-from doorflux.functions.rounding import growth_percent, nearest_whole
+from doorflux.functions.rounding import nearest_whole
 from doorflux.operators.buckets import bucket_totals, business_bucket
 from doorflux.operators.filters import (
     business_days,
@@ -83,10 +84,9 @@ def growth(traffic: Traffic, request: Request) -> DataFrame:
         ins=_counted(count, now),
         ins_before=_counted(count, before),
     )
-    return sums.select(
-        F.coalesce("ins", F.lit(0)).alias("total_in"),
-        F.coalesce("ins_before", F.lit(0)).alias("prev_total"),
-        _growth(F.col("ins"), F.col("ins_before")).alias("growth"),
+    figures = sums.select("ins", F.coalesce("ins_before", F.lit(0)).alias("prev_total"))
+    return _with_growth(figures, "ins", "prev_total").select(
+        F.coalesce("ins", F.lit(0)).alias("total_in"), "prev_total", "growth"
     )
 
 
@@ -128,16 +128,16 @@ def metrics(traffic: Traffic, request: Request) -> DataFrame:
         largest(F.col("period_start"), F.col("ins"), of_bucket & of_now).alias("peak"),
         largest(F.col("store_name"), F.col("ins"), of_store & of_now).alias("busiest"),
     )
+    summary = summary.fillna(0, subset=["total_before"])
     empty = F.col("total").isNull()
     peak = label(clock_time(F.col("peak"), traffic.rules), request.peak_label)
-    change = _growth(F.col("total"), F.col("total_before"))
-    return summary.select(
+    return _with_growth(summary, "total", "total_before").select(
         F.coalesce("total", F.lit(0)).alias("total_in"),
         nearest_whole(F.coalesce("mean", F.lit(0.0))).alias("average_in"),
         F.coalesce(peak, F.lit(NO_PEAK)).alias("peak_time"),
         F.coalesce(F.col("total") - F.col("total_out"), F.lit(0)).alias("current_occupancy"),
         F.when(empty, F.lit(NO_STORE)).otherwise(short_name(F.col("busiest"))).alias("busiest_store"),
-        change.alias("growth"),
+        "growth",
     )
 
 
@@ -157,10 +157,10 @@ def _counted(count: Column, window) -> Column:
     return F.when(window.contains(F.col("record_time")), count)
 
 
-def _growth(current: Column, previous: Column) -> Column:
-    """No rows now means no change, whatever there was before."""
-    change = growth_percent(current, F.coalesce(previous, F.lit(0)))
-    return F.when(current.isNull(), F.lit(0.0)).otherwise(change)
+def _with_growth(figures: DataFrame, current: str, previous: str) -> DataFrame:
+    now, before = F.col(current), F.col(previous)
+    changed = figures.withColumn("change", rounding.percent_change(now, before))
+    return changed.withColumn("growth", rounding.growth(now, before, F.col("change")))
 
 
 def _sums(traffic: Traffic, rows: DataFrame, request: Request, **values: Column) -> DataFrame:

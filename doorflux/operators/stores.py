@@ -40,8 +40,9 @@ def store_share(traffic: Traffic, request: Request) -> DataFrame:
     totals = store_totals(traffic, request)
     whole = totals.agg(F.sum("y")).scalar()
     percent = F.col("y").cast("double") * 100.0 / F.nullif(whole, F.lit(0)).cast("double")
-    return totals.select(
-        "x", "y", F.coalesce(round_exact(percent, ties="up"), F.lit(0.0)).alias("share_pct")
+    share = F.coalesce(round_exact(F.col("percent"), ties="up"), F.lit(0.0))
+    return totals.select("x", "y", percent.alias("percent")).select(
+        "x", "y", share.alias("share_pct")
     )
 
 

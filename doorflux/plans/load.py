@@ -21,7 +21,7 @@ from doorflux.config import (
 from doorflux.functions.periods import ntz
 from doorflux.operators.clean import clean, keep_source_time
 from doorflux.operators.quality import contract_for, flag
-from doorflux.plans.warehouse import Commit, Load, Warehouse
+from doorflux.plans.warehouse import Commit, History, Load, Warehouse
 from doorflux.sources.scan import extract
 
 logger = logging.getLogger(__name__)
@@ -73,12 +73,13 @@ def load_table(
     extract compares source times. Rows older than the mark are not seen again
     unless a ``lookback`` is given; then rows already published are left out.
     """
-    mark = warehouse.mark(spec)
+    history = warehouse.history(spec.dest_table)
+    mark = history.mark
     rows = extract(source, spec, mark, lookback)
     if spec.incremental and lookback is not None and mark != DEFAULT_MARK:
         rows = _unpublished(warehouse, spec, rows, offsets, mark, lookback)
     return write_and_publish(
-        warehouse, spec, rows, warehouse.next_load_id(spec), offsets, rules, rebalance
+        warehouse, spec, rows, history.next_load_id, history, offsets, rules, rebalance
     )
 
 
@@ -87,6 +88,7 @@ def write_and_publish(
     spec: TableSpec,
     rows: DataFrame,
     load_id: str,
+    history: History,
     offsets: Offsets = DEFAULT_OFFSETS,
     rules: BusinessRules = DEFAULT_RULES,
     rebalance: bool = True,
@@ -94,7 +96,7 @@ def write_and_publish(
     load = warehouse.write_load(prepare(rows, spec, offsets), spec, load_id, rebalance)
     if spec.dest_table == "fact_traffic" and load.rows:
         warehouse.write_rollup(load, rules)
-    return Loaded(spec, load, warehouse.publish(spec, load))
+    return Loaded(spec, load, warehouse.publish(spec, load, history))
 
 
 def _unpublished(

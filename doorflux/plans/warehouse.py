@@ -17,7 +17,6 @@ from __future__ import annotations
 from collections.abc import Iterable
 from dataclasses import dataclass
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
@@ -31,7 +30,7 @@ from doorflux.operators.quality import (
     is_accepted,
 )
 
-_COMMIT = "v int, loads array<string>, rows bigint, rejected bigint, mark string"
+_COMMIT = "loads array<string>, rows bigint, rejected bigint, mark string"
 _FAILURES_DDL = f"{FAILURES} array<struct<column:string,check:string,failure_case:string>>"
 _ROLLUP = "record_time timestamp_ntz, store_id bigint, in_count bigint, out_count bigint, year int, month int"
 ROLLUP_TABLE = "traffic_hourly"
@@ -48,6 +47,22 @@ class Commit:
     mark: str | None = None
 
 
+@dataclass(frozen=True)
+class History:
+    """The published version, and the newest version number ever used."""
+
+    current: Commit = Commit()
+    newest: int = 0
+
+    @property
+    def mark(self) -> str:
+        return self.current.mark or DEFAULT_MARK
+
+    @property
+    def next_load_id(self) -> str:
+        return f"L{self.newest + 1:08d}"
+
+
 @dataclass(frozen=True)
 class Load:
     """What one load wrote, counted while it was written."""
@@ -107,27 +122,32 @@ class Warehouse:
             "year", "month"
         ).parquet(path)
 
-    def publish(self, spec: TableSpec, load: Load) -> Commit:
+    def publish(self, spec: TableSpec, load: Load, history: History | None = None) -> Commit:
         """Make a load visible; nothing happens if it holds no good row.
 
         A full load replaces what was published, an incremental one adds to it.
         """
-        current = self.commit(spec.dest_table)
+        history = self.history(spec.dest_table) if history is None else history
+        current = history.current
         if load.rows == 0 or load.load_id in current.loads:
             return current
         earlier = current.loads if spec.incremental else ()
         marks = [mark for mark in (current.mark, load.mark) if mark]
         commit = Commit(
-            version=self._newest_version(spec.dest_table) + 1,
+            version=history.newest + 1,
             loads=(*earlier, load.load_id),
             rows=load.rows,
             rejected=load.rejected,
             mark=max(marks) if spec.incremental and marks else None,
         )
-        row = (list(commit.loads), commit.rows, commit.rejected, commit.mark)
-        self.spark.createDataFrame([row], _COMMIT.partition(", ")[2]).coalesce(1).write.mode(
-            "overwrite"
-        ).json(f"{self._commits(spec.dest_table)}/v={commit.version}")
+        record = self.spark.range(1, numPartitions=1).select(
+            F.array(*map(F.lit, commit.loads)).alias("loads"),
+            F.lit(commit.rows).alias("rows"),
+            F.lit(commit.rejected).alias("rejected"),
+            F.lit(commit.mark).cast("string").alias("mark"),
+        )
+        path = f"{self._commits(spec.dest_table)}/v={commit.version}"
+        record.write.mode("overwrite").json(path)
         return commit
 
     def publish_to_catalog(self, spec: TableSpec, analyze: bool = True) -> None:
@@ -179,19 +199,28 @@ class Warehouse:
         """The rows of every load that broke the contract, with their failures."""
         return self._read_all(name).filter(F.col("outcome") == "rejected").drop("outcome")
 
+    def history(self, name: str) -> History:
+        """The state of a table; an unreadable or missing record counts as none."""
+        path = self._commits(name)
+        if not path_exists(self.spark, path):
+            return History()
+        records = self.spark.read.schema(f"v int, {_COMMIT}").json(path)
+        readable = F.when(F.col("loads").isNotNull(), F.col("v"))
+        state = records.agg(
+            F.max("v").alias("newest"), F.max_by(F.struct("*"), readable).alias("current")
+        ).first()
+        found = state.current
+        if found is None:
+            return History(newest=state.newest or 0)
+        current = Commit(found.v, tuple(found.loads), found.rows, found.rejected, found.mark)
+        return History(current, state.newest)
+
     def commit(self, name: str) -> Commit:
-        """The published version; an unreadable or missing record counts as none."""
-        rows = self._commit_rows(name)
-        if rows is None:
-            return Commit()
-        newest = rows.filter(F.col("loads").isNotNull()).orderBy(F.desc("v")).limit(1).collect()
-        if not newest:
-            return Commit()
-        row = newest[0]
-        return Commit(row.v, tuple(row.loads), row.rows, row.rejected, row.mark)
+        """The published version."""
+        return self.history(name).current
 
     def mark(self, spec: TableSpec) -> str:
-        return self.commit(spec.dest_table).mark or DEFAULT_MARK
+        return self.history(spec.dest_table).mark
 
     def marks(self, specs: Iterable[TableSpec]) -> DataFrame:
         """The high-water mark of each incremental table."""
@@ -212,9 +241,6 @@ class Warehouse:
             self.table(name).createOrReplaceTempView(name)
         register_view(self.table("fact_traffic"), self.table("dim_stores"), rules)
 
-    def next_load_id(self, spec: TableSpec) -> str:
-        return f"L{self._newest_version(spec.dest_table) + 1:08d}"
-
     # -- helpers ---------------------------------------------------------------
 
     def _data(self, name: str) -> str:
@@ -223,19 +249,6 @@ class Warehouse:
     def _commits(self, name: str) -> str:
         return f"{self.root}/{name}/commits"
 
-    def _newest_version(self, name: str) -> int:
-        rows = self._commit_rows(name)
-        newest = None if rows is None else rows.agg(F.max("v")).first()[0]
-        return newest or 0
-
-    def _commit_rows(self, name: str) -> DataFrame | None:
-        try:
-            return self.spark.read.schema(_COMMIT).json(self._commits(name))
-        except AnalysisException as error:
-            if error.getCondition() != "PATH_NOT_FOUND":
-                raise
-            return None
-
     def _schema(self, name: str) -> str:
         return f"{CONTRACTS[name].ddl}, {_FAILURES_DDL}, load_id string, outcome string"
 
@@ -250,9 +263,12 @@ class Warehouse:
         return reader.parquet(*paths).filter(F.col("outcome") == "accepted").select(*contract.names)
 
     def _read_all(self, name: str) -> DataFrame:
-        try:
-            return self.spark.read.schema(self._schema(name)).parquet(self._data(name))
-        except AnalysisException as error:
-            if error.getCondition() != "PATH_NOT_FOUND":
-                raise
+        if not path_exists(self.spark, self._data(name)):
             return self.spark.createDataFrame([], self._schema(name))
+        return self.spark.read.schema(self._schema(name)).parquet(self._data(name))
+
+
+def path_exists(spark: SparkSession, path: str) -> bool:
+    """Whether a path exists, on whatever file system it names."""
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(target)

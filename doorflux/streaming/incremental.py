@@ -46,9 +46,10 @@ def stream_load(
 
     def load(batch: DataFrame, number: int) -> None:
         load_id = f"S{number:08d}"
-        if load_id in warehouse.commit(spec.dest_table).loads:
+        history = warehouse.history(spec.dest_table)
+        if load_id in history.current.loads:
             return  # published before a failure kept the checkpoint from noting it
-        done = write_and_publish(warehouse, spec, batch, load_id, offsets, rules)
+        done = write_and_publish(warehouse, spec, batch, load_id, history, offsets, rules)
         if on_loaded is not None:
             on_loaded(done)
 

@@ -730,13 +730,10 @@ def late_rows_lookback(spark, sf_dir):
     return _late_load(spark, sf_dir, "60 days")
 
 
-EVENTS_SCHEMA = "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string"
-
-
 @registered("stream_incremental", LOADED_TRAFFIC)
 def stream_incremental(spark, sf_dir):
     target = warehouse_for(spark, "stream")
-    events = landing_stream(target, sf_dir, EVENTS_SCHEMA, "events.parquet")
+    events = landing_stream(target, sf_dir, fx.SCHEMAS["events"], "events.parquet")
     raw = events.select(
         F.col("ts").alias("recordtime"),
         F.floor("value").cast("int").alias("in_num"),
