@@ -34,6 +34,7 @@ _COMMIT = "loads array<string>, rows bigint, rejected bigint, mark string"
 _FAILURES_DDL = f"{FAILURES} array<struct<column:string,check:string,failure_case:string>>"
 _ROLLUP = "record_time timestamp_ntz, store_id bigint, in_count bigint, out_count bigint, year int, month int"
 ROLLUP_TABLE = "traffic_hourly"
+_KEPT = "outcome = 'accepted'"
 
 
 @dataclass(frozen=True)
@@ -177,7 +178,8 @@ class Warehouse:
             newest = f"PARTITION (load_id = '{commit.loads[-1]}')"
             self.spark.sql(f"ANALYZE TABLE {loads} {newest} COMPUTE STATISTICS")
         else:
-            self.spark.sql(f"ANALYZE TABLE {loads} COMPUTE STATISTICS FOR ALL COLUMNS")
+            columns = ", ".join(contract.names)
+            self.spark.sql(f"ANALYZE TABLE {loads} COMPUTE STATISTICS FOR COLUMNS {columns}")
 
     # -- reading ---------------------------------------------------------------
 
@@ -253,14 +255,19 @@ class Warehouse:
         return f"{CONTRACTS[name].ddl}, {_FAILURES_DDL}, load_id string, outcome string"
 
     def _loads(self, name: str, loads: Iterable[str]) -> DataFrame:
-        """Only the named loads are listed; the schema is given, not inferred."""
-        contract = CONTRACTS[name]
+        """Only the named loads are listed; a contract's schema is not inferred."""
+        contract = CONTRACTS.get(name)
         data = self._data(name)
         paths = [f"{data}/load_id={load}" for load in loads]
         if not paths:
+            if contract is None:
+                raise ValueError(f"{name} has not been loaded")
             return self.spark.createDataFrame([], contract.ddl)
-        reader = self.spark.read.schema(self._schema(name)).option("basePath", data)
-        return reader.parquet(*paths).filter(F.col("outcome") == "accepted").select(*contract.names)
+        reader = self.spark.read.option("basePath", data)
+        if contract is None:
+            return reader.parquet(*paths).filter(_KEPT).drop("load_id", "outcome")
+        rows = reader.schema(self._schema(name)).parquet(*paths)
+        return rows.filter(_KEPT).select(*contract.names)
 
     def _read_all(self, name: str) -> DataFrame:
         if not path_exists(self.spark, self._data(name)):

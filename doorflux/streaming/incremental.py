@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from doorflux.config import DEFAULT_OFFSETS, DEFAULT_RULES, BusinessRules, TableSpec
@@ -13,6 +14,9 @@ from doorflux.plans.warehouse import Warehouse
 from doorflux.sources.scan import project
 
 
+EVENT_TIME = "_event_time"
+
+
 def landing_stream(
     warehouse: Warehouse, folder: str, schema: str, file_glob: str = "*.parquet"
 ) -> DataFrame:
@@ -41,8 +45,10 @@ def stream_load(
     """
     rows = project(stream, spec)
     if distinct_within is not None:
-        watermarked = rows.withWatermark(spec.timestamp_col, distinct_within)
-        rows = watermarked.dropDuplicatesWithinWatermark(list(distinct_on))
+        # A watermark takes no zone-less timestamp; the zone only moves its edge.
+        timed = rows.withColumn(EVENT_TIME, F.col(spec.timestamp_col).cast("timestamp"))
+        watermarked = timed.withWatermark(EVENT_TIME, distinct_within)
+        rows = watermarked.dropDuplicatesWithinWatermark(list(distinct_on)).drop(EVENT_TIME)
 
     def load(batch: DataFrame, number: int) -> None:
         load_id = f"S{number:08d}"

@@ -23,6 +23,7 @@ def spark(tmp_path_factory):
         "local[4]",
         **{
             "spark.sql.shuffle.partitions": 4,
+            "spark.sql.maxMetadataStringLength": 10000,
             "spark.sql.session.timeZone": "America/New_York",
             "spark.sql.warehouse.dir": folder / "warehouse",
             "spark.checkpoint.dir": folder / "scratch",
