@@ -24,24 +24,22 @@ def strip(col: Column) -> Column:
 def count_from_number(col: Column) -> Column:
     """A count that is never negative: NULL and NaN give 0, fractions are cut off.
 
-    A number too large for a bigint gives NULL, for the contract to reject.
+    A number too large for a bigint gives NULL, for the contract to reject. The
+    input appears once: a filter on the result is pushed to the scan as a whole.
     """
-    number = col.cast("double")
-    whole = number.try_cast("bigint")
-    return (
-        F.when(number.isNull() | F.isnan(number), F.lit(0).cast("bigint"))
-        .when(whole < 0, F.lit(0).cast("bigint"))
-        .otherwise(whole)
-    )
+    zero = F.lit(0.0)
+    number = F.nanvl(F.coalesce(col.cast("double"), zero), zero)
+    return F.greatest(number, zero).try_cast("bigint")
 
 
 def count_from_text(col: Column) -> Column:
     """``count_from_number`` of a text; what is not a number counts as 0."""
-    return count_from_number(F.when(col.rlike(_NUMBER_TEXT), col.try_cast("double")))
+    return count_from_number(F.regexp_substr(col, F.lit(_NUMBER_TEXT)).try_cast("double"))
 
 
 def count_from_integer(col: Column) -> Column:
-    return F.greatest(F.coalesce(col.cast("bigint"), F.lit(0)), F.lit(0).cast("bigint"))
+    zero = F.lit(0).cast("bigint")
+    return F.greatest(F.coalesce(col.cast("bigint"), zero), zero)
 
 
 def timestamp(col: Column) -> Column:

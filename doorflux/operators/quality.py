@@ -7,6 +7,7 @@ on. (Rejecting a whole batch for one row would lose the good ones.)
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -17,6 +18,8 @@ from doorflux.session import scratch_dir
 
 #: Column of failures: one entry per failed check of the row.
 FAILURES = "failures"
+#: Whether a flagged row met its contract.
+PASSED = "passed"
 _FAILURE_TYPE = "array<struct<column:string,check:string,failure_case:string>>"
 _REPEATED = "_repeated"
 
@@ -30,6 +33,7 @@ class Field:
     nullable: bool = False
     at_least: int | None = None
     unique: bool = False
+    derived: bool = False  # computed from a checked field: never fails by itself
 
 
 @dataclass(frozen=True)
@@ -60,8 +64,8 @@ CONTRACTS = {
         Field("visitors_out", "bigint", at_least=0),
         Field("device_position", "string", nullable=True),
         Field("store_id", "bigint"),
-        Field("year", "int"),
-        Field("month", "int"),
+        Field("year", "int", derived=True),
+        Field("month", "int", derived=True),
     )),
     "fact_errors": Contract((
         Field("log_id", "bigint", unique=True),
@@ -70,8 +74,8 @@ CONTRACTS = {
         Field("logged_at", "timestamp_ntz"),
         Field("error_code", "int", nullable=True),
         Field("error_message", "string", nullable=True),
-        Field("year", "int"),
-        Field("month", "int"),
+        Field("year", "int", derived=True),
+        Field("month", "int", derived=True),
     )),
 }
 
@@ -90,36 +94,54 @@ def check_columns(df: DataFrame, contract: Contract) -> DataFrame:
 
 
 def flag(df: DataFrame, contract: Contract, check_unique: bool = True) -> DataFrame:
-    """The rows with contract types and an array of all their failures."""
+    """The rows with contract types, an array of all their failures, and whether
+    they passed.
+
+    Catalyst pushes a filter below the projections and repeats their expressions
+    there, so ``passed`` holds each column once and does not use ``failures``.
+    """
     df = check_columns(df, contract)
     repeated = {}
     if check_unique:
         for field in contract.unique_fields:
             df = _mark_repeated(df, field)
             repeated[field.name] = F.col(f"{_REPEATED}_{field.name}").isNotNull()
-    checks = [check for field in contract.fields for check in _checks(field, repeated)]
-    typed = [F.col(field.name).try_cast(field.type).alias(field.name) for field in contract.fields]
-    carried = [SOURCE_TIME] if SOURCE_TIME in df.columns else []
-    failures = F.array_compact(F.array(*checks)).cast(_FAILURE_TYPE)
-    return df.select(*typed, *carried, failures.alias(FAILURES))
+    types = {column.name: column.dataType.simpleString() for column in df.schema}
+    typed = {field.name: _typed(field, types) for field in contract.fields}
+    checks = [
+        (field, check, failed)
+        for field in contract.fields
+        for check, failed in _checks(field, typed[field.name], types, repeated)
+    ]
+    passes = [_passes(field, typed[field.name], types, repeated) for field in contract.fields]
+    passes = [each for each in passes if each is not None]
+    passed = reduce(Column.__and__, passes) if passes else F.lit(True)
+    failures = F.array_compact(F.array(*[_failure(*check) for check in checks]))
+    # Good rows, which are most, skip the building of the array.
+    failures = F.when(passed, F.array()).otherwise(failures)
+    carried = [SOURCE_TIME] if SOURCE_TIME in types else []
+    return df.select(
+        *[column.alias(name) for name, column in typed.items()],
+        *carried,
+        failures.cast(_FAILURE_TYPE).alias(FAILURES),
+        passed.alias(PASSED),
+    )
 
 
 def accepted(flagged: DataFrame) -> DataFrame:
-    return flagged.filter(is_accepted()).drop(FAILURES)
+    return flagged.filter(PASSED).drop(FAILURES, PASSED)
 
 
 def rejected(flagged: DataFrame) -> DataFrame:
-    return flagged.filter(~is_accepted())
-
-
-def is_accepted() -> Column:
-    return F.size(FAILURES) == 0
+    return flagged.filter(~F.coalesce(F.col(PASSED), F.lit(False))).drop(PASSED)
 
 
 def failure_cases(flagged: DataFrame) -> DataFrame:
     """One row per failed check, with the row it belongs to."""
-    keys = [name for name in flagged.columns if name != FAILURES]
-    return flagged.select(*keys, F.inline(FAILURES))
+    keys = [name for name in flagged.columns if name not in (FAILURES, PASSED)]
+    # Outer, and filtered by what it yields: no filter to repeat below it.
+    cases = flagged.select(*keys, F.inline_outer(FAILURES))
+    return cases.filter(F.col("check").isNotNull())
 
 
 def repeated_keys(df: DataFrame, key: str) -> DataFrame:
@@ -152,20 +174,51 @@ def _mark_repeated(df: DataFrame, field: Field) -> DataFrame:
     return df.join(keys, key == F.col(mark), "left")
 
 
-def _checks(field: Field, repeated: dict[str, Column]) -> list[Column]:
+def _typed(field: Field, types: dict[str, str]) -> Column:
+    column = F.col(field.name)
+    return column if types[field.name] == field.type else column.try_cast(field.type)
+
+
+def _checks(
+    field: Field, typed: Column, types: dict[str, str], repeated: dict[str, Column]
+) -> list[tuple[str, Column]]:
+    """The checks of a field, each with the condition under which it fails."""
     raw = F.col(field.name)
-    typed = raw.try_cast(field.type)
-    checks = [_failure(field, f"coerce:{field.type}", raw.isNotNull() & typed.isNull())]
+    checks = []
+    if field.derived:
+        return checks
+    if types[field.name] != field.type:
+        checks.append((f"coerce:{field.type}", raw.isNotNull() & typed.isNull()))
     if not field.nullable:
-        checks.append(_failure(field, "not_null", raw.isNull()))
+        checks.append(("not_null", raw.isNull()))
     if field.at_least is not None:
-        too_small = typed < field.at_least
-        checks.append(_failure(field, f"at_least:{field.at_least}", too_small))
+        checks.append((f"at_least:{field.at_least}", typed < field.at_least))
     if field.name in repeated:
-        checks.append(_failure(field, "unique", repeated[field.name]))
+        checks.append(("unique", repeated[field.name]))
     return checks
 
 
+def _passes(
+    field: Field, typed: Column, types: dict[str, str], repeated: dict[str, Column]
+) -> Column | None:
+    """Whether a field meets all its checks (NULL counts as no)."""
+    passes = None
+    if field.derived:
+        return passes
+    if field.at_least is not None:
+        passes = typed >= field.at_least
+        if field.nullable:
+            passes = passes | F.col(field.name).isNull()
+    elif not field.nullable:
+        passes = typed.isNotNull()
+    elif types[field.name] != field.type:
+        passes = F.col(field.name).isNull() | typed.isNotNull()
+    if field.name in repeated:
+        unique = ~repeated[field.name]
+        passes = unique if passes is None else passes & unique
+    return passes
+
+
 def _failure(field: Field, check: str, failed: Column) -> Column:
     return F.when(
         failed,

@@ -27,7 +27,7 @@ from doorflux.operators.normalize import Traffic, counts_of, register_view
 from doorflux.operators.quality import (
     CONTRACTS,
     FAILURES,
-    is_accepted,
+    PASSED,
 )
 
 _COMMIT = "loads array<string>, rows bigint, rejected bigint, mark string"
@@ -91,7 +91,7 @@ class Warehouse:
         rows is written by many tasks and no task writes a file for every month.
         Turn it off for a source that already arrives in time order.
         """
-        good = is_accepted() if FAILURES in rows.columns else F.lit(True)
+        good = F.col(PASSED) if PASSED in rows.columns else F.lit(True)
         rows = rows.withColumn("outcome", F.when(good, "accepted").otherwise("rejected"))
         parts = ["outcome", *spec.partition_cols]
         if rebalance and spec.partition_cols:
@@ -110,7 +110,7 @@ class Warehouse:
             F.max(F.when(kept, source_time)).cast("string").alias("mark"),
         )
         path = f"{self._data(spec.dest_table)}/load_id={load_id}"
-        rows.drop(SOURCE_TIME).write.mode("overwrite").partitionBy(*parts).parquet(path)
+        rows.drop(SOURCE_TIME, PASSED).write.mode("overwrite").partitionBy(*parts).parquet(path)
         counts = seen.get
         return Load(load_id, counts["rows"], counts["rejected"], counts["mark"])
 

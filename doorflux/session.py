@@ -16,6 +16,8 @@ def build_session(app_name: str = "doorflux", master: str | None = None, **conf)
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.ui.enabled": "false",
+        # The JVM compiles no method beyond this size; split such code instead.
+        "spark.sql.codegen.hugeMethodLimit": "8000",
     }
     settings.update({key: str(value) for key, value in conf.items()})
     builder = SparkSession.builder.appName(app_name)
