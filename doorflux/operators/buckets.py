@@ -46,9 +46,13 @@ def hourly_rollup(counts: DataFrame) -> DataFrame:
 
     Sums of rollups are rollups, so a load adds its own without rereading history.
     """
-    hour = bucket(F.col("record_time"), "hour").alias("record_time")
+    return sum_hours(counts.withColumn("record_time", bucket(F.col("record_time"), "hour")))
+
+
+def sum_hours(hours: DataFrame) -> DataFrame:
+    """One row per store and hour of rows that may hold several."""
     return (
-        counts.groupBy("store_id", hour)
+        hours.groupBy("store_id", "record_time")
         .agg(F.sum("in_count").alias("in_count"), F.sum("out_count").alias("out_count"))
         .select("record_time", "store_id", "in_count", "out_count")
         .withColumns({"year": F.year("record_time"), "month": F.month("record_time")})

@@ -21,14 +21,10 @@ from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from doorflux.config import DEFAULT_MARK, DEFAULT_RULES, BusinessRules, TableSpec
-from doorflux.operators.buckets import hourly_rollup
+from doorflux.operators.buckets import hourly_rollup, sum_hours
 from doorflux.operators.clean import SOURCE_TIME
 from doorflux.operators.normalize import Traffic, counts_of, register_view
-from doorflux.operators.quality import (
-    CONTRACTS,
-    FAILURES,
-    PASSED,
-)
+from doorflux.operators.quality import CONTRACTS, FAILURES, PASSED
 
 _COMMIT = "loads array<string>, rows bigint, rejected bigint, mark string"
 _FAILURES_DDL = f"{FAILURES} array<struct<column:string,check:string,failure_case:string>>"
@@ -117,11 +113,12 @@ class Warehouse:
     def write_rollup(self, load: Load, rules: BusinessRules = DEFAULT_RULES) -> None:
         """The hourly sums of one traffic load, from what the load wrote."""
         fact = self._loads("fact_traffic", [load.load_id])
-        path = f"{self._data(ROLLUP_TABLE)}/load_id={load.load_id}"
-        rollup = hourly_rollup(counts_of(fact, rules))
-        rollup.hint("rebalance", "year", "month").write.mode("overwrite").partitionBy(
-            "year", "month"
-        ).parquet(path)
+        self._write_rollup(hourly_rollup(counts_of(fact, rules)), load.load_id)
+
+    def _write_rollup(self, rollup: DataFrame, load_id: str) -> None:
+        path = f"{self._data(ROLLUP_TABLE)}/load_id={load_id}"
+        rows = rollup.hint("rebalance", "year", "month")
+        rows.write.mode("overwrite").partitionBy("year", "month").parquet(path)
 
     def publish(self, spec: TableSpec, load: Load, history: History | None = None) -> Commit:
         """Make a load visible; nothing happens if it holds no good row.
@@ -134,37 +131,60 @@ class Warehouse:
             return current
         earlier = current.loads if spec.incremental else ()
         marks = [mark for mark in (current.mark, load.mark) if mark]
-        commit = Commit(
+        return self._record(spec.dest_table, Commit(
             version=history.newest + 1,
             loads=(*earlier, load.load_id),
             rows=load.rows,
             rejected=load.rejected,
             mark=max(marks) if spec.incremental and marks else None,
-        )
+        ))
+
+    def compact(self, spec: TableSpec) -> Commit:
+        """Publish the same rows as one load, so that readers list few folders.
+
+        The mark stays. The loads merged here remain for readers of the version
+        before.
+        """
+        name = spec.dest_table
+        history = self.history(name)
+        current = history.current
+        if len(current.loads) < 2:
+            return current
+        load_id = f"C{history.newest + 1:08d}"
+        load = self.write_load(self.table(name), spec, load_id)
+        if name == "fact_traffic":
+            self._write_rollup(sum_hours(self.rollup()), load_id)
+        merged = Commit(history.newest + 1, (load_id,), load.rows, 0, current.mark)
+        return self._record(name, merged)
+
+    def _record(self, name: str, commit: Commit) -> Commit:
         record = self.spark.range(1, numPartitions=1).select(
             F.array(*map(F.lit, commit.loads)).alias("loads"),
             F.lit(commit.rows).alias("rows"),
             F.lit(commit.rejected).alias("rejected"),
             F.lit(commit.mark).cast("string").alias("mark"),
         )
-        path = f"{self._commits(spec.dest_table)}/v={commit.version}"
+        path = f"{self._commits(name)}/v={commit.version}"
         record.write.mode("overwrite").json(path)
         return commit
 
-    def publish_to_catalog(self, spec: TableSpec, analyze: bool = True) -> None:
+    def publish_to_catalog(
+        self, spec: TableSpec, database: str = "default", analyze: bool = True
+    ) -> None:
         """Show the published version as a catalog view, by one catalog call.
 
         The loads live in one external table; statistics are taken of the newest
         load only, or of the whole of a table that is always loaded in full.
         """
-        table, contract = spec.dest_table, CONTRACTS[spec.dest_table]
-        commit = self.commit(table)
+        contract = CONTRACTS[spec.dest_table]
+        commit = self.commit(spec.dest_table)
+        table = f"{database}.{spec.dest_table}"
         loads = f"{table}_loads"
         parts = ", ".join(["load_id", "outcome", *spec.partition_cols])
         self.spark.sql(
             f"CREATE TABLE IF NOT EXISTS {loads} ({contract.ddl}, {_FAILURES_DDL}, "
             f"load_id string, outcome string) USING parquet PARTITIONED BY ({parts}) "
-            f"LOCATION '{self._data(table)}'"
+            f"LOCATION '{self._data(spec.dest_table)}'"
         )
         self.spark.sql(f"MSCK REPAIR TABLE {loads}")
         published = ", ".join(f"'{load}'" for load in commit.loads) or "NULL"

@@ -13,6 +13,8 @@ from doorflux.config import (
     TableSpec,
     default_specs,
     in_load_order,
+    load_offsets,
+    load_specs,
 )
 from doorflux.functions import coercion
 from doorflux.operators import buckets, clean, quality
@@ -52,6 +54,17 @@ def test_specs():
     assert in_load_order(reversed(default_specs()))[0] is STORES
 
 
+def test_specs_and_offsets_from_files(tmp_path):
+    (tmp_path / "t.yaml").write_text("t:\n  source_table: dbo.t\n  dest_table: d\n  incremental: false\n")
+    (tmp_path / "o.json").write_text('{"num_crowd": {"28": 53}}')
+    (tmp_path / "empty.yaml").write_text("")
+    [spec] = load_specs(str(tmp_path / "t.yaml"))
+    assert (spec.dest_table, spec.incremental) == ("d", False)
+    assert load_offsets(str(tmp_path / "o.json")) == {"num_crowd": {28: 53}}
+    with pytest.raises(ValueError, match="empty"):
+        load_specs(str(tmp_path / "empty.yaml"))
+
+
 def test_jdbc_options():
     split = jdbc_options("jdbc:x", "dbo.t", "at", "2024-01-01", "2024-02-01", 8)
     assert (split["partitionColumn"], split["numPartitions"]) == ("at", "8")
@@ -297,6 +310,21 @@ def clean_catalog(spark):
         spark.sql(f"DROP TABLE IF EXISTS {name}_loads")
 
 
+def test_compacting_changes_nothing_but_the_folders(spark, warehouse):
+    for hour in (10, 11, 12):
+        load_table(warehouse, TRAFFIC, raw(spark, (f"2024-01-05 {hour}:00:00", hour, 5), (f"2024-01-05 {hour}:00:00", 1, None)))
+    before = rows(warehouse.table("fact_traffic")), warehouse.mark(TRAFFIC)
+    trend = rows(buckets.trend(warehouse.traffic(hourly=True), EVENTS_MONTH))
+    commit = warehouse.compact(TRAFFIC)
+    assert (commit.version, commit.loads) == (4, ("C00000004",))
+    assert (rows(warehouse.table("fact_traffic")), warehouse.mark(TRAFFIC)) == before
+    assert rows(buckets.trend(warehouse.traffic(hourly=True), EVENTS_MONTH)) == trend
+    assert warehouse.rejected("fact_traffic").count() == 3
+    assert warehouse.compact(TRAFFIC) == commit
+    load_table(warehouse, TRAFFIC, raw(spark, ("2024-01-05 13:00:00", 13, 5)))
+    assert [ins for _, ins, _ in counted(warehouse)] == [10, 11, 12, 13]
+
+
 # -- plans ---------------------------------------------------------------------
 
 

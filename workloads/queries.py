@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -599,10 +600,23 @@ def full_load_roundtrip(spark, sf_dir):
 @registered("publish_version", "SELECT s_suppkey AS store_id, upper(s_name) AS store_name FROM supplier")
 def publish_version(spark, sf_dir):
     target = warehouse_for(spark, "publish")
+    database = f"doorflux_{uuid.uuid4().hex}"
+    spark.sql(f"CREATE DATABASE {database} LOCATION '{target.root}/catalog'")
     named = fx.table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("tid"), F.col("s_name").alias("name"))
-    load_table(target, STORES, named)
-    load_table(target, STORES, named.withColumn("name", F.upper("name")))
-    return target.table("dim_stores")
+    for version in (named, named.withColumn("name", F.upper("name"))):
+        load_table(target, STORES, version)
+        target.publish_to_catalog(STORES, database)
+    return spark.table(f"{database}.dim_stores")
+
+
+@registered("compacted_loads", LOADED_TRAFFIC)
+def compacted_loads(spark, sf_dir):
+    target = warehouse_for(spark, "compact")
+    raw = fx.raw_traffic(spark, sf_dir)
+    load_table(target, TRAFFIC, raw.filter(F.col("recordtime") <= periods.ntz(CUT)))
+    load_table(target, TRAFFIC, raw)
+    target.compact(TRAFFIC)
+    return target.table("fact_traffic")
 
 
 @registered(
