@@ -1,10 +1,10 @@
 """What the physical plans must and must not hold."""
 
 from doorflux import Request
-from doorflux.config import TRAFFIC
+from doorflux.config import ERRORS, TRAFFIC
 from doorflux.operators import buckets, errors, metrics, normalize, stores
 from doorflux.plans.load import load_table
-from tests.conftest import plan_text
+from tests.conftest import plan_text, rows
 from workloads import fixtures as fx
 from workloads.queries import EVENTS_MONTH, EVENTS_STORE
 
@@ -60,3 +60,20 @@ def test_only_touched_partitions_are_read(spark, warehouse, sf_dir):
         for frame in (buckets.trend(traffic, EVENTS_MONTH), metrics.metrics(traffic, EVENTS_MONTH)):
             filters = plan_text(frame).split("PartitionFilters: [")[1].split("PushedFilters")[0]
             assert "year" in filters and "month" in filters
+
+
+def test_newest_rows_come_from_the_newest_partitions(spark, warehouse, sf_dir):
+    load_table(warehouse, ERRORS, fx.dirty_errors(spark, sf_dir))
+    log, plain = warehouse.table("fact_errors"), warehouse.table("fact_errors").drop("year", "month")
+    stores_ = fx.supplier_stores(spark, sf_dir)
+    months = [row[0] for row in log.groupBy("year", "month").count().orderBy("year", "month").select("count").collect()]
+    for limit in (1, months[-1], months[-1] + 1, 10_000):
+        pruned = errors.error_logs(log, stores_, limit)
+        assert rows(pruned) == rows(errors.error_logs(plain, stores_, limit))
+    filters = plan_text(pruned).split("PartitionFilters: [")[1].split("PushedFilters")[0]
+    assert "Subquery" in filters
+    assert "ReadSchema: struct<>" in plan_text(pruned)
+    load_table(warehouse, TRAFFIC, fx.raw_traffic(spark, sf_dir))
+    fact = warehouse.table("fact_traffic")
+    assert rows(errors.latest_record_time(fact)) == rows(fact.selectExpr("max(recorded_at)"))
+    assert rows(errors.latest_record_time(fact.filter("year = 1"))) == [(None,)]

@@ -443,6 +443,24 @@ def error_logs(spark, sf_dir):
     return errors.error_logs(fx.events_errors(spark, sf_dir), fx.supplier_stores(spark, sf_dir))
 
 
+GOOD_ERRORS = f"""
+SELECT * EXCLUDE (copies) FROM (SELECT *, count(*) OVER (PARTITION BY log_id) AS copies FROM ({CLEAN_ERRORS}))
+WHERE copies = 1 AND store_id IS NOT NULL"""
+
+
+@registered(
+    "error_logs_loaded",
+    f"""SELECT a.log_id AS id, b.store_name, a.logged_at AS log_time, a.error_code, a.error_message
+        FROM ({GOOD_ERRORS}) a LEFT JOIN ({fx.SUPPLIER_STORES}) b ON a.store_id = b.store_id
+        ORDER BY a.logged_at DESC, a.log_id LIMIT 100""",
+)
+def error_logs_loaded(spark, sf_dir):
+    """From a partitioned table only the newest months are read."""
+    target = warehouse_for(spark, "errors")
+    load_table(target, ERRORS, fx.dirty_errors(spark, sf_dir))
+    return errors.error_logs(target.table("fact_errors"), fx.supplier_stores(spark, sf_dir))
+
+
 @registered("has_errors", f"SELECT count(*) > 0 AS has_errors FROM ({fx.EVENTS_ERRORS})")
 def has_errors(spark, sf_dir):
     return errors.has_errors(fx.events_errors(spark, sf_dir))
