@@ -10,15 +10,36 @@ from pyspark.sql import functions as F
 #: Larger offset maps become a lookup join instead of a literal map.
 MAX_LITERAL_OFFSETS = 200
 
-# What counts as white space at the ends of a text, and what
-# counts as a number written as text.
-_OUTER_SPACE = r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$"
+# The characters that are white space, and what counts as a number
+# written as text.
+_WHITE_SPACE = (
+    " \t\n\v\f\r\x1c\x1d\x1e\x1f\x85\xa0\u1680"
+    "\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a"
+    "\u2028\u2029\u202f\u205f\u3000"
+)
 _NUMBER_TEXT = r"^\s*[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?\s*$"
 
 
-def strip(col: Column) -> Column:
-    """Remove every kind of white space (not only blanks) from both ends."""
-    return F.regexp_replace(col, _OUTER_SPACE, "")
+def strip_rest(text: Column) -> Column:
+    """Remove every kind of white space from both ends of a text without blanks
+    there. The trim by a set is costly and only done where an end may need it.
+
+    The text is used several times: pass a column, not an expression.
+    """
+    first, last = F.substring(text, 1, 1), F.substring(text, -1, 1)
+    stripped = F.trim(text, F.lit(_WHITE_SPACE))
+    return F.when(_may_be_space(first) | _may_be_space(last), stripped).otherwise(text)
+
+
+def _may_be_space(char: Column) -> Column:
+    """False only for a character that is no white space."""
+    return (
+        (char <= " ")
+        | char.between("\x85", "\xa0")
+        | (char == "\u1680")
+        | char.between("\u2000", "\u205f")
+        | (char == "\u3000")
+    )
 
 
 def count_from_number(col: Column) -> Column:

@@ -57,12 +57,16 @@ def correct_clock(
 def rename_and_strip(df: DataFrame, spec: TableSpec) -> DataFrame:
     """Warehouse names for the columns; cleaning rules applied to text columns."""
     df = df.withColumnsRenamed(dict(spec.rename_map))
-    stripped = {}
-    for rule in spec.cleaning_rules:
-        name = spec.rename_map.get(rule.column, rule.column)
-        if name in df.columns and isinstance(df.schema[name].dataType, T.StringType):
-            stripped[name] = coercion.strip(F.col(name))
-    return df.withColumns(stripped) if stripped else df
+    texts = [
+        name
+        for name in (spec.rename_map.get(rule.column, rule.column) for rule in spec.cleaning_rules)
+        if name in df.columns and isinstance(df.schema[name].dataType, T.StringType)
+    ]
+    if not texts:
+        return df
+    # Blanks, the padding of fixed-width texts, go first.
+    trimmed = df.withColumns({name: F.trim(name) for name in texts})
+    return trimmed.withColumns({name: coercion.strip_rest(F.col(name)) for name in texts})
 
 
 def coerce_counts(df: DataFrame, spec: TableSpec) -> DataFrame:
