@@ -222,20 +222,22 @@ class Warehouse:
         return self._read_all(name).filter(F.col("outcome") == "rejected").drop("outcome")
 
     def history(self, name: str) -> History:
-        """The state of a table; an unreadable or missing record counts as none."""
+        """The state of a table; an unreadable or missing record counts as none.
+
+        Only the newest record is read, unless it cannot be.
+        """
         path = self._commits(name)
-        if not path_exists(self.spark, path):
-            return History()
-        records = self.spark.read.schema(f"v int, {_COMMIT}").json(path)
-        readable = F.when(F.col("loads").isNotNull(), F.col("v"))
-        state = records.agg(
-            F.max("v").alias("newest"), F.max_by(F.struct("*"), readable).alias("current")
-        ).first()
-        found = state.current
-        if found is None:
-            return History(newest=state.newest or 0)
-        current = Commit(found.v, tuple(found.loads), found.rows, found.rejected, found.mark)
-        return History(current, state.newest)
+        folders = [child for child in child_names(self.spark, path) if child.startswith("v=")]
+        versions = sorted((int(folder[2:]) for folder in folders), reverse=True)
+        newest = versions[0] if versions else 0
+        for version in versions:
+            found = self.spark.read.schema(_COMMIT).json(f"{path}/v={version}").first()
+            if found is not None and found.loads is not None:
+                current = Commit(
+                    version, tuple(found.loads), found.rows, found.rejected, found.mark
+                )
+                return History(current, newest)
+        return History(newest=newest)
 
     def commit(self, name: str) -> Commit:
         """The published version."""
@@ -290,12 +292,15 @@ class Warehouse:
         return rows.filter(_KEPT).select(*contract.names)
 
     def _read_all(self, name: str) -> DataFrame:
-        if not path_exists(self.spark, self._data(name)):
+        if not child_names(self.spark, self._data(name)):
             return self.spark.createDataFrame([], self._schema(name))
         return self.spark.read.schema(self._schema(name)).parquet(self._data(name))
 
 
-def path_exists(spark: SparkSession, path: str) -> bool:
-    """Whether a path exists, on whatever file system it names."""
-    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(target)
+def child_names(spark: SparkSession, path: str) -> list[str]:
+    """The names in a folder, on whatever file system; none if it does not exist."""
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    files = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not files.exists(folder):
+        return []
+    return [status.getPath().getName() for status in files.listStatus(folder)]
