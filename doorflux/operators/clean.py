@@ -87,8 +87,9 @@ def _count(df: DataFrame, name: str) -> Column:
 
 def coerce_timestamp(df: DataFrame, spec: TableSpec) -> DataFrame:
     """A zone-less timestamp; rows without a valid one are dropped."""
-    name = spec.final_timestamp_col
-    if name not in df.columns:
+    names = (spec.timestamp_col, spec.final_timestamp_col)
+    name = next((name for name in names if name in df.columns), None)
+    if name is None:
         return df
     return df.withColumn(name, coercion.timestamp(F.col(name))).filter(F.col(name).isNotNull())
 
@@ -108,11 +109,15 @@ def clean(
     spec: TableSpec,
     offsets: Mapping[str, Mapping[int, int]] = DEFAULT_OFFSETS,
 ) -> DataFrame:
-    """All cleaning steps in their fixed order; one projection after Catalyst."""
+    """All cleaning steps; one projection after Catalyst.
+
+    Unreadable times are dropped first, as no later step changes which they are:
+    the filter then reaches the scan as it is, without the clock correction.
+    """
     return (
-        df.transform(correct_clock, spec, offsets)
+        df.transform(coerce_timestamp, spec)
+        .transform(correct_clock, spec, offsets)
         .transform(rename_and_strip, spec)
         .transform(coerce_counts, spec)
-        .transform(coerce_timestamp, spec)
         .transform(add_partition_columns, spec)
     )

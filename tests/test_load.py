@@ -337,3 +337,4 @@ def test_mark_and_columns_reach_the_scan(spark, sf_dir):
 def test_cleaning_is_one_projection(spark, sf_dir):
     plan = plan_text(clean.clean(fx.raw_traffic(spark, sf_dir), TRAFFIC))
     assert "Join" not in plan and "Exchange" not in plan and "Python" not in plan
+    assert "PushedFilters: [IsNotNull(ts)]" in plan
