@@ -27,20 +27,28 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """``df``, written to the folder that ``spark.checkpoint.dir`` names and read from there.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that ``spark.checkpoint.dir`` names, which all executors share.
 
     A folder of its own is taken only where the session has none and runs in one
     process, as in tests.
     """
-    context = df.sparkSession.sparkContext
-    if not context.getCheckpointDir():
-        shared = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if not shared:
-            if not context.master.startswith("local["):
-                raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-            shared = tempfile.mkdtemp(prefix="doorflux-checkpoints-")
-        context.setCheckpointDir(str(shared))
+    context = spark.sparkContext
+    folder = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+    if not folder:
+        if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
+        folder = tempfile.mkdtemp(prefix="doorflux-checkpoints-")
+        context.setCheckpointDir(folder)
+    return str(folder).rstrip("/")
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """``df``, written to the shared folder and read from there."""
+    spark = df.sparkSession
+    folder = shared_folder(spark)
+    if not spark.sparkContext.getCheckpointDir():
+        spark.sparkContext.setCheckpointDir(folder)
     return df.checkpoint()
 
 

@@ -69,30 +69,46 @@ def fingerprint_texts(texts: list[str], words: int = SHINGLE_WORDS) -> np.ndarra
     return out
 
 
-def fingerprints(docs: DataFrame, words: int = SHINGLE_WORDS) -> DataFrame:
-    """``doc_id`` and ``fp``, the fingerprint as a signed long, of every row."""
+def fingerprints(docs: DataFrame, words: int = SHINGLE_WORDS, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """The columns ``keep`` and ``fp``, the fingerprint as a signed long, of every row."""
     return map_texts(
-        docs.select("doc_id", "text"), "text", "fp bigint",
+        docs.select(*keep, F.col("text").alias("_text")), "_text", "fp bigint",
         lambda texts: {"fp": fingerprint_texts(texts, words).view("i8")},
     )
 
 
+def roots(known: DataFrame, distance: int = MAX_DISTANCE) -> DataFrame:
+    """``fp`` and ``root``, the same for all distinct fingerprints that links connect."""
+    distinct = known.select("fp").distinct()
+    members = components(linked(distinct, distance))
+    return distinct.join(members, F.col("fp") == F.col("node"), "left").select("fp", F.coalesce("root", "fp").alias("root"))
+
+
 def near_duplicates(docs: DataFrame, words: int = SHINGLE_WORDS, distance: int = MAX_DISTANCE) -> DataFrame:
     """``doc_id``, ``fingerprint`` (16 hex digits), ``component_id`` of every row."""
     known = checkpointed(fingerprints(docs, words))
-    distinct = known.groupBy("fp").agg(F.min("doc_id").alias("first_id"))
-    links = linked(known.select("fp").distinct(), distance)
-    members = components(links)
-    roots = distinct.join(members, F.col("fp") == F.col("node"), "left").select(
-        "fp", "first_id", F.coalesce("root", "fp").alias("root")
-    )
-    smallest = roots.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    named = checkpointed(roots.join(smallest, "root").select("fp", "component_id"))
+    first = known.groupBy("fp").agg(F.min("doc_id").alias("first_id")).join(roots(known, distance), "fp")
+    smallest = first.groupBy("root").agg(F.min("first_id").alias("component_id"))
+    named = checkpointed(first.join(smallest, "root").select("fp", "component_id"))
     return known.join(named, "fp").select(
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
     )
 
 
+def one_of_each(docs: DataFrame, words: int = SHINGLE_WORDS, distance: int = MAX_DISTANCE) -> DataFrame:
+    """The rows of ``docs`` without near-duplicates: of each group the one with the smallest id.
+
+    Of repeated rows one stays; a row without an id stays only if its whole group has none.
+    """
+    key = F.xxhash64("doc_id", "text").alias("_key")
+    keyed = docs.select("*", key)
+    known = checkpointed(fingerprints(keyed.withColumn("_id", F.col("doc_id")), words, ("_id", "_key")))
+    order = F.struct(F.col("_id").isNull().alias("none"), F.col("_id"), F.col("_key"))
+    first = known.groupBy("fp").agg(F.min(order).alias("first")).join(roots(known, distance), "fp")
+    chosen = first.groupBy("root").agg(F.min("first").alias("first")).select(F.col("first._key").alias("_key"))
+    return keyed.join(chosen, "_key", "left_semi").dropDuplicates(["_key"]).drop("_key")
+
+
 def linked(distinct: DataFrame, distance: int = MAX_DISTANCE) -> DataFrame:
     """Links ``(a, b)`` between distinct ``fp`` that connect whatever is within ``distance``.
 

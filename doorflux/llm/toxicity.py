@@ -1,6 +1,6 @@
 """Toxicity: a linear classifier of character n-grams, scaled by naive Bayes log-count ratios.
 
-A feature is the presence of a character n-gram (4 or 5 long, letters and spaces, in lower
+A feature is the presence of a character n-gram (4, 6 or 8 long, letters and spaces, in lower
 case, hashed). Its value is the log ratio of its shares among toxic and other labelled
 texts; a logistic regression on these values gives the weights. The fit takes a
 bounded sample of the labelled rows, at most ``FIT_ROWS`` of each label, the same rows
@@ -25,13 +25,13 @@ from pyspark.sql import functions as F
 from doorflux.llm import ngrams
 from doorflux.llm.common import checkpointed, map_texts, slices
 
-SIZES, BITS = (4, 5), 20
+SIZES, BITS = (4, 6, 8), 20
 #: Labelled rows of each label that a fit takes, about.
 FIT_ROWS = 10_000
 #: Tasks that count features of the sample.
 FIT_TASKS = 8
 #: A feature is kept if it occurs in so many texts and its log ratio is so far from 0.
-LEAST_TEXTS, LEAST_RATIO = 5, 1.5
+LEAST_TEXTS, LEAST_RATIO = 5, 2.5
 THRESHOLD = 0.7
 SLICE = 500_000
 
