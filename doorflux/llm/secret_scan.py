@@ -181,23 +181,23 @@ def long_runs(text: Column, rule: Rule, order: int) -> Column:
     return spans(text, Rule(rule.kind, rule.regex.removesuffix("+") + f"{{{rule.least},}}"), order)
 
 
-def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES, keep: tuple[str, ...] = ("doc_id",), found: str = "found") -> DataFrame:
     """Every row of ``docs`` with its columns ``keep``, ``text`` and ``found``, its sorted spans."""
     key = F.xxhash64("doc_id", "text")
-    rows = docs.select(*keep, F.coalesce("text", F.lit("")).alias("text")).withColumn("_key", key)
+    rows = docs.select(*keep, F.coalesce("text", F.lit("")).alias("text"), key.alias("__key"))
     indexed = tuple(r for r in rules if trigram_query(r.regex))
-    kinds = candidates(rows.select("_key", "text"), "_key", "text", indexed)
-    joined = rows.join(kinds, "_key", "left").drop("_key")
+    kinds = candidates(rows.select("__key", "text"), "__key", "text", indexed).withColumnRenamed("kinds", "__kinds")
+    joined = rows.join(kinds, "__key", "left").drop("__key")
     empty = F.array().cast("array<struct<start:bigint,ord:int,kind:string,stop:bigint>>")
     parts = []
     for order, rule in enumerate(rules):
         if rule in indexed:
-            hit = F.coalesce(F.array_contains("kinds", rule.kind), F.lit(False))
+            hit = F.coalesce(F.array_contains("__kinds", rule.kind), F.lit(False))
             parts.append(F.when(hit, spans(F.col("text"), rule, order)).otherwise(empty))
         else:
             run = re.fullmatch(r"\[[^\]]+\]\+", rule.regex)
             parts.append((long_runs if run else spans)(F.col("text"), rule, order))
-    return joined.select(*keep, "text", F.array_sort(F.concat(*parts)).alias("found"))
+    return joined.select(*keep, "text", F.array_sort(F.concat(*parts)).alias(found))
 
 
 def digest(found: Column) -> Column:
@@ -221,7 +221,7 @@ def secret_report(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame
 def redact(docs: DataFrame, rules: tuple[Rule, ...] = RULES, mark: str = "[SECRET]") -> DataFrame:
     """The rows of ``docs`` with every span replaced by ``mark``; overlapping spans count as one."""
     names = docs.columns
-    scanned = scan(docs, rules, tuple(n for n in names if n != "text"))
+    scanned = scan(docs, rules, tuple(n for n in names if n != "text"), "__found")
     state = F.struct(F.lit(0).cast("bigint").alias("at"), F.lit("").alias("out"))
 
     def step(acc: Column, x: Column) -> Column:
@@ -232,8 +232,7 @@ def redact(docs: DataFrame, rules: tuple[Rule, ...] = RULES, mark: str = "[SECRE
             F.concat(acc["out"], F.when(new, F.concat(gap, F.lit(mark))).otherwise(F.lit(""))).alias("out"),
         )
 
-    merged = F.aggregate("found", state, step)
-    rest = F.substring(F.col("text"), (F.col("m.at") + 1).cast("int"), F.length("text"))
-    out = scanned.withColumn("m", merged)
-    text = F.when(F.size("found") > 0, F.concat("m.out", rest)).otherwise(F.col("text"))
+    out = scanned.withColumn("__merged", F.aggregate("__found", state, step))
+    rest = F.substring(F.col("text"), (F.col("__merged.at") + 1).cast("int"), F.length("text"))
+    text = F.when(F.size("__found") > 0, F.concat("__merged.out", rest)).otherwise(F.col("text"))
     return out.select(*(text.alias("text") if n == "text" else F.col(n) for n in names))

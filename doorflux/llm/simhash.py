@@ -100,13 +100,12 @@ def one_of_each(docs: DataFrame, words: int = SHINGLE_WORDS, distance: int = MAX
 
     Of repeated rows one stays; a row without an id stays only if its whole group has none.
     """
-    key = F.xxhash64("doc_id", "text").alias("_key")
-    keyed = docs.select("*", key)
-    known = checkpointed(fingerprints(keyed.withColumn("_id", F.col("doc_id")), words, ("_id", "_key")))
-    order = F.struct(F.col("_id").isNull().alias("none"), F.col("_id"), F.col("_key"))
+    keyed = docs.select("*", F.xxhash64("doc_id", "text").alias("__key"))
+    known = checkpointed(fingerprints(keyed, words, ("doc_id", "__key")))
+    order = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id"), F.col("__key"))
     first = known.groupBy("fp").agg(F.min(order).alias("first")).join(roots(known, distance), "fp")
-    chosen = first.groupBy("root").agg(F.min("first").alias("first")).select(F.col("first._key").alias("_key"))
-    return keyed.join(chosen, "_key", "left_semi").dropDuplicates(["_key"]).drop("_key")
+    chosen = first.groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.__key").alias("__key"))
+    return keyed.join(chosen, "__key", "left_semi").dropDuplicates(["__key"]).drop("__key")
 
 
 def linked(distinct: DataFrame, distance: int = MAX_DISTANCE) -> DataFrame:
