@@ -67,6 +67,7 @@ def main() -> None:
     for name in HEADLINE:
         timings = []
         for _ in range(runs + 1):
+            spark.catalog.clearCache()
             started = time.perf_counter()
             QUERIES[name](spark, sf_dir).write.format("noop").mode("overwrite").save()
             timings.append(time.perf_counter() - started)

@@ -1,23 +1,25 @@
 """Jobs for ``spark-submit`` or ``python -m doorflux``.
 
-    load      --warehouse W --source dbo.store=PATH … [--tables F] [--offsets F]
-    dashboard --warehouse W --out O --period month --start D --end D [--store S]
-    stores    --warehouse W
+    load      --warehouse W --source dbo.store=PATH … [--tables F] [--offsets F] [--database D]
+    dashboard --warehouse W --out O --period month [--start D --end D | --as-of D] [--store S]
+    stores    --warehouse W --out O
     compact   --warehouse W
 """
 
 from __future__ import annotations
 
 import argparse
+from datetime import date
 
 from doorflux.config import (
     DEFAULT_OFFSETS,
     BusinessRules,
     default_specs,
     load_offsets,
+    load_rules,
     load_specs,
 )
-from doorflux.functions.periods import ALL_STORES, Request
+from doorflux.functions.periods import ALL_STORES, Request, preset_request
 from doorflux.operators.report import write_csv
 from doorflux.operators.stores import store_names
 from doorflux.plans.dashboard import dashboard
@@ -34,34 +36,55 @@ def main(arguments: list[str] | None = None) -> None:
 
 
 def load(warehouse: Warehouse, options) -> None:
+    """Load all tables and write the figures of the run; with a database also publish."""
     specs = load_specs(options.tables) if options.tables else default_specs()
     offsets = load_offsets(options.offsets) if options.offsets else DEFAULT_OFFSETS
     named = dict(source.split("=", 1) for source in options.source)
     sources = {table: parquet_table(warehouse.spark, path) for table, path in named.items()}
+    splits = {table: rest.split(",", 3) for table, rest in (x.split("=", 1) for x in options.split)}
     if options.jdbc_url:
         for spec in specs:
             if spec.source_table not in sources:
+                column, lower, upper, parts = splits.get(spec.source_table, (None, None, None, 1))
                 sources[spec.source_table] = jdbc_table(
-                    warehouse.spark, options.jdbc_url, spec.source_table
+                    warehouse.spark, options.jdbc_url, spec.source_table,
+                    split_column=column, lower=lower, upper=upper, splits=int(parts),
                 )
-    figures = run_etl(warehouse, sources, specs, offsets, lookback=options.lookback)
-    figures.show(truncate=False)
+    figures = run_etl(
+        warehouse, sources, specs, offsets, _rules(options), options.lookback, options.database
+    )
+    figures.write.mode("overwrite").json(options.out or f"{warehouse.root}/last_run")
     run_summary(figures).show()
 
 
+def _rules(options) -> BusinessRules:
+    return load_rules(options.rules) if options.rules else BusinessRules()
+
+
+def _request(options) -> Request:
+    """The dates given, or those of the period that holds ``as_of``."""
+    if options.start and options.end:
+        return Request.of(options.period, options.start, options.end, options.store)
+    as_of = date.fromisoformat(options.as_of) if options.as_of else date.today()
+    return preset_request(options.period, as_of, options.store)
+
+
 def show_dashboard(warehouse: Warehouse, options) -> None:
     """Write the sections as JSON by section, and the report as CSV."""
-    request = Request.of(options.period, options.start, options.end, options.store)
-    traffic = warehouse.traffic(BusinessRules(), hourly=True)
-    fact, errors = warehouse.table("fact_traffic"), warehouse.table("fact_errors")
-    parts = dashboard(traffic, fact, errors, request)
-    parts.sections().write.mode("overwrite").partitionBy("section").json(f"{options.out}/sections")
-    write_csv(parts.table_data, options.out, request)
-    parts.release()
+    request, rules = _request(options), _rules(options)
+    traffic = warehouse.traffic(rules, hourly=True)
+    errors = warehouse.newest("fact_errors", rules.error_rows)
+    parts = dashboard(traffic, warehouse.latest_record_time(), errors, request)
+    try:
+        parts.sections().write.mode("overwrite").partitionBy("section").json(f"{options.out}/sections")
+        write_csv(parts.table_data, options.out, request)
+    finally:
+        parts.release()
 
 
 def stores(warehouse: Warehouse, options) -> None:
-    store_names(warehouse.table("dim_stores")).show(options.rows, truncate=False)
+    """Write the names of all stores."""
+    store_names(warehouse.table("dim_stores")).write.mode("overwrite").json(options.out)
 
 
 def compact(warehouse: Warehouse, options) -> None:
@@ -87,15 +110,24 @@ def _parser() -> argparse.ArgumentParser:
     loading.add_argument("--tables")
     loading.add_argument("--offsets")
     loading.add_argument("--lookback")
+    loading.add_argument("--rules", help="JSON or YAML of the business rules that differ")
+    loading.add_argument("--database", help="show the tables and the view in this catalog database")
+    loading.add_argument("--out", help="folder for the figures of the run")
+    loading.add_argument(
+        "--split", action="append", default=[], metavar="TABLE=COLUMN,LOWER,UPPER,PARTS",
+        help="read a database table in parallel ranges of a column",
+    )
 
     showing = job("dashboard", show_dashboard)
     showing.add_argument("--out", required=True)
     showing.add_argument("--period", default="day")
-    showing.add_argument("--start", required=True)
-    showing.add_argument("--end", required=True)
+    showing.add_argument("--start")
+    showing.add_argument("--end")
+    showing.add_argument("--as-of", help="without dates: the day whose period is shown")
+    showing.add_argument("--rules", help="JSON or YAML of the business rules that differ")
     showing.add_argument("--store", default=ALL_STORES)
 
-    job("stores", stores).add_argument("--rows", type=int, default=100)
+    job("stores", stores).add_argument("--out", required=True)
     job("compact", compact)
     return parser
 

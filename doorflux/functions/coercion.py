@@ -7,9 +7,6 @@ from collections.abc import Mapping
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Larger offset maps become a lookup join instead of a literal map.
-MAX_LITERAL_OFFSETS = 200
-
 # The characters that are white space, and what counts as a number
 # written as text.
 _WHITE_SPACE = (
@@ -73,7 +70,13 @@ def minutes(col: Column) -> Column:
 
 
 def offset_minutes(store: Column, offsets: Mapping[int, int]) -> Column:
-    """The clock offset of a store, 0 for a store without one."""
-    pairs = [F.lit(value) for pair in sorted(offsets.items()) for value in pair]
-    table = F.create_map(*pairs).cast("map<bigint,int>")
+    """The clock offset of a store, 0 for a store without one.
+
+    The table comes from a settings file, so it is part of the expression: the rows
+    stay where they are, whatever the number of stores in it.
+    """
+    table = F.lit(None).cast("map<bigint,int>")
+    if offsets:
+        ids, late = (F.lit(list(values)) for values in zip(*sorted(offsets.items()), strict=True))
+        table = F.map_from_arrays(ids.cast("array<bigint>"), late.cast("array<int>"))
     return F.coalesce(table[store.try_cast("bigint")], F.lit(0))

@@ -7,6 +7,7 @@ the session time zone.
 from __future__ import annotations
 
 import calendar
+import re
 from dataclasses import dataclass
 from datetime import date, timedelta
 
@@ -98,6 +99,20 @@ def ntz(text: str) -> Column:
     return F.lit(text).cast("timestamp_ntz")
 
 
+#: Seconds of the units an interval may be given in.
+_UNITS = {"second": 1, "minute": 60, "hour": 3600, "day": 86_400, "week": 604_800}
+
+
+def interval(text: str) -> Column:
+    """A span such as ``3 days`` or ``1 hour 30 minutes``; an error if it is none."""
+    found = re.fullmatch(r"\s*(?:\d+\s+[a-z]+\s*)+", text.lower())
+    pairs = re.findall(r"(\d+)\s+([a-z]+)", text.lower())
+    if not found or any(unit.removesuffix("s") not in _UNITS for _, unit in pairs):
+        raise ValueError(f"not an interval: {text!r}")
+    seconds = sum(int(count) * _UNITS[unit.removesuffix("s")] for count, unit in pairs)
+    return F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), F.lit(seconds))
+
+
 def hours(count: int | Column) -> Column:
     return F.make_dt_interval(F.lit(0), F.lit(count))
 
@@ -157,7 +172,10 @@ def preset_range(period: Column, as_of: Column) -> tuple[Column, Column]:
 
 
 def preset_request(period: str, as_of: date, store: str = ALL_STORES) -> Request:
-    """The request a user gets by choosing a period on the day ``as_of``."""
+    """The request a user gets by choosing a period on the day ``as_of``.
+
+    ``default`` is the opening view: the days of the month up to ``as_of``.
+    """
     if period == "week":
         start = as_of - timedelta(days=as_of.weekday())
         end = start + timedelta(days=6)
@@ -166,6 +184,8 @@ def preset_request(period: str, as_of: date, store: str = ALL_STORES) -> Request
         end = as_of.replace(day=calendar.monthrange(as_of.year, as_of.month)[1])
     elif period == "year":
         start, end = date(as_of.year, 1, 1), date(as_of.year, 12, 31)
+    elif period == "default":
+        start, end = as_of.replace(day=1), as_of
     else:
         start = end = as_of
     return Request(period, start, end, store)

@@ -33,25 +33,14 @@ def correct_clock(
     offsets: Mapping[str, Mapping[int, int]] = DEFAULT_OFFSETS,
 ) -> DataFrame:
     """Subtract each store's clock offset from the timestamp."""
-    by_store = offsets.get(spec.bare_source_name)
-    if spec.timestamp_col is None or not by_store:
+    moment, by_store = spec.timestamp_col, offsets.get(spec.bare_source_name, {})
+    needed = {STORE_COLUMN, moment}
+    if moment and by_store and not needed <= set(df.columns):
+        logger.warning("no clock correction of %s: %s missing", spec.source_table, needed - set(df.columns))
+    if not moment or not by_store or not needed <= set(df.columns):
         return df
-    if not {STORE_COLUMN, spec.timestamp_col} <= set(df.columns):
-        logger.warning("no clock correction of %s: column missing", spec.source_table)
-        return df
-    moment = coercion.timestamp(F.col(spec.timestamp_col))
-    if len(by_store) <= coercion.MAX_LITERAL_OFFSETS:
-        late = coercion.offset_minutes(F.col(STORE_COLUMN), by_store)
-        return df.withColumn(spec.timestamp_col, moment - coercion.minutes(late))
-    table = df.sparkSession.createDataFrame(
-        sorted(by_store.items()), "_store bigint, _minutes int"
-    )
-    late = F.coalesce("_minutes", F.lit(0))
-    return (
-        df.join(table, F.col(STORE_COLUMN).try_cast("bigint") == F.col("_store"), "left")
-        .withColumn(spec.timestamp_col, moment - coercion.minutes(late))
-        .drop("_store", "_minutes")
-    )
+    late = coercion.minutes(coercion.offset_minutes(F.col(STORE_COLUMN), by_store))
+    return df.withColumn(moment, coercion.timestamp(F.col(moment)) - late)
 
 
 def rename_and_strip(df: DataFrame, spec: TableSpec) -> DataFrame:
@@ -59,7 +48,7 @@ def rename_and_strip(df: DataFrame, spec: TableSpec) -> DataFrame:
     df = df.withColumnsRenamed(dict(spec.rename_map))
     texts = [
         name
-        for name in (spec.rename_map.get(rule.column, rule.column) for rule in spec.cleaning_rules)
+        for name in (spec.stored_name(rule.column) for rule in spec.cleaning_rules)
         if name in df.columns and isinstance(df.schema[name].dataType, T.StringType)
     ]
     if not texts:
@@ -71,7 +60,7 @@ def rename_and_strip(df: DataFrame, spec: TableSpec) -> DataFrame:
 
 def coerce_counts(df: DataFrame, spec: TableSpec) -> DataFrame:
     """In and out counts as non-negative bigints, 0 where there is no number."""
-    names = [spec.rename_map.get(source) for source in COUNT_COLUMNS]
+    names = [spec.stored_name(source) for source in COUNT_COLUMNS if source in spec.rename_map]
     counts = {name: _count(df, name) for name in names if name in df.columns}
     return df.withColumns(counts) if counts else df
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from doorflux.config import DEFAULT_RULES
@@ -14,12 +14,12 @@ def error_logs(
     """The newest errors with store names; an unknown store has none.
 
     The newest are taken before the join (each has one store at most), so every
-    task keeps ``limit`` rows and only the survivors look up a name.
+    task keeps ``limit`` rows and only the survivors look up a name. For a warehouse
+    table hand in ``Warehouse.newest``, which names the months that are needed.
     """
     newest = (F.desc("logged_at"), F.asc("log_id"))
     picked = (
-        newest_partitions(errors, limit)
-        .select("log_id", "store_id", "logged_at", "error_code", "error_message")
+        errors.select("log_id", "store_id", "logged_at", "error_code", "error_message")
         .orderBy(*newest)
         .limit(limit)
     )
@@ -37,28 +37,10 @@ def error_logs(
 
 
 def has_errors(errors: DataFrame) -> DataFrame:
-    """One row: whether there is any error at all."""
-    return errors.agg((F.count(F.lit(1)) > 0).alias("has_errors"))
+    """One row: whether there is any error at all; the first one found is enough."""
+    return errors.select(F.lit(1)).limit(1).agg((F.count(F.lit(1)) > 0).alias("has_errors"))
 
 
 def latest_record_time(fact: DataFrame) -> DataFrame:
     """One row: the newest record of all, NULL if there is none."""
-    newest = F.max("recorded_at").cast("timestamp_ntz")
-    return newest_partitions(fact, 1).agg(newest.alias("latest_record_time"))
-
-
-def newest_partitions(df: DataFrame, rows: int) -> DataFrame:
-    """The newest (year, month) partitions that together hold ``rows`` rows.
-
-    The rows of each month are counted without reading a column, and the oldest
-    month needed becomes a partition filter. A frame without partition columns is
-    returned as it is. The window runs over months, not over rows.
-    """
-    if not {"year", "month"} <= set(df.columns):
-        return df
-    month = F.col("year") * 12 + F.col("month")
-    by_month = df.groupBy(month.alias("m")).agg(F.count(F.lit(1)).alias("n"))
-    newer = Window.orderBy(F.desc("m")).rowsBetween(Window.unboundedPreceding, -1)
-    held_by_newer = F.coalesce(F.sum("n").over(newer), F.lit(0))
-    needed = by_month.select("m", held_by_newer.alias("newer")).filter(F.col("newer") < rows)
-    return df.filter(month >= needed.agg(F.min("m")).scalar())
+    return fact.agg(F.max("recorded_at").cast("timestamp_ntz").alias("latest_record_time"))

@@ -9,9 +9,6 @@ from doorflux.config import BusinessRules
 from doorflux.functions.periods import ALL_STORES, Request, Window, business_window
 from doorflux.operators.normalize import Traffic
 
-#: Store ids pushed into the scan as an IN list; more are left to the join.
-MAX_PUSHED_IDS = 1000
-
 
 def window_of(request: Request, rules: BusinessRules) -> Window:
     return business_window(request.start_date, request.end_date, rules)
@@ -57,22 +54,15 @@ def with_store_names(traffic: Traffic, by_store: DataFrame, request: Request) ->
 
 
 def prefilter_store(traffic: Traffic, df: DataFrame, request: Request) -> DataFrame:
-    """Push the ids of the chosen store into the scan, if they are few.
+    """Only the rows of the chosen store, before anything is summed.
 
-    Only saves reading: ``with_store_names`` still decides which rows count.
+    A semi-join with the wanted stores: Spark broadcasts them where it finds them
+    small, and a runtime filter on the store id reaches the scan of a large table.
     """
     if request.store == ALL_STORES:
         return df
-    ids = (
-        traffic.stores.filter(F.col("store_name") == request.store)
-        .select("store_id")
-        .distinct()
-        .limit(MAX_PUSHED_IDS + 1)
-        .collect()
-    )
-    if len(ids) > MAX_PUSHED_IDS:
-        return df
-    return df.filter(F.col("store_id").isin([row.store_id for row in ids]))
+    wanted = traffic.stores.filter(F.col("store_name") == request.store)
+    return df.join(wanted.select("store_id"), "store_id", "left_semi")
 
 
 def of_store(view: DataFrame, store: str) -> DataFrame:

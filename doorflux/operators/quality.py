@@ -14,7 +14,6 @@ from pyspark.sql import functions as F
 
 from doorflux.config import TableSpec
 from doorflux.operators.clean import SOURCE_TIME
-from doorflux.session import scratch_dir
 
 #: Column of failures: one entry per failed check of the row.
 FAILURES = "failures"
@@ -93,9 +92,12 @@ def check_columns(df: DataFrame, contract: Contract) -> DataFrame:
     return df.select(*contract.names, *carried)
 
 
-def flag(df: DataFrame, contract: Contract, check_unique: bool = True) -> DataFrame:
+def flag(
+    df: DataFrame, contract: Contract, check_unique: bool = True, taken: DataFrame | None = None
+) -> DataFrame:
     """The rows with contract types, an array of all their failures, and whether
-    they passed.
+    they passed. ``taken`` holds rows whose unique keys may not come again. ``df`` is
+    read twice if a key must be unique: hand in rows that have been written.
 
     Catalyst pushes a filter below the projections and repeats their expressions
     there, so ``passed`` holds each column once and does not use ``failures``.
@@ -104,7 +106,7 @@ def flag(df: DataFrame, contract: Contract, check_unique: bool = True) -> DataFr
     repeated = {}
     if check_unique:
         for field in contract.unique_fields:
-            df = _mark_repeated(df, field)
+            df = _mark_repeated(df, field, taken)
             repeated[field.name] = F.col(f"{_REPEATED}_{field.name}").isNotNull()
     types = {column.name: column.dataType.simpleString() for column in df.schema}
     typed = {field.name: _typed(field, types) for field in contract.fields}
@@ -158,19 +160,21 @@ def repeated_keys(df: DataFrame, key: str) -> DataFrame:
     )
 
 
-def _mark_repeated(df: DataFrame, field: Field) -> DataFrame:
-    """Add a column that is set where the key is repeated anywhere in ``df``.
+def _mark_repeated(df: DataFrame, field: Field, taken: DataFrame | None) -> DataFrame:
+    """Add a column that is set where the key is repeated in ``df`` or already ``taken``.
 
-    The repeated keys are written first: Spark then knows their true size. Few of
-    them are broadcast and the rows stay where they are; many make a sort-merge
-    join between two plain exchanges, whose hot keys adaptive execution splits.
+    Nothing is run or written here. Adaptive execution knows the true number of
+    such keys when it joins them: few are broadcast and the rows stay where they are;
+    many make a sort-merge join, whose hot keys it splits.
     """
-    spark = df.sparkSession
-    path = scratch_dir(spark, f"repeated-{field.name}")
     key = F.col(field.name).try_cast(field.type)
     mark = f"{_REPEATED}_{field.name}"
-    repeated_keys(df.select(key.alias(mark)), mark).select(mark).write.parquet(path)
-    keys = spark.read.schema(f"{mark} {field.type}").parquet(path)
+    batch = df.select(key.alias(mark))
+    keys = repeated_keys(batch, mark).select(mark)
+    if taken is not None:
+        known = taken.select(F.col(field.name).cast(field.type).alias(mark))
+        distinct = batch.filter(F.col(mark).isNotNull()).distinct()
+        keys = keys.unionAll(known.join(distinct, mark, "left_semi")).distinct()
     return df.join(keys, key == F.col(mark), "left")
 
 

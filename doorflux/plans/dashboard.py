@@ -1,4 +1,4 @@
-"""The whole dashboard of a request, as separate parts or as one document."""
+"""The whole dashboard of a request, as separate parts."""
 
 from __future__ import annotations
 
@@ -10,16 +10,13 @@ from pyspark.sql import functions as F
 
 from doorflux.functions.periods import Request
 from doorflux.operators.buckets import hourly_rollup, trend
-from doorflux.operators.errors import error_logs, latest_record_time
-from doorflux.operators.filters import in_either_window, previous_window, window_of
+from doorflux.operators.errors import error_logs
+from doorflux.operators.filters import in_either_window, prefilter_store, previous_window, window_of
 from doorflux.operators.metrics import metrics
 from doorflux.operators.normalize import Traffic
 from doorflux.operators.report import report, report_summary
 from doorflux.operators.stores import store_comparison
 
-#: A document holds one entry per store; more stores are for ``sections``.
-MAX_DOCUMENT_STORES = 10_000
-
 
 @dataclass(frozen=True)
 class Dashboard:
@@ -62,42 +59,18 @@ class Dashboard:
         ]
         return reduce(DataFrame.unionAll, rows)
 
-    def document(self) -> DataFrame:
-        """One row with all parts nested in it.
-
-        Every part but the stores is bounded by the request; the number of
-        stores is counted first, and ``sections`` holds any number.
-        """
-        stores = self.store_comparison_chart.count()
-        if stores > MAX_DOCUMENT_STORES:
-            raise ValueError(f"{stores} stores do not fit one document: use sections()")
-        by_size = F.struct(-F.col("y"), F.col("x").isNull(), F.col("x"))
-        newest = F.struct(F.col("log_time"), -F.col("id"))
-        summary = self.table_summary.select(F.struct("*"))
-        return self.metrics.select(
-            F.struct("*").alias("metrics"),
-            _array(self.trend_chart, F.col("x")).alias("trend_chart"),
-            _array(self.store_comparison_chart, by_size).alias("store_comparison_chart"),
-            F.struct(
-                _array(self.table_data, F.col("period"), descending=True).alias("data"),
-                summary.scalar().alias("summary"),
-            ).alias("table_data"),
-            _array(self.error_logs, newest, descending=True).alias("error_logs"),
-            self.latest_record_time.scalar().alias("latest_record_time"),
-        )
-
 
 def dashboard(
-    traffic: Traffic, fact: DataFrame, errors: DataFrame, request: Request
+    traffic: Traffic, latest: DataFrame, errors: DataFrame, request: Request
 ) -> Dashboard:
-    """All parts of one request.
+    """All parts of one request; ``latest`` is one row of the newest time.
 
-    The counts of both ranges are summed to store and hour once and kept, since
-    five parts read them; hours answer each of them exactly.
+    The counts of both ranges and of the chosen store are summed to store and hour
+    once and kept, since five parts read them; hours answer each of them exactly.
     """
     rules = traffic.rules
     rows = in_either_window(traffic.counts, window_of(request, rules), previous_window(request, rules))
-    hours = hourly_rollup(rows).persist()
+    hours = hourly_rollup(prefilter_store(traffic, rows, request)).persist()
     hourly = Traffic.from_rollup(hours, traffic.stores, rules)
     return Dashboard(
         metrics=metrics(hourly, request),
@@ -106,17 +79,10 @@ def dashboard(
         table_data=report(hourly, request),
         table_summary=report_summary(hourly, request),
         error_logs=error_logs(errors, traffic.stores, rules.error_rows),
-        latest_record_time=latest_record_time(fact),
+        latest_record_time=latest,
         _hours=hours,
     )
 
 
-def _array(part: DataFrame, rank: Column, descending: bool = False) -> Column:
-    entries = F.sort_array(
-        F.collect_list(F.struct(rank.alias("rank"), F.struct("*").alias("entry"))), asc=not descending
-    )
-    return part.agg(F.transform(entries, lambda pair: pair["entry"]).alias("entries")).scalar()
-
-
 def _iso(name: str) -> Column:
     return F.col(name).cast("string")

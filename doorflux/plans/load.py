@@ -18,7 +18,7 @@ from doorflux.config import (
     default_specs,
     in_load_order,
 )
-from doorflux.functions.periods import ntz
+from doorflux.functions.periods import interval, ntz
 from doorflux.operators.clean import clean, keep_source_time
 from doorflux.operators.quality import contract_for, flag
 from doorflux.plans.warehouse import Commit, History, Load, Warehouse
@@ -50,12 +50,16 @@ class Loaded:
 
 def prepare(rows: DataFrame, spec: TableSpec, offsets: Offsets = DEFAULT_OFFSETS) -> DataFrame:
     """Raw source rows, cleaned and checked against the table's contract."""
-    cleaned = clean(keep_source_time(rows, spec), spec, offsets)
+    return checked(clean(keep_source_time(rows, spec), spec, offsets), spec)
+
+
+def checked(cleaned: DataFrame, spec: TableSpec, taken: DataFrame | None = None) -> DataFrame:
+    """Cleaned rows with their failures; ``taken`` holds rows whose keys are in use."""
     contract = contract_for(spec)
     if contract is None:
         logger.warning("no contract for %s: rows are not checked", spec.dest_table)
         return cleaned
-    return flag(cleaned, contract)
+    return flag(cleaned, contract, taken=taken)
 
 
 def load_table(
@@ -69,8 +73,8 @@ def load_table(
 ) -> Loaded:
     """Load one table: everything, or what is newer than its mark.
 
-    The mark is the newest *source* time loaded, in microseconds, because the
-    extract compares source times. Rows older than the mark are not seen again
+    The mark is the newest *source* time written, of accepted and of quarantined rows,
+    in microseconds, because the extract compares source times. Rows older than the mark are not seen again
     unless a ``lookback`` is given; then rows already published are left out.
     """
     history = warehouse.history(spec.dest_table)
@@ -92,11 +96,26 @@ def write_and_publish(
     offsets: Offsets = DEFAULT_OFFSETS,
     rules: BusinessRules = DEFAULT_RULES,
     rebalance: bool = True,
+    batch: tuple[str, int] | None = None,
 ) -> Loaded:
-    load = warehouse.write_load(prepare(rows, spec, offsets), spec, load_id, rebalance)
-    if spec.dest_table == "fact_traffic" and load.rows:
-        warehouse.write_rollup(load, rules)
-    return Loaded(spec, load, warehouse.publish(spec, load, history))
+    """Clean, check, write and publish; ``batch`` names the stream and batch of the rows.
+
+    A table with unique keys is checked on rows that are written once, so that the
+    source is read once; its keys must differ from the published ones too, unless
+    the load replaces those.
+    """
+    name, contract = spec.dest_table, contract_for(spec)
+    cleaned = clean(keep_source_time(rows, spec), spec, offsets)
+    twice = contract is not None and bool(contract.unique_fields)
+    if twice:
+        cleaned = warehouse.staged(cleaned, name)
+    taken = warehouse.table(name) if twice and spec.incremental and history.current.loads else None
+    load = warehouse.write_load(checked(cleaned, spec, taken), spec, load_id, rebalance)
+    if twice:
+        warehouse.unstage(cleaned, name)
+    if name == "fact_traffic" and load.rows:
+        load = warehouse.write_rollup(load, rules)
+    return Loaded(spec, load, warehouse.publish(spec, load, history, batch))
 
 
 def _unpublished(
@@ -107,7 +126,7 @@ def _unpublished(
     mark: str,
     lookback: str,
 ) -> DataFrame:
-    """Rows whose natural key is not published yet.
+    """Rows whose natural key is not published yet, each key once.
 
     Only the published rows that can lie in the lookback are read: a stored time
     is the source time less the largest clock offset, at most. Both sides enter
@@ -115,15 +134,17 @@ def _unpublished(
     """
     keys = NATURAL_KEYS[spec.dest_table]
     largest = max([0, *offsets.get(spec.bare_source_name, {}).values()])
-    oldest = ntz(mark) - F.expr(f"INTERVAL {lookback}") - F.expr(f"INTERVAL {largest} MINUTES")
+    oldest = ntz(mark) - interval(lookback) - interval(f"{largest} minutes")
     stored = F.col(spec.final_timestamp_col)
     known = warehouse.table(spec.dest_table).filter(stored > oldest)
-    known = known.filter(F.col("year") >= F.year(oldest))
+    year, month = F.col("year"), F.col("month")
+    in_month = (year > F.year(oldest)) | ((year == F.year(oldest)) & (month >= F.month(oldest)))
+    known = known.filter((year >= F.year(oldest)) & in_month)
     known = known.select(*[F.col(key).alias(f"_known_{key}") for key in keys])
 
     # The keys as they will be stored, beside the raw columns.
     raw = [F.col(name).alias(f"_raw_{name}") for name in rows.columns]
-    keyed = clean(rows.select("*", *raw), spec, offsets)
+    keyed = clean(rows.select("*", *raw), spec, offsets).dropDuplicates(list(keys))
     same = [F.col(key).eqNullSafe(F.col(f"_known_{key}")) for key in keys]
     fresh = keyed.join(known, same, "left_anti")
     return fresh.select(*[F.col(f"_raw_{name}").alias(name) for name in rows.columns])
@@ -136,18 +157,24 @@ def run_etl(
     offsets: Offsets = DEFAULT_OFFSETS,
     rules: BusinessRules = DEFAULT_RULES,
     lookback: str | None = None,
+    database: str | None = None,
 ) -> DataFrame:
     """Load all tables, dimensions first, and return one row of figures each.
 
     ``sources`` holds the raw table of each spec by its source table name. A
-    table that fails is reported as such and the others are still loaded.
+    table that fails is reported as such and the others are still loaded. With a
+    ``database`` each table is shown in the catalog with its statistics, and the
+    view of normalised traffic over them.
     """
     figures = []
-    for spec in in_load_order(default_specs() if specs is None else specs):
+    specs = in_load_order(default_specs() if specs is None else specs)
+    for spec in specs:
         try:
             done = load_table(
                 warehouse, spec, sources[spec.source_table], offsets, rules, lookback
             )
+            if database is not None and contract_for(spec) is not None:
+                warehouse.publish_to_catalog(spec, database)
         except Exception as error:
             logger.exception("loading %s failed", spec.dest_table)
             figures.append((spec.processing_order, spec.dest_table, "failed", 0, 0, False, None, str(error)))
@@ -163,6 +190,8 @@ def run_etl(
             done.commit.mark,
             None,
         ))
+    if database is not None and {"fact_traffic", "dim_stores"} <= {spec.dest_table for spec in specs}:
+        warehouse.publish_view(database, rules)
     return warehouse.spark.createDataFrame(
         figures,
         "processing_order int, dest_table string, status string, rows_loaded bigint, "

@@ -3,36 +3,53 @@
 Layout of a table::
 
     <root>/<table>/data/load_id=…/outcome=accepted|rejected[/year=…/month=…]
-    <root>/<table>/commits/v=N      one JSON row: published loads and the mark
+    <root>/<table>/commits/v=N      one JSON row: what is published, and the mark
+    <root>/<table>/staged           the cleaned rows of a load while it runs
 
 A load writes only its own folder and is invisible until a commit names it. The
-commit carries the loads and the high-water mark together, so the published rows
-and the mark never disagree. A repeated attempt overwrites the folder of the
-failed one. Nothing a reader may be reading is ever changed. One writer per table
-at a time is assumed.
+commit carries the loads, those with quarantined rows, the high-water mark, the last
+batch of each stream, the rules of the hourly sums and the rows of each month
+together, so they never disagree. Every load that wrote a row is recorded, also one
+without a good row, so no number is given out twice; a repeated attempt
+overwrites the folder of the failed one, which no commit names. Nothing a reader may be
+reading is ever changed. One writer per table at a time is assumed.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterable
-from dataclasses import dataclass
+from collections.abc import Iterable, Mapping
+from dataclasses import dataclass, field, replace
+from typing import NamedTuple
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from doorflux.config import DEFAULT_MARK, DEFAULT_RULES, BusinessRules, TableSpec
 from doorflux.operators.buckets import hourly_rollup, sum_hours
 from doorflux.operators.clean import SOURCE_TIME
-from doorflux.operators.normalize import Traffic, counts_of, register_view
+from doorflux.operators.normalize import VIEW_NAME, Traffic, counts_of, register_view
 from doorflux.operators.quality import CONTRACTS, FAILURES, PASSED
 
-_COMMIT = "loads array<string>, rows bigint, rejected bigint, mark string"
+_MONTHS = "array<struct<load_id:string,year:int,month:int,rows:bigint,newest:string>>"
+_COMMIT = (
+    "loads array<string>, rows bigint, rejected bigint, mark string, rejects array<string>, "
+    f"streams map<string,bigint>, caps map<string,string>, months {_MONTHS}"
+)
 _FAILURES_DDL = f"{FAILURES} array<struct<column:string,check:string,failure_case:string>>"
 _ROLLUP = "record_time timestamp_ntz, store_id bigint, in_count bigint, out_count bigint, year int, month int"
 ROLLUP_TABLE = "traffic_hourly"
 _KEPT = "outcome = 'accepted'"
 
 
+class Month(NamedTuple):
+    load_id: str
+    year: int
+    month: int
+    rows: int
+    newest: str
+
+
 @dataclass(frozen=True)
 class Commit:
     """A published version; version 0 is the table before its first load."""
@@ -42,6 +59,14 @@ class Commit:
     rows: int = 0
     rejected: int = 0
     mark: str | None = None
+    #: Finished loads with quarantined rows, published or not.
+    rejects: tuple[str, ...] = ()
+    #: The last batch of each stream that has been recorded.
+    streams: Mapping[str, int] = field(default_factory=dict)
+    #: The rules that a load's hourly sums were capped with.
+    caps: Mapping[str, str] = field(default_factory=dict)
+    #: Rows and newest time of each month of each published load.
+    months: tuple[Month, ...] = ()
 
 
 @dataclass(frozen=True)
@@ -68,6 +93,7 @@ class Load:
     rows: int
     rejected: int
     mark: str | None
+    caps: str | None = None
 
 
 class Warehouse:
@@ -103,69 +129,118 @@ class Warehouse:
             seen,
             F.count_if(kept).alias("rows"),
             F.count_if(~kept).alias("rejected"),
-            F.max(F.when(kept, source_time)).cast("string").alias("mark"),
+            F.max(source_time).cast("string").alias("mark"),
         )
         path = f"{self._data(spec.dest_table)}/load_id={load_id}"
         rows.drop(SOURCE_TIME, PASSED).write.mode("overwrite").partitionBy(*parts).parquet(path)
         counts = seen.get
         return Load(load_id, counts["rows"], counts["rejected"], counts["mark"])
 
-    def write_rollup(self, load: Load, rules: BusinessRules = DEFAULT_RULES) -> None:
+    def staged(self, rows: DataFrame, name: str) -> DataFrame:
+        """``rows`` written once, for a check that reads them twice; see ``unstage``."""
+        rows.write.mode("overwrite").parquet(f"{self.root}/{name}/staged")
+        return self.spark.read.schema(rows.schema).parquet(f"{self.root}/{name}/staged")
+
+    def unstage(self, staged: DataFrame, name: str) -> None:
+        """Empty the folder of staged rows."""
+        nothing = self.spark.createDataFrame([], staged.schema)
+        nothing.write.mode("overwrite").parquet(f"{self.root}/{name}/staged")
+
+    def write_rollup(self, load: Load, rules: BusinessRules = DEFAULT_RULES) -> Load:
         """The hourly sums of one traffic load, from what the load wrote."""
         fact = self._loads("fact_traffic", [load.load_id])
         self._write_rollup(hourly_rollup(counts_of(fact, rules)), load.load_id)
+        return replace(load, caps=caps_of(rules))
 
     def _write_rollup(self, rollup: DataFrame, load_id: str) -> None:
         path = f"{self._data(ROLLUP_TABLE)}/load_id={load_id}"
         rows = rollup.hint("rebalance", "year", "month")
         rows.write.mode("overwrite").partitionBy("year", "month").parquet(path)
 
-    def publish(self, spec: TableSpec, load: Load, history: History | None = None) -> Commit:
-        """Make a load visible; nothing happens if it holds no good row.
-
-        A full load replaces what was published, an incremental one adds to it.
+    def publish(
+        self,
+        spec: TableSpec,
+        load: Load,
+        history: History | None = None,
+        batch: tuple[str, int] | None = None,
+    ) -> Commit:
+        """Record a load, and make it visible if it holds a good row.
+
+        A full load replaces what was published, an incremental one adds to it. A load
+        without any row changes nothing. ``batch`` names the stream and batch it is.
         """
-        history = self.history(spec.dest_table) if history is None else history
+        name = spec.dest_table
+        history = self.history(name) if history is None else history
         current = history.current
-        if load.rows == 0 or load.load_id in current.loads:
+        if load.rows + load.rejected == 0 or load.load_id in (*current.loads, *current.rejects):
             return current
-        earlier = current.loads if spec.incremental else ()
         marks = [mark for mark in (current.mark, load.mark) if mark]
-        return self._record(spec.dest_table, Commit(
+        commit = replace(
+            current,
             version=history.newest + 1,
-            loads=(*earlier, load.load_id),
             rows=load.rows,
             rejected=load.rejected,
             mark=max(marks) if spec.incremental and marks else None,
-        ))
+            # a full load brings its bad rows again: those of the last one count
+            rejects=(*(current.rejects if spec.incremental else ()), *([load.load_id] if load.rejected else [])),
+            streams={**current.streams, **(dict([batch]) if batch else {})},
+        )
+        if load.rows:
+            earlier = current if spec.incremental else Commit()
+            commit = replace(
+                commit,
+                loads=(*earlier.loads, load.load_id),
+                caps={**earlier.caps, **({load.load_id: load.caps} if load.caps else {})},
+                months=(*earlier.months, *self._months(spec, load.load_id)),
+            )
+        return self._record(name, commit)
+
+    def _months(self, spec: TableSpec, load_id: str) -> list[Month]:
+        """Rows and newest time of each month a load wrote; a few rows."""
+        if not {"year", "month"} <= set(spec.partition_cols) or not spec.final_timestamp_col:
+            return []
+        newest = F.max(spec.final_timestamp_col).cast("string").alias("newest")
+        months = self._loads(spec.dest_table, [load_id]).groupBy("year", "month")
+        rows = months.agg(F.count(F.lit(1)).alias("rows"), newest).collect()
+        return [Month(load_id, r["year"], r["month"], r["rows"], r["newest"]) for r in rows]
 
     def compact(self, spec: TableSpec) -> Commit:
-        """Publish the same rows as one load, so that readers list few folders.
+        """Publish the loads since the last compaction as one, so that readers list few folders.
 
-        The mark stays. The loads merged here remain for readers of the version
-        before.
+        All else that is recorded stays. The loads merged here remain for readers of
+        the version before.
         """
         name = spec.dest_table
         history = self.history(name)
         current = history.current
-        if len(current.loads) < 2:
+        small = [load for load in current.loads if not load.startswith("C")]
+        if len(small) < 2:
             return current
         load_id = f"C{history.newest + 1:08d}"
-        load = self.write_load(self.table(name), spec, load_id)
-        if name == "fact_traffic":
-            self._write_rollup(sum_hours(self.rollup()), load_id)
-        merged = Commit(history.newest + 1, (load_id,), load.rows, 0, current.mark)
-        return self._record(name, merged)
+        load = self.write_load(self._loads(name, small), spec, load_id)
+        caps = {current.caps.get(each) for each in small}
+        if name == "fact_traffic" and len(caps) == 1 and None not in caps:
+            # sums under different rules do not add up: without any, records answer
+            self._write_rollup(sum_hours(self._rollup(small)), load_id)
+            load = replace(load, caps=caps.pop())
+        kept = [each for each in current.loads if each not in small]
+        return self._record(name, replace(
+            current,
+            version=history.newest + 1,
+            loads=(*kept, load_id),
+            rows=load.rows,
+            rejected=0,
+            caps={**{k: v for k, v in current.caps.items() if k in kept}, **({load_id: load.caps} if load.caps else {})},
+            months=(*(m for m in current.months if m.load_id in kept), *self._months(spec, load_id)),
+        ))
 
     def _record(self, name: str, commit: Commit) -> Commit:
-        record = self.spark.range(1, numPartitions=1).select(
-            F.array(*map(F.lit, commit.loads)).alias("loads"),
-            F.lit(commit.rows).alias("rows"),
-            F.lit(commit.rejected).alias("rejected"),
-            F.lit(commit.mark).cast("string").alias("mark"),
+        values = (
+            list(commit.loads), commit.rows, commit.rejected, commit.mark, list(commit.rejects),
+            dict(commit.streams), dict(commit.caps), [tuple(month) for month in commit.months],
         )
-        path = f"{self._commits(name)}/v={commit.version}"
-        record.write.mode("overwrite").json(path)
+        record = self.spark.createDataFrame([values], _COMMIT).coalesce(1)
+        record.write.mode("overwrite").json(f"{self._commits(name)}/v={commit.version}")
         return commit
 
     def publish_to_catalog(
@@ -173,20 +248,31 @@ class Warehouse:
     ) -> None:
         """Show the published version as a catalog view, by one catalog call.
 
-        The loads live in one external table; statistics are taken of the newest
-        load only, or of the whole of a table that is always loaded in full.
+        The loads live in one external table, of which only the partitions the catalog
+        does not know yet are added. Statistics are taken of the newest load, of the
+        whole of a table that is always loaded in full with all its columns.
         """
         contract = CONTRACTS[spec.dest_table]
         commit = self.commit(spec.dest_table)
         table = f"{database}.{spec.dest_table}"
         loads = f"{table}_loads"
-        parts = ", ".join(["load_id", "outcome", *spec.partition_cols])
+        parts = ["load_id", "outcome", *spec.partition_cols]
         self.spark.sql(
             f"CREATE TABLE IF NOT EXISTS {loads} ({contract.ddl}, {_FAILURES_DDL}, "
-            f"load_id string, outcome string) USING parquet PARTITIONED BY ({parts}) "
+            f"load_id string, outcome string) USING parquet PARTITIONED BY ({', '.join(parts)}) "
             f"LOCATION '{self._data(spec.dest_table)}'"
         )
-        self.spark.sql(f"MSCK REPAIR TABLE {loads}")
+        known = {row[0] for row in self.spark.sql(f"SHOW PARTITIONS {loads}").collect()}
+        wanted = [{"load_id": load, "outcome": "accepted"} for load in commit.loads]
+        if spec.partition_cols:
+            wanted = [
+                {"load_id": m.load_id, "outcome": "accepted", "year": m.year, "month": m.month}
+                for m in commit.months
+            ]
+        new = [w for w in wanted if "/".join(f"{k}={v}" for k, v in w.items()) not in known]
+        for start in range(0, len(new), 500):
+            added = " ".join(f"PARTITION ({_assigned(w)})" for w in new[start:start + 500])
+            self.spark.sql(f"ALTER TABLE {loads} ADD IF NOT EXISTS {added}")
         published = ", ".join(f"'{load}'" for load in commit.loads) or "NULL"
         self.spark.sql(
             f"CREATE OR REPLACE VIEW {table} AS SELECT {', '.join(contract.names)} FROM {loads} "
@@ -195,31 +281,77 @@ class Warehouse:
         if not (analyze and commit.loads):
             return
         if spec.incremental:
-            newest = f"PARTITION (load_id = '{commit.loads[-1]}')"
+            free = ", ".join(["outcome", *spec.partition_cols])
+            newest = f"PARTITION (load_id = '{commit.loads[-1]}', {free})"
             self.spark.sql(f"ANALYZE TABLE {loads} {newest} COMPUTE STATISTICS")
         else:
             columns = ", ".join(contract.names)
             self.spark.sql(f"ANALYZE TABLE {loads} COMPUTE STATISTICS FOR COLUMNS {columns}")
 
+    def publish_view(self, database: str = "default", rules: BusinessRules = DEFAULT_RULES) -> None:
+        """Define or replace the lasting view of normalised traffic over the catalog's views."""
+        scaled = "1"
+        if rules.outlier_scale_ratio > 0:
+            scaled = "CAST(round({0} * CAST(" + repr(rules.outlier_scale_ratio) + " AS DOUBLE), 0) AS BIGINT)"
+        capped = f"CASE WHEN {{0}} > {rules.outlier_threshold} THEN {scaled} ELSE {{0}} END"
+        self.spark.sql(
+            f"""CREATE OR REPLACE VIEW {database}.{VIEW_NAME} AS
+                SELECT f.recorded_at AS record_time, s.store_name,
+                       {capped.format('f.visitors_in')} AS in_count,
+                       {capped.format('f.visitors_out')} AS out_count,
+                       f.recorded_at - make_dt_interval(0, {rules.working_hour_start}) AS adjusted_time
+                FROM {database}.fact_traffic f LEFT JOIN {database}.dim_stores s ON f.store_id = s.store_id"""
+        )
+
     # -- reading ---------------------------------------------------------------
 
     def table(self, name: str) -> DataFrame:
         """The published rows, with the contract's columns."""
         return self._loads(name, self.commit(name).loads)
 
+    def newest(self, name: str, rows: int) -> DataFrame:
+        """The newest months of a table that together hold ``rows`` rows, by the commit."""
+        commit = self.commit(name)
+        held: dict[tuple[int, int], int] = {}
+        for month in commit.months:
+            held[month.year, month.month] = held.get((month.year, month.month), 0) + month.rows
+        seen, first = 0, None
+        for first in sorted(held, reverse=True):
+            seen += held[first]
+            if seen >= rows:
+                break
+        table = self._loads(name, commit.loads)
+        if first is None:
+            return table
+        year, month = first
+        return table.filter((F.col("year") > year) | ((F.col("year") == year) & (F.col("month") >= month)))
+
+    def latest_record_time(self, name: str = "fact_traffic") -> DataFrame:
+        """One row: the newest time published, NULL if there is none; no file is read."""
+        newest = max((month.newest for month in self.commit(name).months), default=None)
+        row = self.spark.createDataFrame([(newest,)], "newest string")
+        return row.select(F.col("newest").cast("timestamp_ntz").alias("latest_record_time"))
+
     def rollup(self) -> DataFrame:
         """Hourly sums of the published traffic loads."""
-        loads = self.commit("fact_traffic").loads
-        if not loads:
-            return self.spark.createDataFrame([], _ROLLUP)
+        return self._rollup(self.commit("fact_traffic").loads)
+
+    def _rollup(self, loads: Iterable[str]) -> DataFrame:
         data = self._data(ROLLUP_TABLE)
         paths = [f"{data}/load_id={load}" for load in loads]
+        if not paths:
+            return self.spark.createDataFrame([], _ROLLUP)
         reader = self.spark.read.schema(f"{_ROLLUP}, load_id string").option("basePath", data)
         return reader.parquet(*paths).drop("load_id")
 
     def rejected(self, name: str) -> DataFrame:
-        """The rows of every load that broke the contract, with their failures."""
-        return self._read_all(name).filter(F.col("outcome") == "rejected").drop("outcome")
+        """The rows of every finished load that broke the contract, with their failures."""
+        data = self._data(name)
+        paths = [f"{data}/load_id={load}/outcome=rejected" for load in self.commit(name).rejects]
+        if not paths:
+            return self.spark.createDataFrame([], self._schema(name)).drop("outcome")
+        reader = self.spark.read.schema(self._schema(name)).option("basePath", data)
+        return reader.parquet(*paths).drop("outcome")
 
     def history(self, name: str) -> History:
         """The state of a table; an unreadable or missing record counts as none.
@@ -234,7 +366,9 @@ class Warehouse:
             found = self.spark.read.schema(_COMMIT).json(f"{path}/v={version}").first()
             if found is not None and found.loads is not None:
                 current = Commit(
-                    version, tuple(found.loads), found.rows, found.rejected, found.mark
+                    version, tuple(found.loads), found.rows, found.rejected, found.mark,
+                    tuple(found.rejects or ()), found.streams or {}, found.caps or {},
+                    tuple(Month(*month) for month in found.months or ()),
                 )
                 return History(current, newest)
         return History(newest=newest)
@@ -254,10 +388,11 @@ class Warehouse:
 
     def traffic(self, rules: BusinessRules = DEFAULT_RULES, hourly: bool = False) -> Traffic:
         """The published traffic for the dashboard queries."""
-        stores = self.table("dim_stores")
-        if hourly:
-            return Traffic.from_rollup(self.rollup(), stores, rules)
-        return Traffic.from_fact(self.table("fact_traffic"), stores, rules)
+        stores, commit = self.table("dim_stores"), self.commit("fact_traffic")
+        # sums capped under other rules would answer another question
+        if hourly and all(commit.caps.get(load) == caps_of(rules) for load in commit.loads):
+            return Traffic.from_rollup(self._rollup(commit.loads), stores, rules)
+        return Traffic.from_fact(self._loads("fact_traffic", commit.loads), stores, rules)
 
     def register_views(self, rules: BusinessRules = DEFAULT_RULES) -> None:
         """Session views of all tables and of the normalised traffic."""
@@ -291,16 +426,24 @@ class Warehouse:
         rows = reader.schema(self._schema(name)).parquet(*paths)
         return rows.filter(_KEPT).select(*contract.names)
 
-    def _read_all(self, name: str) -> DataFrame:
-        if not child_names(self.spark, self._data(name)):
-            return self.spark.createDataFrame([], self._schema(name))
-        return self.spark.read.schema(self._schema(name)).parquet(self._data(name))
+
+def caps_of(rules: BusinessRules) -> str:
+    """The rules that hourly sums depend on, as text."""
+    return f"{rules.outlier_threshold} {rules.outlier_scale_ratio!r}"
+
+
+def _assigned(values: Mapping[str, object]) -> str:
+    return ", ".join(f"{name} = {value!r}" for name, value in values.items())
 
 
 def child_names(spark: SparkSession, path: str) -> list[str]:
-    """The names in a folder, on whatever file system; none if it does not exist."""
-    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    files = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    if not files.exists(folder):
+    """The names in a folder, on whatever file system; none if it does not exist.
+
+    Only the names are read: the files in it have no bytes to look at here.
+    """
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
+    try:
+        found = files.load(path).select(F.regexp_extract("path", r"/([^/]+=[^/]+)/[^/]+$", 1).alias("name"))
+        return [row["name"] for row in found.distinct().collect()]
+    except AnalysisException:
         return []
-    return [status.getPath().getName() for status in files.listStatus(folder)]

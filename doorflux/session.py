@@ -29,14 +29,15 @@ def build_session(app_name: str = "doorflux", master: str | None = None, **conf)
 
 
 def scratch_dir(spark: SparkSession, purpose: str) -> str:
-    """A new folder for one run, under the shared folder the cluster names.
+    """A new folder for one run, under the shared folder that ``spark.checkpoint.dir`` names.
 
-    The folder comes from ``spark.checkpoint.dir``. Only a local session may go
-    without it; a cluster's executors could not see each other's local disks.
+    Only a session that runs in one process may go without the setting; a cluster's
+    executors could not see each other's local disks.
     """
-    shared = spark.conf.get("spark.checkpoint.dir", None)
+    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not shared:
-        if not spark.sparkContext.master.startswith("local"):
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
             raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
         shared = _local_scratch()
     return f"{shared.rstrip('/')}/doorflux/{purpose}-{uuid.uuid4().hex}"

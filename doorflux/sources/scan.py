@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from doorflux.config import TableSpec
-from doorflux.functions.periods import ntz
+from doorflux.functions.periods import interval, ntz
 
 
 def parquet_table(spark: SparkSession, path: str) -> DataFrame:
@@ -57,10 +57,7 @@ def jdbc_options(
 
 def project(source: DataFrame, spec: TableSpec) -> DataFrame:
     """The columns the spec maps, plus its timestamp; all if it maps none."""
-    columns = list(spec.rename_map)
-    if spec.timestamp_col and spec.timestamp_col not in columns:
-        columns.append(spec.timestamp_col)
-    return source.select(*columns) if columns else source.select("*")
+    return source.select(*(spec.source_columns or ["*"]))
 
 
 def extract(
@@ -79,5 +76,5 @@ def extract(
         return rows
     newest_known = ntz(mark)
     if lookback is not None:
-        newest_known = newest_known - F.expr(f"INTERVAL {lookback}")
+        newest_known = newest_known - interval(lookback)
     return rows.filter(F.col(spec.timestamp_col) > newest_known)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from threading import Event
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -38,8 +39,9 @@ def stream_load(
 ) -> StreamingQuery:
     """Load all files not loaded before, then stop.
 
-    Each batch becomes the load named after its number, so a batch that is run
-    again after a failure is published once. A late row is
+    A load's commit notes the stream, by the id that its checkpoint keeps, and the
+    batch: a batch that is run again after a failure is published once, and streams
+    into one table do not take each other's batches for their own. A late row is
     loaded whenever its file lands. With ``distinct_within`` (an interval) a row
     is loaded once per ``distinct_on`` key within that span of event time.
     """
@@ -50,18 +52,27 @@ def stream_load(
         watermarked = timed.withWatermark(EVENT_TIME, distinct_within)
         rows = watermarked.dropDuplicatesWithinWatermark(list(distinct_on)).drop(EVENT_TIME)
 
+    started: list[StreamingQuery] = []
+    known = Event()
+
     def load(batch: DataFrame, number: int) -> None:
-        load_id = f"S{number:08d}"
+        known.wait()
+        stream = str(started[0].id)
         history = warehouse.history(spec.dest_table)
-        if load_id in history.current.loads:
-            return  # published before a failure kept the checkpoint from noting it
-        done = write_and_publish(warehouse, spec, batch, load_id, history, offsets, rules)
+        if history.current.streams.get(stream, -1) >= number:
+            return  # recorded before a failure kept the checkpoint from noting it
+        done = write_and_publish(
+            warehouse, spec, batch, history.next_load_id, history, offsets, rules, batch=(stream, number)
+        )
         if on_loaded is not None:
             on_loaded(done)
 
-    return (
+    query = (
         rows.writeStream.foreachBatch(load)
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
         .start()
     )
+    started.append(query)
+    known.set()
+    return query

@@ -111,7 +111,7 @@ def test_shift_back():
 
 def test_presets_agree(spark):
     days = [date(2023, 12, 28) + timedelta(days=i) for i in range(70)]
-    for period in ("day", "week", "month", "year"):
+    for period in ("day", "week", "month", "year", "default"):
         first, last = periods.preset_range(F.lit(period), F.col("d"))
         df = spark.createDataFrame([(day,) for day in days], "d date").select("d", first, last)
         for day, start, end in df.collect():

@@ -17,15 +17,24 @@ def test_load_and_dashboard(spark, sf_dir, tmp_path, capsys):
     for name, feed in feeds.items():
         feed.write.parquet(str(tmp_path / name))
         sources += ["--source", f"{name}={tmp_path / name}"]
-    jobs.main(["load", "--warehouse", root, *sources])
-    assert capsys.readouterr().out.count("succeeded") >= 3
-    jobs.main(["stores", "--warehouse", root])
-    assert "Supplier#000000003" in capsys.readouterr().out
+    (tmp_path / "rules.json").write_text('{"error_rows": 7}')
+    rules = ["--rules", str(tmp_path / "rules.json")]
+    spark.sql(f"CREATE DATABASE jobs LOCATION '{tmp_path}/jobs'")
+    jobs.main(["load", "--warehouse", root, "--database", "jobs", *rules, *sources])
+    assert [r.status for r in spark.read.json(f"{root}/last_run").collect()] == ["succeeded"] * 3
+    assert spark.table("jobs.v_traffic_normalized").count() == 1000
+    spark.sql("DROP DATABASE jobs CASCADE")
+    jobs.main(["stores", "--warehouse", root, "--out", str(tmp_path / "stores")])
+    assert spark.read.json(str(tmp_path / "stores")).count() > 1
     out = tmp_path / "out"
     jobs.main([
         "dashboard", "--warehouse", root, "--out", str(out),
-        "--period", "month", "--start", "2024-01-05", "--end", "2024-01-19",
+        "--period", "month", "--start", "2024-01-05", "--end", "2024-01-19", *rules,
     ])
+    assert spark.read.json(str(out / "sections/section=error_logs")).count() == 7
+    preset = ["--period", "default", "--as-of", "2024-01-19", "--out", str(tmp_path / "preset")]
+    jobs.main(["dashboard", "--warehouse", root, *preset])
+    assert (tmp_path / "preset/bao_cao_default_2024-01-01_2024-01-19.csv").is_dir()
     [metrics] = (out / "sections" / "section=metrics").glob("*.json")
     body = json.loads(json.loads(metrics.read_text())["body"])
     assert body["total_in"] > 0 and body["peak_time"].count("/") == 1

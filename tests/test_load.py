@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from doorflux.config import (
+    BusinessRules,
     ERRORS,
     STORES,
     TRAFFIC,
@@ -16,7 +17,7 @@ from doorflux.config import (
     load_offsets,
     load_specs,
 )
-from doorflux.functions import coercion
+from doorflux.functions.periods import interval
 from doorflux.operators import buckets, clean, quality
 from doorflux.plans.load import load_table, prepare, run_etl, run_summary
 from doorflux.sources import extract, jdbc_table, project, query
@@ -96,17 +97,17 @@ def test_query_parameters(spark):
 # -- cleaning ------------------------------------------------------------------
 
 
-def test_clock_correction_subtracts_and_may_add(spark, monkeypatch):
+def test_clock_correction_subtracts_and_may_add(spark):
     df = raw(spark, ("2024-01-01 00:10:00", 1, 28), ("2024-01-01 00:10:00", 1, 5))
     offsets = {"num_crowd": {28: 53, 5: -30}}
     wanted = {28: "2023-12-31 23:17:00", 5: "2024-01-01 00:40:00"}
     assert {r.storeid: str(r.recordtime) for r in clean.correct_clock(df, TRAFFIC, offsets).collect()} == wanted
     assert clean.correct_clock(df, TRAFFIC, {}) is df
     assert clean.correct_clock(df.drop("storeid"), TRAFFIC, offsets).columns == df.drop("storeid").columns
-    monkeypatch.setattr(coercion, "MAX_LITERAL_OFFSETS", 1)  # a large map is joined
-    joined = clean.correct_clock(df, TRAFFIC, offsets)
-    assert {r.storeid: str(r.recordtime) for r in joined.collect()} == wanted
-    assert sorted(joined.columns) == sorted(df.columns)
+    many = {"num_crowd": offsets["num_crowd"] | {store: 1 for store in range(1000, 6000)}}
+    corrected = clean.correct_clock(df, TRAFFIC, many)
+    assert {r.storeid: str(r.recordtime) for r in corrected.collect()} == wanted
+    assert "Join" not in plan_text(corrected)
 
 
 def test_partition_columns_follow_the_corrected_time(spark):
@@ -215,7 +216,7 @@ def test_late_row_is_found_only_with_a_lookback(spark, warehouse):
 def test_rejected_rows_are_kept_apart(spark, warehouse):
     done = load_table(warehouse, TRAFFIC, raw(spark, ("2024-01-01 10:00:00", 1, 5), ("2024-01-01 11:00:00", 1, None)))
     assert (done.load.rows, done.load.rejected) == (1, 1)
-    assert done.commit.mark == "2024-01-01 10:00:00"  # of the rows loaded
+    assert done.commit.mark == "2024-01-01 11:00:00"  # of all rows written
     [row] = warehouse.rejected("fact_traffic").collect()
     assert row[quality.FAILURES][0].column == "store_id"
     assert warehouse.rejected("fact_errors").count() == 0
@@ -223,12 +224,59 @@ def test_rejected_rows_are_kept_apart(spark, warehouse):
 
 def test_nothing_good_publishes_nothing(spark, warehouse):
     done = load_table(warehouse, TRAFFIC, raw(spark, ("2024-01-01 11:00:00", 1, None)))
-    assert (done.published, done.commit.version) == (False, 0)
+    assert (done.published, done.commit.version, done.commit.loads) == (False, 1, ())
     assert warehouse.table("fact_traffic").count() == 0
     assert warehouse.rollup().count() == 0
+    assert warehouse.latest_record_time().first()[0] is None
     assert warehouse.rejected("fact_traffic").count() == 1
 
 
+def test_bad_rows_are_kept_once(spark, warehouse):
+    bad, good = ("2024-01-01 11:00:00", 1, None), ("2024-01-01 10:00:00", 2, 5)
+    load_table(warehouse, TRAFFIC, raw(spark, bad))  # a load of bad rows only
+    load_table(warehouse, TRAFFIC, raw(spark, bad, ("2024-01-01 12:00:00", 3, 5)))
+    load_table(warehouse, TRAFFIC, raw(spark, bad, good, ("2024-01-01 12:00:00", 3, 5)))
+    assert [row.visitors_in for row in warehouse.rejected("fact_traffic").collect()] == [1]
+    assert [ins for _, ins, _ in counted(warehouse)] == [3]
+
+
+def test_a_key_is_unique_over_all_loads(spark, warehouse):
+    def feed(*records):
+        rows_ = [(i, 5, 1, datetime(2024, 1, day), 1, "m") for i, day in records]
+        return spark.createDataFrame(rows_, RAW_ERRORS)
+
+    load_table(warehouse, ERRORS, feed((1, 1), (2, 1)))
+    load_table(warehouse, ERRORS, feed((1, 2), (3, 2), (4, 2), (4, 2)))
+    assert sorted(r.log_id for r in warehouse.table("fact_errors").collect()) == [1, 2, 3]
+    assert sorted(r.log_id for r in warehouse.rejected("fact_errors").collect()) == [1, 4, 4]
+
+
+def test_a_late_row_that_comes_twice_is_loaded_once(spark, warehouse):
+    load_table(warehouse, TRAFFIC, raw(spark, ("2024-01-01 10:00:00", 1, 5)))
+    late = ("2024-01-01 09:00:00", 7, 5)
+    load_table(warehouse, TRAFFIC, raw(spark, late, late), lookback="2 hours")
+    assert sorted(ins for _, ins, _ in counted(warehouse)) == [1, 7]
+
+
+def test_hourly_sums_answer_only_for_their_rules(spark, warehouse):
+    load_table(warehouse, TRAFFIC, raw(spark, ("2024-01-05 10:00:00", 150, 5)))
+    wide = BusinessRules(outlier_threshold=1000)
+    for rules, wanted in ((BusinessRules(), 0), (wide, 150)):
+        for hourly in (True, False):
+            [(_, total)] = rows(buckets.trend(warehouse.traffic(rules, hourly), EVENTS_MONTH))
+            assert total == wanted
+    load_table(warehouse, TRAFFIC, raw(spark, ("2024-01-05 11:00:00", 150, 5)), rules=wide)
+    warehouse.compact(TRAFFIC)
+    assert rows(buckets.trend(warehouse.traffic(wide, hourly=True), EVENTS_MONTH)) == [("2024-01-05", 300)]
+
+
+def test_intervals(spark):
+    assert spark.range(1).select(interval("1 hour 30 minutes").cast("long")).first()[0] == 5400
+    for text in ("soon", "3", "1 day; DROP", "2 fortnights"):
+        with pytest.raises(ValueError, match="interval"):
+            interval(text)
+
+
 def test_failed_attempt_stays_invisible_and_is_overwritten(spark, warehouse):
     load_table(warehouse, TRAFFIC, raw(spark, ("2024-01-01 10:00:00", 1, 5)))
     history = warehouse.history("fact_traffic")
@@ -316,13 +364,17 @@ def test_compacting_changes_nothing_but_the_folders(spark, warehouse):
     before = rows(warehouse.table("fact_traffic")), warehouse.mark(TRAFFIC)
     trend = rows(buckets.trend(warehouse.traffic(hourly=True), EVENTS_MONTH))
     commit = warehouse.compact(TRAFFIC)
-    assert (commit.version, commit.loads) == (4, ("C00000004",))
+    assert (commit.version, commit.loads, len(commit.rejects)) == (4, ("C00000004",), 3)
     assert (rows(warehouse.table("fact_traffic")), warehouse.mark(TRAFFIC)) == before
     assert rows(buckets.trend(warehouse.traffic(hourly=True), EVENTS_MONTH)) == trend
     assert warehouse.rejected("fact_traffic").count() == 3
     assert warehouse.compact(TRAFFIC) == commit
     load_table(warehouse, TRAFFIC, raw(spark, ("2024-01-05 13:00:00", 13, 5)))
     assert [ins for _, ins, _ in counted(warehouse)] == [10, 11, 12, 13]
+    load_table(warehouse, TRAFFIC, raw(spark, ("2024-01-05 14:00:00", 14, 5)))
+    assert warehouse.compact(TRAFFIC).loads == ("C00000004", "C00000007")  # what is compact stays
+    assert [ins for _, ins, _ in counted(warehouse)] == [10, 11, 12, 13, 14]
+    assert str(warehouse.latest_record_time().first()[0]) == "2024-01-05 14:00:00"
 
 
 # -- plans ---------------------------------------------------------------------

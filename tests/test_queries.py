@@ -106,11 +106,6 @@ def test_store_name_held_by_two_ids(spark):
     assert rows(buckets.trend(t, request)) == [("2024-01-05 12:00", 5)]
 
 
-def test_many_ids_of_a_store_are_not_pushed(spark, monkeypatch):
-    monkeypatch.setattr(filters, "MAX_PUSHED_IDS", 1)
-    test_store_name_held_by_two_ids(spark)
-
-
 def test_business_name_is_cut_at_the_bracket(spark):
     t = traffic(spark, [("2024-01-05 12:00:00", 2, 0, 1)], named=((1, "Mall (north) (2)"),))
     assert one(metrics.busiest_store(t, DAY)) == ("Mall",)
@@ -174,18 +169,18 @@ def test_single_figures_agree_with_the_row_of_all(spark, sf_dir, request_):
     assert every["growth"] == metrics.growth(t, request_).first().growth
 
 
-def test_dashboard_document(spark, sf_dir, monkeypatch):
-    t = fx.orders_traffic(spark, sf_dir)
-    board = dashboard(t, fx.orders_fact(spark, sf_dir), fx.events_errors(spark, sf_dir), ORDERS_ALL)
-    document = board.document().first()
-    assert document.metrics == metrics.metrics(t, ORDERS_ALL).first()
-    assert document.trend_chart == buckets.trend(t, ORDERS_ALL).collect()
-    assert document.store_comparison_chart == stores.store_comparison(t, ORDERS_ALL).collect()
-    assert document.table_data.data == report.report(t, ORDERS_ALL).collect()
-    assert document.table_data.summary == report.report_summary(t, ORDERS_ALL).first()
-    assert document.error_logs == board.error_logs.collect()
-    assert document.latest_record_time == board.latest_record_time.first()[0]
-    monkeypatch.setattr("doorflux.plans.dashboard.MAX_DOCUMENT_STORES", 2)
-    with pytest.raises(ValueError, match="sections"):
-        board.document()
+@pytest.mark.parametrize("request_", [ORDERS_ALL, EVENTS_STORE])
+def test_dashboard_parts(spark, sf_dir, request_):
+    fixture, fact = (fx.orders_traffic, fx.orders_fact) if request_ is ORDERS_ALL else (fx.events_traffic, fx.events_fact)
+    t = fixture(spark, sf_dir)
+    latest = errors.latest_record_time(fact(spark, sf_dir))
+    spark.catalog.clearCache()
+    board = dashboard(t, latest, fx.events_errors(spark, sf_dir), request_)
+    assert board.metrics.first() == metrics.metrics(t, request_).first()
+    assert board.trend_chart.collect() == buckets.trend(t, request_).collect()
+    assert board.store_comparison_chart.collect() == stores.store_comparison(t, request_).collect()
+    assert board.table_data.collect() == report.report(t, request_).collect()
+    assert board.table_summary.first() == report.report_summary(t, request_).first()
+    assert board.sections().select("section").distinct().count() == 7
     board.release()
+    assert not spark.sparkContext._jsc.sc().getPersistentRDDs().size()

@@ -43,16 +43,39 @@ def test_each_file_is_loaded_once(spark, warehouse, landing, tmp_path):
     landing(("2024-01-01 09:00:00", 2), ("2024-01-01 11:00:00", 3))  # one of them late
     run(warehouse, landing, tmp_path)
     assert counts(warehouse) == [1, 2, 3]
-    assert warehouse.commit("fact_traffic").loads == ("S00000000", "S00000001")
+    commit = warehouse.commit("fact_traffic")
+    assert len(commit.loads) == 2 and list(commit.streams.values()) == [1]
 
 
-def test_batch_run_again_is_published_once(spark, warehouse, landing, tmp_path):
-    landing(("2024-01-01 10:00:00", 1))
-    batch = spark.read.schema(RAW).parquet(landing.folder)
-    # As if the job had died between publishing and noting the batch.
-    write_and_publish(warehouse, TRAFFIC, batch, "S00000000", warehouse.history("fact_traffic"))
+def forget_last_batch(tmp_path):
+    """As if the job had died between publishing and noting the batch."""
+    last = max((tmp_path / "checkpoint/commits").glob("[0-9]*"), key=lambda p: int(p.name))
+    last.unlink()
+    last.with_name(f".{last.name}.crc").unlink(missing_ok=True)
+
+
+@pytest.mark.parametrize("compacted", [False, True])
+def test_batch_run_again_is_published_once(spark, warehouse, landing, tmp_path, compacted):
+    landing(("2024-01-01 10:00:00", 10))
+    run(warehouse, landing, tmp_path)
+    landing(("2024-01-01 11:00:00", 11))
+    run(warehouse, landing, tmp_path)
+    if compacted:
+        warehouse.compact(TRAFFIC)
+    forget_last_batch(tmp_path)
+    assert run(warehouse, landing, tmp_path) == []
+    assert counts(warehouse) == [10, 11]
+
+
+def test_a_new_checkpoint_and_a_second_stream_lose_nothing(spark, warehouse, landing, tmp_path):
+    landing(("2024-01-01 10:00:00", 10))
     run(warehouse, landing, tmp_path)
-    assert counts(warehouse) == [1]
+    other = tmp_path / "other"
+    spark.createDataFrame([(datetime(2024, 1, 1, 9), 11, 0, "door", 5)], RAW).write.parquet(str(other))
+    stream = landing_stream(warehouse, str(other), RAW)
+    stream_load(warehouse, TRAFFIC, stream, str(tmp_path / "second")).awaitTermination()
+    assert counts(warehouse) == [10, 11]
+    assert len(warehouse.commit("fact_traffic").streams) == 2
 
 
 def test_repeated_rows_within_the_watermark_are_loaded_once(spark, warehouse, landing, tmp_path):

@@ -354,10 +354,9 @@ _trend_query("trend_store", fx.events_traffic, EVENTS, EVENTS_STORE)
 
 
 def _kpi_oracle(tables, request: Request, column: str = "*") -> str:
-    before = request.previous()
     return f"""
 WITH {sql.buckets(*tables, request)},
-prev AS (SELECT CAST(coalesce(SUM(in_count), 0) AS BIGINT) AS prev_total FROM v WHERE {sql.in_range(before)}),
+prev AS (SELECT CAST(coalesce(SUM(in_count), 0) AS BIGINT) AS prev_total FROM v WHERE {sql.in_range(request, earlier=True)}),
 s AS (SELECT store_name, CAST(SUM(in_count) AS BIGINT) AS y FROM d GROUP BY store_name),
 one AS (
   SELECT (SELECT CAST(SUM(in_count) AS BIGINT) FROM d) AS cur,
@@ -458,7 +457,7 @@ def error_logs_loaded(spark, sf_dir):
     """From a partitioned table only the newest months are read."""
     target = warehouse_for(spark, "errors")
     load_table(target, ERRORS, fx.dirty_errors(spark, sf_dir))
-    return errors.error_logs(target.table("fact_errors"), fx.supplier_stores(spark, sf_dir))
+    return errors.error_logs(target.newest("fact_errors", 100), fx.supplier_stores(spark, sf_dir))
 
 
 @registered("has_errors", f"SELECT count(*) > 0 AS has_errors FROM ({fx.EVENTS_ERRORS})")
@@ -566,11 +565,12 @@ def trend_from_rollup(spark, sf_dir):
     return buckets.trend(stored, EVENTS_MONTH)
 
 
-SECTIONS = f"""
-WITH {sql.report(*EVENTS, EVENTS_MONTH)},
-k AS ({_kpi_oracle(EVENTS, EVENTS_MONTH, ALL_FIGURES)})
+def _sections_oracle(request: Request) -> str:
+    return f"""
+WITH {sql.report(*EVENTS, request)},
+k AS ({_kpi_oracle(EVENTS, request, ALL_FIGURES)})
 SELECT 'metrics' AS section, CAST(to_json(struct_pack({', '.join(f'{c} := {c}' for c in ALL_FIGURES.split(', '))})) AS VARCHAR) AS body FROM k
-UNION ALL SELECT 'trend_chart', CAST(to_json(struct_pack(x := {sql.bucket_label(EVENTS_MONTH)}, y := total_in)) AS VARCHAR) FROM b
+UNION ALL SELECT 'trend_chart', CAST(to_json(struct_pack(x := {sql.bucket_label(request)}, y := total_in)) AS VARCHAR) FROM b
 UNION ALL SELECT 'store_comparison_chart', CAST(to_json(struct_pack(x := x, y := y)) AS VARCHAR) FROM ({STORE_TOTALS})
 UNION ALL SELECT 'table_data', CAST(to_json(struct_pack({', '.join(f'{c} := {c}' for c in REPORT_COLUMNS.split(', '))})) AS VARCHAR) FROM r
 UNION ALL SELECT 'table_summary', CAST(to_json(struct_pack(total_sum := CAST(SUM(total_in) AS BIGINT), average_in := AVG(total_in))) AS VARCHAR) FROM r
@@ -579,18 +579,26 @@ UNION ALL SELECT 'error_logs', CAST(to_json(struct_pack(id := id, store_name :=
 UNION ALL SELECT 'latest_record_time', CAST(to_json(struct_pack(latest_record_time := CAST(MAX(recorded_at) AS VARCHAR))) AS VARCHAR) FROM fact"""
 
 
-def _dashboard(spark, sf_dir):
-    return dashboard(
-        fx.events_traffic(spark, sf_dir),
-        fx.events_fact(spark, sf_dir),
-        fx.events_errors(spark, sf_dir),
-        EVENTS_MONTH,
-    )
+def _dashboard_query(name, request):
+    @registered(name, _sections_oracle(request))
+    def run(spark, sf_dir):
+        """The sections are written, and what they were made from is let go."""
+        parts = dashboard(
+            fx.events_traffic(spark, sf_dir),
+            errors.latest_record_time(fx.events_fact(spark, sf_dir)),
+            fx.events_errors(spark, sf_dir),
+            request,
+        )
+        path = scratch_dir(spark, "dashboard")
+        try:
+            parts.sections().write.parquet(path)
+        finally:
+            parts.release()
+        return spark.read.parquet(path)
 
 
-@registered("dashboard_payload", SECTIONS)
-def dashboard_payload(spark, sf_dir):
-    return _dashboard(spark, sf_dir).sections()
+_dashboard_query("dashboard_payload", EVENTS_MONTH)
+_dashboard_query("dashboard_payload_store", EVENTS_STORE)
 
 
 # -- loading and publishing ----------------------------------------------------
@@ -618,13 +626,68 @@ def full_load_roundtrip(spark, sf_dir):
 @registered("publish_version", "SELECT s_suppkey AS store_id, upper(s_name) AS store_name FROM supplier")
 def publish_version(spark, sf_dir):
     target = warehouse_for(spark, "publish")
-    database = f"doorflux_{uuid.uuid4().hex}"
-    spark.sql(f"CREATE DATABASE {database} LOCATION '{target.root}/catalog'")
+    database = _new_database(spark, target)
     named = fx.table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("tid"), F.col("s_name").alias("name"))
     for version in (named, named.withColumn("name", F.upper("name"))):
         load_table(target, STORES, version)
         target.publish_to_catalog(STORES, database)
-    return spark.table(f"{database}.dim_stores")
+    return _kept(spark, f"SELECT * FROM {database}.dim_stores", database)
+
+
+def _kept(spark, statement: str, database: str) -> DataFrame:
+    """The rows of a statement, after which its database is dropped."""
+    path = scratch_dir(spark, "kept")
+    spark.sql(statement).write.parquet(path)
+    spark.sql(f"DROP DATABASE {database} CASCADE")
+    return spark.read.parquet(path)
+
+
+def _new_database(spark, target: Warehouse) -> str:
+    database = f"doorflux_{uuid.uuid4().hex}"
+    spark.sql(f"CREATE DATABASE {database} LOCATION '{target.root}/catalog'")
+    return database
+
+
+def _loaded_sources(spark, sf_dir) -> dict[str, DataFrame]:
+    return {
+        STORES.source_table: fx.raw_stores(spark, sf_dir),
+        TRAFFIC.source_table: fx.raw_traffic(spark, sf_dir),
+        ERRORS.source_table: fx.dirty_errors(spark, sf_dir),
+    }
+
+
+KNOWN_STORES = f"SELECT store_id, store_name FROM ({CLEAN_STORES}) WHERE store_name IS NOT NULL"
+
+
+@registered("catalog_after_etl", f"WITH {sql.view(LOADED_TRAFFIC, KNOWN_STORES)} SELECT * FROM v")
+def catalog_after_etl(spark, sf_dir):
+    """The view of normalised traffic, read by its name after a load of all tables."""
+    target = warehouse_for(spark, "etl-catalog")
+    database = _new_database(spark, target)
+    run_etl(target, _loaded_sources(spark, sf_dir), database=database)
+    return _kept(spark, f"SELECT * FROM {database}.{normalize.VIEW_NAME}", database)
+
+
+@registered(
+    "table_statistics",
+    f"""SELECT column_name, CAST(distinct_count AS VARCHAR) AS distinct_count, CAST(null_count AS VARCHAR) AS null_count,
+               CAST(max_len AS VARCHAR) AS max_len FROM (
+          SELECT 'store_id' AS column_name, count(DISTINCT store_id) AS distinct_count, count(*) - count(store_id) AS null_count, 8 AS max_len FROM ({KNOWN_STORES})
+          UNION ALL SELECT 'store_name', NULL, count(*) - count(store_name), max(strlen(store_name)) FROM ({KNOWN_STORES}))""",
+)
+def table_statistics(spark, sf_dir):
+    """Column statistics that a full load leaves in the catalog (distinct ids are few enough to be exact)."""
+    target = warehouse_for(spark, "statistics")
+    database = _new_database(spark, target)
+    load_table(target, STORES, fx.raw_stores(spark, sf_dir))
+    target.publish_to_catalog(STORES, database)
+    rows = []
+    for column in ("store_id", "store_name"):
+        found = {r["info_name"]: r["info_value"] for r in spark.sql(f"DESCRIBE EXTENDED {database}.dim_stores_loads {column}").collect()}
+        exact = found["distinct_count"] if column == "store_id" else None
+        rows.append((column, exact, found["num_nulls"], found["max_col_len"] if column == "store_name" else "8"))
+    spark.sql(f"DROP DATABASE {database} CASCADE")
+    return spark.createDataFrame(rows, "column_name string, distinct_count string, null_count string, max_len string")
 
 
 @registered("compacted_loads", LOADED_TRAFFIC)
@@ -681,7 +744,10 @@ def _dirty_sources(spark, sf_dir) -> dict[str, DataFrame]:
 
 @registered(
     "run_summary",
-    "SELECT CAST(3 AS BIGINT) AS total_tables, CAST(2 AS BIGINT) AS succeeded, CAST(1 AS BIGINT) AS failed",
+    f"""WITH t AS (SELECT count(*) > 0 AS good FROM ({CLEAN_STORES}) UNION ALL
+                  SELECT count(*) > 0 FROM ({CLEAN_TRAFFIC}) UNION ALL SELECT false)
+        SELECT count(*) AS total_tables, count(*) FILTER (WHERE good) AS succeeded,
+               count(*) FILTER (WHERE NOT good) AS failed FROM t""",
 )
 def run_summary_query(spark, sf_dir):
     sources = _dirty_sources(spark, sf_dir)
@@ -700,6 +766,42 @@ def dead_letters(spark, sf_dir):
     return target.rejected("fact_traffic").select("recorded_at", "device_position", "store_id")
 
 
+@registered(
+    "dead_letters_two_loads",
+    f"""SELECT recorded_at, device_position, TRY_CAST(store_id AS BIGINT) AS store_id
+        FROM ({CLEAN_TRAFFIC}) WHERE TRY_CAST(store_id AS BIGINT) IS NULL""",
+)
+def dead_letters_two_loads(spark, sf_dir):
+    """First the bad rows alone, then all, then all again: each bad row is kept once."""
+    target = warehouse_for(spark, "dead-letters-two")
+    feed = _dirty_sources(spark, sf_dir)[TRAFFIC.source_table]
+    half = feed.filter(F.col("recordtime") <= periods.ntz(CUT))
+    load_table(target, TRAFFIC, half.filter(F.col("storeid").try_cast("bigint").isNull()))
+    for rows in (feed.filter(F.col("storeid").try_cast("bigint").isNull()), feed, feed):
+        load_table(target, TRAFFIC, rows)
+    return target.rejected("fact_traffic").select("recorded_at", "device_position", "store_id")
+
+
+@registered(
+    "duplicate_across_loads",
+    f"""WITH good AS ({GOOD_ERRORS})
+        SELECT log_id, 'accepted' AS outcome FROM good
+        UNION ALL SELECT log_id, 'unique' FROM good""",
+)
+def duplicate_across_loads(spark, sf_dir):
+    """The same log ids come again with later times: the first rows stay, the others are set aside."""
+    target = warehouse_for(spark, "duplicates")
+    feed = fx.dirty_errors(spark, sf_dir)
+    load_table(target, ERRORS, feed)
+    good = target.table("fact_errors").select("log_id")
+    again = feed.join(good, F.col("ID") == F.col("log_id"), "left_semi")
+    load_table(target, ERRORS, again.withColumn("LogTime", F.col("LogTime") + periods.hours(24 * 500)))
+    accepted = target.table("fact_errors").select("log_id", F.lit("accepted").alias("outcome"))
+    last = F.array_contains(F.transform("failures", lambda x: x["check"]), "unique") & (F.year("logged_at") > 2024)
+    rejected = target.rejected("fact_errors").filter(last)
+    return accepted.unionAll(rejected.select("log_id", F.lit("unique").alias("outcome")))
+
+
 @registered(
     "hwm_max",
     "SELECT 'fact_traffic' AS dest_table, MAX(ts) AS mark FROM events UNION ALL "
@@ -779,6 +881,62 @@ def stream_incremental(spark, sf_dir):
     return target.table("fact_traffic")
 
 
+@registered("late_rows_repeated", LOADED_TRAFFIC)
+def late_rows_repeated(spark, sf_dir):
+    """Late rows reach the source, and each of them comes twice."""
+    target = warehouse_for(spark, "late-twice")
+    raw = fx.raw_traffic(spark, sf_dir)
+    keys = ["storeid", "position", "recordtime"]
+    late = (F.col("recordtime") <= periods.ntz(CUT)) & (F.trim("position") == "purchase")
+    load_table(target, TRAFFIC, raw.filter(~late))
+    alone = raw.filter(late).groupBy(keys).count().filter("count = 1")
+    twice = raw.filter(late).join(alone, keys, "left_semi").select(raw.columns)
+    load_table(target, TRAFFIC, raw.unionAll(twice), lookback="60 days")
+    return target.table("fact_traffic")
+
+
+@registered("stream_two_sources", LOADED_TRAFFIC)
+def stream_two_sources(spark, sf_dir):
+    """Two streams, each with its checkpoint, load their halves into one table, twice."""
+    target = warehouse_for(spark, "two-streams")
+    raw = fx.raw_traffic(spark, sf_dir)
+    early = F.col("recordtime") <= periods.ntz(CUT)
+    for _ in range(2):
+        for name, rows in (("a", raw.filter(early)), ("b", raw.filter(~early))):
+            landing = f"{target.root}/landing-{name}"
+            rows.write.mode("ignore").parquet(landing)
+            stream = landing_stream(target, landing, fx.RAW_TRAFFIC_SCHEMA)
+            stream_load(target, TRAFFIC, stream, f"{target.root}/checkpoint-{name}").awaitTermination()
+        target.compact(TRAFFIC)
+    return target.table("fact_traffic")
+
+
+@registered(
+    "latest_record_loaded",
+    f"SELECT MAX(recorded_at) AS latest_record_time FROM ({LOADED_TRAFFIC})",
+)
+def latest_record_loaded(spark, sf_dir):
+    """From the commits alone."""
+    target = warehouse_for(spark, "latest")
+    raw = fx.raw_traffic(spark, sf_dir)
+    load_table(target, TRAFFIC, raw.filter(F.col("recordtime") <= periods.ntz(CUT)))
+    load_table(target, TRAFFIC, raw)
+    return target.latest_record_time()
+
+
+@registered(
+    "trend_from_warehouse_rules",
+    f"""WITH {sql.buckets(LOADED_TRAFFIC, fx.SUPPLIER_STORES, EVENTS_MONTH, above=40)}
+        SELECT {sql.bucket_label(EVENTS_MONTH)} AS x, total_in AS y FROM b ORDER BY 1""",
+)
+def trend_from_warehouse_rules(spark, sf_dir):
+    """Other rules than the hourly sums were made with: the records answer."""
+    target = warehouse_for(spark, "rules-warehouse")
+    load_table(target, TRAFFIC, fx.raw_traffic(spark, sf_dir))
+    rules = BusinessRules(outlier_threshold=40)
+    return buckets.trend(target.traffic(rules, hourly=True), EVENTS_MONTH)
+
+
 @registered(
     "trend_from_warehouse",
     f"""WITH {sql.buckets(f"SELECT recorded_at, visitors_in, visitors_out, store_id FROM ({LOADED_TRAFFIC})", fx.SUPPLIER_STORES, EVENTS_MONTH)}

@@ -1,9 +1,21 @@
-"""SQL building blocks for the comparison engine (DuckDB dialect)."""
+"""SQL building blocks for the comparison engine (DuckDB dialect).
+
+Nothing here is taken from the library but the dates and the store of a request: ranges,
+units, labels and offsets are written out, so that a fault there shows.
+"""
 
 from __future__ import annotations
 
-from doorflux.config import DEFAULT_RULES, DEVICE_CLOCK_OFFSETS
-from doorflux.functions.periods import Request, business_window
+from doorflux.functions.periods import Request
+
+# Bucket unit and peak label of each period, and minutes by which a
+# store's clock runs fast.
+UNIT = {"year": "month", "month": "day", "week": "day", "day": "hour"}
+PEAK = {"day": "hour_of_day", "week": "day_of_month", "month": "day_of_month", "year": "month_name"}
+CLOCK_CASES = (
+    "WHEN 28 THEN 53 WHEN 30 THEN 82 WHEN 31 THEN 105 WHEN 32 THEN 45 WHEN 33 THEN 89 "
+    "WHEN 34 THEN 103 WHEN 35 THEN 63 WHEN 36 THEN 179 WHEN 37 THEN 94"
+)
 
 # Label formats of buckets and peaks.
 BUCKET_FORMAT = {"hour": "%Y-%m-%d %H:00", "day": "%Y-%m-%d", "month": "%Y-%m"}
@@ -14,49 +26,54 @@ PEAK_FORMAT = {
 }
 
 
-def capped(column: str, constant: bool = False) -> str:
+def capped(column: str, constant: bool = False, above: int = 100) -> str:
     then = "1" if constant else f"CAST(round({column} * 1e-05, 0) AS BIGINT)"
-    return f"CAST(CASE WHEN {column} > 100 THEN {then} ELSE {column} END AS BIGINT)"
+    return f"CAST(CASE WHEN {column} > {above} THEN {then} ELSE {column} END AS BIGINT)"
 
 
-def view(fact: str, stores: str) -> str:
+def view(fact: str, stores: str, above: int = 100) -> str:
     """CTEs ending in ``v``, the normalised view."""
     return f"""
 fact AS ({fact}), stores AS ({stores}),
 v AS (
   SELECT f.recorded_at AS record_time, s.store_name,
-         {capped('f.visitors_in')} AS in_count, {capped('f.visitors_out')} AS out_count,
+         {capped('f.visitors_in', above=above)} AS in_count, {capped('f.visitors_out', above=above)} AS out_count,
          f.recorded_at - INTERVAL '9 hours' AS adjusted_time
   FROM fact f LEFT JOIN stores s ON f.store_id = s.store_id)"""
 
 
-def in_range(request: Request) -> str:
-    window = business_window(request.start_date, request.end_date, DEFAULT_RULES)
-    text = f"record_time >= TIMESTAMP '{window.start}' AND record_time < TIMESTAMP '{window.end}'"
+def in_range(request: Request, earlier: bool = False) -> str:
+    """From 9 o'clock on the first day to 2 o'clock in the night after the last one.
+
+    ``earlier`` moves both dates back by one period, to the end of a shorter month.
+    """
+    back = f" - INTERVAL 1 {request.period}" if earlier else ""
+    first, last = (f"CAST(DATE '{day}'{back} AS DATE)" for day in (request.start_date, request.end_date))
+    text = f"record_time >= {first} + INTERVAL 9 HOUR AND record_time < {last} + INTERVAL 26 HOUR"
     if request.store != "all":
         text += f" AND store_name = '{request.store}'"
     return text
 
 
-def filtered(fact: str, stores: str, request: Request) -> str:
+def filtered(fact: str, stores: str, request: Request, above: int = 100) -> str:
     """CTEs ending in ``d``, the rows of a request."""
-    return f"{view(fact, stores)}, d AS (SELECT * FROM v WHERE {in_range(request)})"
+    return f"{view(fact, stores, above)}, d AS (SELECT * FROM v WHERE {in_range(request)})"
 
 
-def buckets(fact: str, stores: str, request: Request) -> str:
+def buckets(fact: str, stores: str, request: Request, above: int = 100) -> str:
     """CTEs ending in ``b``, the bucket totals of a request."""
-    return f"""{filtered(fact, stores, request)},
-b AS (SELECT CAST(date_trunc('{request.unit}', adjusted_time) AS TIMESTAMP) AS period_start,
+    return f"""{filtered(fact, stores, request, above)},
+b AS (SELECT CAST(date_trunc('{UNIT[request.period]}', adjusted_time) AS TIMESTAMP) AS period_start,
              CAST(SUM(in_count) AS BIGINT) AS total_in
       FROM d GROUP BY 1)"""
 
 
 def bucket_label(request: Request) -> str:
-    return f"strftime(period_start + INTERVAL '9 hours', '{BUCKET_FORMAT[request.unit]}')"
+    return f"strftime(period_start + INTERVAL '9 hours', '{BUCKET_FORMAT[UNIT[request.period]]}')"
 
 
 def peak_label(request: Request) -> str:
-    return f"strftime(period_start + INTERVAL '9 hours', '{PEAK_FORMAT[request.peak_label]}')"
+    return f"strftime(period_start + INTERVAL '9 hours', '{PEAK_FORMAT[PEAK[request.period]]}')"
 
 
 def report(fact: str, stores: str, request: Request) -> str:
@@ -105,8 +122,7 @@ rounded AS (
 
 
 def offset_of(store: str) -> str:
-    cases = " ".join(f"WHEN {key} THEN {value}" for key, value in DEVICE_CLOCK_OFFSETS.items())
-    return f"(CASE {store} {cases} ELSE 0 END)"
+    return f"(CASE {store} {CLOCK_CASES} ELSE 0 END)"
 
 
 def corrected(moment: str, store: str) -> str:
