@@ -2,7 +2,7 @@
 
 Each block element of a page is a node with one of three states: it is main text, it
 is something else, or it holds both. A node's observations (tag, words of its names,
-length, links and full stops of its own text) depend on its state, its state on its
+length, links and full stops of its own text, links of its subtree) depend on its state, its state on its
 parent's. Counts over labelled pages give both. Messages passed up from the leaves
 and down from the root give each node's marginals exactly; blocks of nodes
 that are main text with more than half the probability are kept.
@@ -32,7 +32,7 @@ from doorflux.llm.common import map_texts
 STATES = ("content", "other", "holder")
 CONTENT, OTHER, HOLDER = range(3)
 FIT_PAGES = 500
-MADE_PAGES = 600
+MADE_PAGES = 1500
 
 # Names that parts of pages commonly have.
 OTHER_PARTS = {
@@ -159,10 +159,16 @@ def observations(page: dom.Page) -> list[list[str]]:
     for node, text in page.blocks:
         chars[node] += len(text)
         stops[node] += text.count(". ") + text.endswith((".", "!", "?"))
+    below, linked = list(chars), list(page.linked)  # of the whole subtree
+    for k in range(len(page.tags) - 1, 0, -1):
+        below[page.parents[k]] += below[k]
+        linked[page.parents[k]] += linked[k]
     out = []
     for k, tag in enumerate(page.tags):
         seen = [f"tag {tag}", f"length {min(6, chars[k].bit_length() * 2 // 3)}"]
-        seen += [f"name {x}" for x in dict.fromkeys(page.names[k])] or [f"unnamed {tag}"]
+        seen += [f"name {x}" for x in dict.fromkeys(page.names[k])] or ["name"]
+        if below[k] > chars[k]:
+            seen.append(f"within {min(3, 4 * linked[k] // below[k])}")
         if chars[k]:
             seen.append(f"links {min(3, 4 * page.linked[k] // max(1, chars[k]))}")
             seen.append(f"stops {min(3, stops[k])}")
@@ -192,12 +198,12 @@ def fit(pages: list[tuple[dom.Page, list[int]]]) -> Model:
                 counts[states[k]] += 1
     out = {}
     for kind in kinds.values():
-        total = sum(kind.values())
+        # made-up names of a few pages say nothing
+        kind = {x: counts for x, counts in kind.items() if counts.sum() >= 3}
+        total = sum(kind.values(), np.zeros(3))
         for x, counts in kind.items():
-            # made-up names of a few pages say nothing
-            if counts.sum() >= 3:
-                out[x] = np.log((counts + 0.3) / (total + 0.3 * len(kind)))
-                out[x] -= out[x].mean()
+            out[x] = np.log((counts + 0.1) / (total + 0.1 * len(kind)))
+            out[x] -= out[x].mean()
     return Model(out, np.log(steps / steps.sum(axis=1, keepdims=True)), np.log(root / root.sum()))
 
 
