@@ -52,6 +52,14 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, or a longer one if ``df`` has such a column."""
+    taken = {column.lower() for column in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def crc_part(key: str, parts: int) -> Column:
     """The part of a split by crc32 of a key written as text; null keys are in part 0."""
     return F.coalesce(F.crc32(F.col(key).cast("string").cast("binary")) % parts, F.lit(0))
@@ -64,13 +72,14 @@ def map_texts(
     function: Callable[[list[str]], dict[str, list]],
 ) -> DataFrame:
     """Adds the columns ``function`` makes of the texts; null texts are read as empty.
+    A kept column that bears the name of a new one makes way for it.
 
     ``function`` gets a slice of whole texts of bounded total length (or one longer
     text) and returns a list of values for each new column. ``df`` has the columns
     to keep and the text, which is not returned.
     """
-    kept = [field for field in df.schema.fields if field.name != text]
     made = df.sparkSession.createDataFrame([], schema).schema
+    kept = [field for field in df.schema.fields if field.name not in (text, *made.names)]
     names = [field.name for field in kept]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

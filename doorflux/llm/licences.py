@@ -86,7 +86,7 @@ RULES = (
 #: A text without any of these has no licence sentence.
 HINTS = ("licen", "permission", "redistribut", "copyright", "warrant", "as is", "mozilla", "creative commons", "cc by", "cc-by", "cc0", "public domain", "endorse", "liable", "advertising")
 
-_END = re.compile(r"(?<=[.!?;:])\s+|\n\s*\n|\n(?=\s*(?:[*#/\-]|[0-9a-z]\.\s|\([a-z0-9]\)))")
+_END = re.compile(r"(?<=[.!?;:])(?<!dentifier:)\s+|\n\s*\n|\n(?=\s*(?:[*#/\-]|[0-9a-z]\.\s|\([a-z0-9]\)))")
 _DROP = re.compile(r"[^\w.+(),\s-]|_")
 _KNOWN = [(name, re.compile(regex)) for name, regex in SENTENCES]
 
@@ -97,7 +97,7 @@ def plain(sentence: str) -> str:
     while words and re.fullmatch(r"[(]?[0-9a-z]?[.)]|[-+.,()]+", words[0]):
         words.pop(0)
     text = " ".join(w.strip("(),-.") if not re.fullmatch(r"\(including|paragraph\)", w) else w for w in words)
-    return re.sub(r"\b(spdx) license-identifier\b", r"\1 license identifier", re.sub(r" +", " ", text)).strip()
+    return re.sub(r" +", " ", text).replace("spdx-license-identifier", "spdx license identifier").strip()
 
 
 def sentences(text: str) -> list[tuple[str, str]]:

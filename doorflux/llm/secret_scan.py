@@ -22,6 +22,8 @@ from re import _parser as parser
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from doorflux.llm.common import free_name
+
 #: Exact strings an analysis keeps before it turns them into trigrams.
 MOST_STRINGS = 64
 
@@ -183,16 +185,17 @@ def long_runs(text: Column, rule: Rule, order: int) -> Column:
 
 def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES, keep: tuple[str, ...] = ("doc_id",), found: str = "found") -> DataFrame:
     """Every row of ``docs`` with its columns ``keep``, ``text`` and ``found``, its sorted spans."""
-    key = F.xxhash64("doc_id", "text")
-    rows = docs.select(*keep, F.coalesce("text", F.lit("")).alias("text"), key.alias("__key"))
+    key, its_kinds = free_name(docs, "__key"), free_name(docs, "__kinds")
+    text = F.coalesce("text", F.lit("")).alias("text")
+    rows = docs.select(*keep, text, F.xxhash64("doc_id", "text").alias(key))
     indexed = tuple(r for r in rules if trigram_query(r.regex))
-    kinds = candidates(rows.select("__key", "text"), "__key", "text", indexed).withColumnRenamed("kinds", "__kinds")
-    joined = rows.join(kinds, "__key", "left").drop("__key")
+    kinds = candidates(rows.select(key, "text"), key, "text", indexed).withColumnRenamed("kinds", its_kinds)
+    joined = rows.join(kinds, key, "left").drop(key)
     empty = F.array().cast("array<struct<start:bigint,ord:int,kind:string,stop:bigint>>")
     parts = []
     for order, rule in enumerate(rules):
         if rule in indexed:
-            hit = F.coalesce(F.array_contains("__kinds", rule.kind), F.lit(False))
+            hit = F.coalesce(F.array_contains(its_kinds, rule.kind), F.lit(False))
             parts.append(F.when(hit, spans(F.col("text"), rule, order)).otherwise(empty))
         else:
             run = re.fullmatch(r"\[[^\]]+\]\+", rule.regex)
@@ -220,8 +223,8 @@ def secret_report(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame
 
 def redact(docs: DataFrame, rules: tuple[Rule, ...] = RULES, mark: str = "[SECRET]") -> DataFrame:
     """The rows of ``docs`` with every span replaced by ``mark``; overlapping spans count as one."""
-    names = docs.columns
-    scanned = scan(docs, rules, tuple(n for n in names if n != "text"), "__found")
+    names, found = docs.columns, free_name(docs, "__found")
+    scanned = scan(docs, rules, tuple(n for n in names if n != "text"), found)
     state = F.struct(F.lit(0).cast("bigint").alias("at"), F.lit("").alias("out"))
 
     def step(acc: Column, x: Column) -> Column:
@@ -232,7 +235,8 @@ def redact(docs: DataFrame, rules: tuple[Rule, ...] = RULES, mark: str = "[SECRE
             F.concat(acc["out"], F.when(new, F.concat(gap, F.lit(mark))).otherwise(F.lit(""))).alias("out"),
         )
 
-    out = scanned.withColumn("__merged", F.aggregate("__found", state, step))
-    rest = F.substring(F.col("text"), (F.col("__merged.at") + 1).cast("int"), F.length("text"))
-    text = F.when(F.size("__found") > 0, F.concat("__merged.out", rest)).otherwise(F.col("text"))
+    merged = free_name(docs, "__merged")
+    out = scanned.withColumn(merged, F.aggregate(found, state, step))
+    rest = F.substring(F.col("text"), (F.col(f"{merged}.at") + 1).cast("int"), F.length("text"))
+    text = F.when(F.size(found) > 0, F.concat(f"{merged}.out", rest)).otherwise(F.col("text"))
     return out.select(*(text.alias("text") if n == "text" else F.col(n) for n in names))

@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from doorflux.llm.common import checkpointed, components, map_texts
+from doorflux.llm.common import checkpointed, components, free_name, map_texts
 
 SHINGLE_WORDS = 3
 MAX_DISTANCE = 3
@@ -100,12 +100,13 @@ def one_of_each(docs: DataFrame, words: int = SHINGLE_WORDS, distance: int = MAX
 
     Of repeated rows one stays; a row without an id stays only if its whole group has none.
     """
-    keyed = docs.select("*", F.xxhash64("doc_id", "text").alias("__key"))
-    known = checkpointed(fingerprints(keyed, words, ("doc_id", "__key")))
-    order = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id"), F.col("__key"))
+    key = free_name(docs, "__key")
+    keyed = docs.select("*", F.xxhash64("doc_id", "text").alias(key))
+    known = checkpointed(fingerprints(keyed, words, ("doc_id", key)))
+    order = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id"), F.col(key).alias("key"))
     first = known.groupBy("fp").agg(F.min(order).alias("first")).join(roots(known, distance), "fp")
-    chosen = first.groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.__key").alias("__key"))
-    return keyed.join(chosen, "__key", "left_semi").dropDuplicates(["__key"]).drop("__key")
+    chosen = first.groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.key").alias(key))
+    return keyed.join(chosen, key, "left_semi").dropDuplicates([key]).drop(key)
 
 
 def linked(distinct: DataFrame, distance: int = MAX_DISTANCE) -> DataFrame:
