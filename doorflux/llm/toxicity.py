@@ -59,13 +59,20 @@ def features(texts: list[str], wanted: np.ndarray | None = None) -> tuple[np.nda
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, train: Column, fit_rows: int = FIT_ROWS) -> DataFrame:
-    """``text`` and ``y`` of at most about ``fit_rows`` rows of each label, chosen by a hash."""
+    """``text`` and ``y`` of at most about ``fit_rows`` rows of each label, chosen by a hash.
+
+    Ids alone are joined with the labels; the chosen ones, as many as ``fit_rows`` allows
+    however large the tables are, are broadcast to the texts.
+    """
     known = labels.where("toxic is not null").groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("y"))
-    rows = docs.where(train).select("doc_id", "text").join(known, "doc_id")
-    counts = {r["y"]: r["n"] for r in docs.where(train).select("doc_id").join(known, "doc_id").groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
-    share = F.create_map(*(F.lit(x) for y, n in counts.items() for x in (y, min(1.0, fit_rows / n)))) if counts else F.lit(None)
+    ids = docs.where(train).select("doc_id").join(known, "doc_id")
+    counts = {r["y"]: r["n"] for r in ids.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
+    if not counts:
+        return docs.select("text", F.lit(0).alias("y")).where("false")
+    share = F.create_map(*(F.lit(x) for y, n in counts.items() for x in (y, min(1.0, fit_rows / n))))
     draw = F.pmod(F.xxhash64("doc_id", F.lit(8)), F.lit(1 << 20)) / (1 << 20)
-    return rows.where(draw < share[F.col("y")]) if counts else rows.where("false")
+    chosen = ids.where(draw < share[F.col("y")]).distinct()
+    return docs.where(train).select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
 
 
 def fit(sample: DataFrame) -> Model:
