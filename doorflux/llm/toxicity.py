@@ -77,7 +77,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, train: Column, fit_rows:
 
 def fit(sample: DataFrame) -> Model:
     """Counts features by label on the executors, then fits the weights of the kept ones."""
-    sample = checkpointed(sample.select("text", "y").repartition(FIT_TASKS, F.xxhash64("text")))
+    sample = checkpointed(sample.select("text", "y").repartition(FIT_TASKS))  # in turn: equal texts may be many
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros((2, 1 << BITS), "i8")
