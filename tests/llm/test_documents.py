@@ -274,6 +274,40 @@ def test_edited_passages_are_found(spark):
     assert {r.doc_id: r.kind for r in rows} == {k: "verbatim" if k < 10 else "paraphrase" for k in range(20)}
 
 
+def test_rewrites_without_the_rare_words_are_found(spark, monkeypatch):
+    monkeypatch.setattr(decontaminate, "MIN_COSINE", -1.0)  # the candidates alone
+    rng = np.random.default_rng(5)
+    words = [f"w{k}" for k in range(2000)]
+    texts = [list(rng.choice(words, 300)) for _ in range(60)]
+    asked = []
+    for k in range(20):
+        item = list(rng.choice(words, 40))
+        passage = list(item)
+        places = range(0, 40, 5) if k < 10 else [*range(1, 30, 2), 28]  # 8, or 16 and not the last words
+        for n, place in enumerate(places):
+            item[place], passage[place] = f"rare{k}x{n}", f"plain{n}"  # the rare word is nowhere else, or in one text
+            if k % 2:
+                texts[40 + k][n] = f"rare{k}x{n}"
+        texts[k][100:100] = passage
+        asked.append(item)
+    docs = spark.createDataFrame([(k, " ".join(t)) for k, t in enumerate(texts)], "doc_id bigint, text string")
+    items = spark.createDataFrame([(k, " ".join(t)) for k, t in enumerate(asked)], "item_id bigint, text string")
+    number = {w: n for n, w in enumerate({w for t in texts + asked for w in t})}
+    coded = [np.array([number[w] for w in t]) for t in texts]
+    full = set()
+    for k, item in enumerate(asked):
+        item = np.array([number[w] for w in item])
+        for doc, text in enumerate(coded):
+            for start in range(0, len(text), 10):
+                share = decontaminate.lcs_length(item, text[start:start + 80]) / 40
+                if share >= 0.8 or share >= 0.6 and decontaminate.lcs_length(item[-10:], text[start:start + 80]) >= 8:
+                    full.add((doc, k))
+    assert full == {(k, k) for k in range(20)}
+    rows = decontaminate.contaminated(docs, items).collect()
+    assert {(r.doc_id, r.item_id) for r in rows} == full
+    assert {r.doc_id: r.kind for r in rows} == {k: "verbatim" if k < 10 else "paraphrase" for k in range(20)}
+
+
 def test_contamination_of_awkward_rows(spark, awkward, empty):
     items = spark.createDataFrame([(1, "alpha beta gamma delta"), (2, ""), (3, None), (None, "x"), (4, "wide words in a very long text"), (4, "wide words in a very long text")], "item_id bigint, text string")
     found = {(r.doc_id, r.item_id) for r in decontaminate.contaminated(awkward, items).collect()}
