@@ -274,8 +274,7 @@ def test_edited_passages_are_found(spark):
     assert {r.doc_id: r.kind for r in rows} == {k: "verbatim" if k < 10 else "paraphrase" for k in range(20)}
 
 
-def test_rewrites_without_the_rare_words_are_found(spark, monkeypatch):
-    monkeypatch.setattr(decontaminate, "MIN_COSINE", -1.0)  # the candidates alone
+def test_rewrites_without_the_rare_words_are_found(spark):
     rng = np.random.default_rng(5)
     words = [f"w{k}" for k in range(2000)]
     texts = [list(rng.choice(words, 300)) for _ in range(60)]
@@ -308,6 +307,20 @@ def test_rewrites_without_the_rare_words_are_found(spark, monkeypatch):
     assert {r.doc_id: r.kind for r in rows} == {k: "verbatim" if k < 10 else "paraphrase" for k in range(20)}
 
 
+def test_exact_passages_of_a_large_benchmark_are_found(spark, sf_dir, docs):
+    asked, wanted = [], set()
+    for doc, text in sorted(docs.items()):
+        words = decontaminate.words_of(text or "")
+        for k, start in enumerate(range(0, len(words) - 60, 40)):
+            asked.append((len(asked), b" ".join(words[start:start + (12, 30, 60)[k % 3]]).decode()))
+            wanted.add((doc, asked[-1][0]))
+    long = " ".join(f"long{k}" for k in range(3000))  # of a length class of its own
+    items = spark.createDataFrame([*asked, (len(asked), long)], "item_id bigint, text string")
+    assert len(asked) > 1000
+    rows = decontaminate.contaminated(table(spark, sf_dir, "documents"), items).collect()
+    assert wanted <= {(r.doc_id, r.item_id) for r in rows if r.lcs_share == 1.0}
+
+
 def test_contamination_of_awkward_rows(spark, awkward, empty):
     items = spark.createDataFrame([(1, "alpha beta gamma delta"), (2, ""), (3, None), (None, "x"), (4, "wide words in a very long text"), (4, "wide words in a very long text")], "item_id bigint, text string")
     found = {(r.doc_id, r.item_id) for r in decontaminate.contaminated(awkward, items).collect()}
