@@ -14,7 +14,7 @@ without mandatory trigrams searches every text.
 from __future__ import annotations
 
 import re
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from itertools import product
 from re import _constants as op
 from re import _parser as parser
@@ -50,6 +50,16 @@ RULES = (
     Rule("jwt", r"eyJ[A-Za-z0-9_-]+\.eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+", 0, 40),
 )
 
+# A report names the key's first line, as the comparison SQL does; what is hidden runs on to the
+# END line, or, where that is missing or another key begins before it, to the end of the key's lines.
+_SEPARATOR = r"""(?:[\s"'+,>#*|]|\\[nr])"""
+_HEADERS = rf"(?:{_SEPARATOR}{{1,40}}[A-Za-z]{{1,20}}(?:-[A-Za-z]{{1,20}})?:\x20[^\n\\]{{0,200}}){{0,8}}"
+_KEY_LINES = rf"{_HEADERS}(?:{_SEPARATOR}{{0,40}}[A-Za-z0-9+/=_]{{16,}}){{1,400}}(?:{_SEPARATOR}{{1,40}}[A-Za-z0-9+/]{{1,75}}={{0,2}}(?=\s*(?:\n|$|-----)|\\|[\"']))?"
+_TO_END = r"[^-]*+(?:-{1,4}+(?!-)[^-]*+){0,400}-{5,}END [A-Z ]*PRIVATE KEY-----"
+HIDDEN = tuple(
+    replace(rule, regex=rf"{rule.regex}(?:{_TO_END}|{_KEY_LINES})?") if rule.kind == "private_key" else rule for rule in RULES
+)
+
 
 def trigram_query(regex: str) -> list[frozenset[str]]:
     """Clauses of lower-case trigrams, of which a match contains at least one whole clause.
@@ -221,7 +231,7 @@ def secret_report(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame
     )
 
 
-def redact(docs: DataFrame, rules: tuple[Rule, ...] = RULES, mark: str = "[SECRET]") -> DataFrame:
+def redact(docs: DataFrame, rules: tuple[Rule, ...] = HIDDEN, mark: str = "[SECRET]") -> DataFrame:
     """The rows of ``docs`` with every span replaced by ``mark``; overlapping spans count as one."""
     names, found = docs.columns, free_name(docs, "__found")
     scanned = scan(docs, rules, tuple(n for n in names if n != "text"), found)
