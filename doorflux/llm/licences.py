@@ -2,7 +2,8 @@
 
 A text is cut into sentences, which are brought into a plain form (lower case, comment
 marks, quotes and other signs gone, one space). A sentence that says what a licence
-says gets that sentence's identifier, with the version it names. The sequence of
+says gets that sentence's identifier, with the version it names; if it says several
+things, it gets all their identifiers, in order. The sequence of
 identifiers is then read from the left: the first rule, in the order listed, whose
 identifiers follow one another there names a licence and takes them; an identifier that
 no rule takes is left over.
@@ -15,16 +16,19 @@ no rule takes is left over.
 from __future__ import annotations
 
 import re
+from itertools import combinations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from doorflux.llm.common import map_texts
 
+#: What stands before the name of a licence; "or" and "and" only where "under" came before.
+_LEAD = r"\b(?:under|or|and)(?: either| both)?(?: of)?(?: the)?(?: terms of)?(?: either| both)?(?: of)?(?: the)? "
 # What well-known licences say, as expressions over plain sentences.
 SENTENCES = (
     ("spdx", r"spdx license identifier ([a-z0-9.+-]+(?: (?:and|or|with) [a-z0-9.+-]+)*)"),
-    ("mit_name", r"\bunder (?:the )?(?:terms of )?(?:the )?(?:mit|expat)(?: x11)? licen[cs]e"),
+    ("mit_name", _LEAD + r"(?:mit|expat)(?: x11)?(?: licen[cs]e|(?= (?:or|and) .*\blicen[cs]es?\b))"),
     ("mit_grant", r"permission is hereby granted free of charge to any person obtaining a copy"),
     ("mit_notice", r"the above copyright notice and this permission notice (?:\(including the next paragraph\) )?shall be included in"),
     ("as_is", r"the software is provided as is without warranty of any kind"),
@@ -35,16 +39,22 @@ SENTENCES = (
     ("bsd_binary", r"redistributions in binary form must reproduce the above copyright notice"),
     ("bsd_advert", r"all advertising materials mentioning features or use of this software"),
     ("bsd_endorse", r"neither the name of .* may be used to endorse or promote products|the names? of .* may not be used to endorse or promote products"),
-    ("bsd_name", r"\bunder (?:the )?(?:terms of )?(?:the )?(?:new |modified |simplified )?(?:([234]) clause )?bsd(?: style)? licen[cs]e"),
-    ("apache_name", r"\bunder (?:the )?(?:terms of )?(?:the )?apache(?: software)? licen[cs]e,?(?: version| v)? ?([0-9.]*[0-9])?"),
+    ("bsd_name", _LEAD + r"(?:new |modified |simplified )?(?:([234]) clause )?bsd(?: style)? licen[cs]e"),
+    ("apache_name", _LEAD + r"apache(?: software)?(?: licen[cs]e,?(?: version| v)? ?([0-9.]*[0-9])?| v?([0-9.]*[0-9]) licen[cs]e)"),
     ("apache_use", r"you may not use this file except in compliance with the licen[cs]e"),
     ("apache_copy", r"you may obtain a copy of the licen[cs]e at"),
     ("apache_as_is", r"distributed under the license is distributed on an as is basis"),
     ("lgpl_name", r"\bgnu (?:lesser|library) general public licen[cs]e,?(?: as published by the free software foundation)?,?(?: either)?(?: version| v)? ?([0-9.]*[0-9])?"),
     ("agpl_name", r"\bgnu affero general public licen[cs]e,?(?: as published by the free software foundation)?,?(?: either)?(?: version| v)? ?([0-9.]*[0-9])?"),
     ("gpl_name", r"\bgnu general public licen[cs]e,?(?: as published by the free software foundation)?,?(?: either)?(?: version| v)? ?([0-9.]*[0-9])?"),
+    ("gpl_later", r"\b(?:either )?version ([0-9.]*[0-9]) of the licen[cs]e(?: or at your option any later version)?"),
     ("gpl_warranty", r"without even the implied warranty of merchantability or fitness for a particular purpose"),
-    ("gpl_copy", r"you should have received a copy of the gnu (?:lesser |library |affero )?general public licen[cs]e"),
+    ("lgpl_see", r"see the gnu (?:lesser|library) general public licen[cs]e for more details"),
+    ("agpl_see", r"see the gnu affero general public licen[cs]e for more details"),
+    ("gpl_see", r"see the gnu general public licen[cs]e for more details"),
+    ("lgpl_copy", r"you should have received a copy of the gnu (?:lesser|library) general public licen[cs]e"),
+    ("agpl_copy", r"you should have received a copy of the gnu affero general public licen[cs]e"),
+    ("gpl_copy", r"you should have received a copy of the gnu general public licen[cs]e"),
     ("mpl_name", r"mozilla public licen[cs]e,?(?: version| v)? ?([0-9.]*[0-9])?"),
     ("epl_name", r"eclipse public licen[cs]e,?(?: version| v)? ?([0-9.]*[0-9])?"),
     ("cc0", r"\bcc0\b|creative commons zero"),
@@ -53,6 +63,14 @@ SENTENCES = (
     ("boost_name", r"boost software licen[cs]e,?(?: version| v)? ?([0-9.]*[0-9])?"),
 )
 
+
+def _gnu_rules(kind: str) -> list[tuple[tuple[str, ...], str]]:
+    """The sentences of a GNU licence in their order, any of them left out but those that name it."""
+    order = (f"{kind}_name", "gpl_later", "gpl_warranty", f"{kind}_see", f"{kind}_copy")
+    some = [x for n in range(len(order), 0, -1) for x in combinations(order, n)]
+    return [(x, f"{kind.upper()}-*") for x in some if {order[0], *order[3:]} & set(x) and (x[0] == order[0] or "gpl_later" not in x)]
+
+
 #: Identifiers that follow one another, and the licence that they make; ``*`` is the version.
 #: Later versions are told by the sentence's own words.
 RULES = (
@@ -66,15 +84,12 @@ RULES = (
     (("bsd_grant", "bsd_source", "bsd_binary"), "BSD-2-Clause"),
     (("apache_name", "apache_use", "apache_copy", "apache_as_is"), "Apache-*"),
     (("apache_name", "apache_use", "apache_copy"), "Apache-*"),
-    (("lgpl_name", "gpl_warranty", "gpl_copy"), "LGPL-*"),
-    (("agpl_name", "gpl_warranty", "gpl_copy"), "AGPL-*"),
-    (("gpl_name", "gpl_warranty", "gpl_copy"), "GPL-*"),
+    *_gnu_rules("lgpl"),
+    *_gnu_rules("agpl"),
+    *_gnu_rules("gpl"),
     (("mit_name",), "MIT"),
     (("bsd_name",), "BSD-*-Clause"),
     (("apache_name",), "Apache-*"),
-    (("lgpl_name",), "LGPL-*"),
-    (("agpl_name",), "AGPL-*"),
-    (("gpl_name",), "GPL-*"),
     (("mpl_name",), "MPL-*"),
     (("epl_name",), "EPL-*"),
     (("cc0",), "CC0"),
@@ -89,6 +104,7 @@ HINTS = ("licen", "permission", "redistribut", "copyright", "warrant", "as is",
 _END = re.compile(r"(?<=[.!?;:])(?<!dentifier:)\s+|\n\s*\n|\n(?=\s*(?:[*#/\-]|[0-9a-z]\.\s|\([a-z0-9]\)))")
 _DROP = re.compile(r"[^\w.+(),\s-]|_")
 _KNOWN = [(name, re.compile(regex)) for name, regex in SENTENCES]
+_LED = frozenset(name for name, regex in SENTENCES if regex.startswith(_LEAD))
 
 
 def plain(sentence: str) -> str:
@@ -111,14 +127,20 @@ def sentences(text: str) -> list[tuple[str, str]]:
         if not any(h in held for h in HINTS) and "spdx" not in held:
             continue
         said = plain(part)
-        for name, regex in _KNOWN:
-            if match := regex.search(said):
-                version = " ".join(g for g in match.groups() if g)
-                if "gpl" in name or name == "spdx":
-                    later = "any later version" in said or "or later" in said[match.end():match.end() + 12]
-                    version += "-or-later" * (later and bool(version))
-                out.append((name, version))
-                break
+        hits = sorted((m.start(), order, m) for order, (_, regex) in enumerate(_KNOWN) for m in regex.finditer(said))
+        taken: list[tuple[str, re.Match]] = []
+        for start, order, match in hits:
+            name = _KNOWN[order][0]
+            led = name not in _LED or re.search(r"\bunder\b", said[:match.end()])
+            if led and (not taken or start >= taken[-1][1].end()):
+                taken.append((name, match))
+        for k, (name, match) in enumerate(taken):
+            version = " ".join(g for g in match.groups() if g)
+            if "gpl" in name or name == "spdx":
+                rest = said[match.start():taken[k + 1][1].start() if k + 1 < len(taken) else None]
+                later = "any later version" in rest or "or later" in said[match.end():match.end() + 12]
+                version += "-or-later" * (later and bool(version))
+            out.append((name, version))
     return out
 
 
@@ -142,7 +164,7 @@ def licences(found: list[tuple[str, str]]) -> tuple[list[str], int]:
     while at < len(found):
         for sequence, licence in RULES:
             if tuple(names[at:at + len(sequence)]) == sequence:
-                version = found[at][1]
+                version = next((v for _, v in found[at:at + len(sequence)] if v), "")
                 if licence == "CC-*":
                     version = re.sub(r"[ -]+", "-", version.upper())
                 name = licence.replace("*", version) if version else licence.replace("-*", "").replace("*", "")

@@ -129,6 +129,35 @@ def test_licences(text, names, left):
     assert licences.licences(licences.sentences(text)) == (names, left)
 
 
+GNU = """This {0} is free software; you can redistribute it and/or modify
+it under the terms of the GNU {1}General Public License as published by
+the Free Software Foundation; either version {2} of the License, or
+(at your option) any later version.
+
+This {0} is distributed in the hope that it will be useful,
+but WITHOUT ANY WARRANTY; without even the implied warranty of
+MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the
+GNU {1}General Public License for more details.
+
+You should have received a copy of the GNU {1}General Public License
+along with this {0}."""
+
+
+@pytest.mark.parametrize(("text", "names", "ids"), [
+    ("Licensed under the MIT license or the Apache License 2.0.", ["MIT", "Apache-2.0"], ["mit_name", "apache_name"]),
+    ("Licensed under either of Apache License, Version 2.0 or MIT license at your option.", ["Apache-2.0", "MIT"], ["apache_name", "mit_name"]),
+    (GNU.format("program", "", "2"), ["GPL-2-or-later"], ["gpl_name", "gpl_later", "gpl_warranty", "gpl_see", "gpl_copy"]),
+    (GNU.format("library", "Lesser ", "2.1"), ["LGPL-2.1-or-later"], ["lgpl_name", "gpl_later", "gpl_warranty", "lgpl_see", "lgpl_copy"]),
+    (GNU.format("program", "Affero ", "3").replace("Foundation;", "Foundation,"), ["AGPL-3-or-later"], ["agpl_name", "gpl_warranty", "agpl_see", "agpl_copy"]),
+    ("You should have received a copy of the GNU General Public License.", ["GPL"], ["gpl_copy"]),
+    ("The MIT license or the Apache License 2.0 are well known.", [], []),
+])
+def test_licences_of_whole_headers(text, names, ids):
+    found = licences.sentences(text)
+    assert [name for name, _ in found] == ids
+    assert licences.licences(found) == (names, 0)
+
+
 def test_licence_lines_of_the_documents(spark, sf_dir, docs):
     lines = {"Released under the MIT License.": "MIT", "Licensed under the Apache License, Version 2.0.": "Apache-2.0", "Licensed under CC BY-NC 4.0.": "CC-BY-NC-4.0", "GNU General Public License, version 3": "GPL-3"}
     rows = out(spark, sf_dir, "op2_license_scans")
