@@ -16,6 +16,10 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 #: Their content is no text of the page.
 SKIPPED = frozenset("head script style noscript template svg math iframe object audio video canvas map select textarea button datalist title".split())
 RAW = frozenset("script style textarea title noscript iframe".split())
+#: They may be closed in themselves.
+FOREIGN = frozenset({"svg", "math"})
+#: What may stand in a head; anything else ends it.
+IN_HEAD = frozenset("base basefont bgsound head html link meta noframes noscript script style template title".split())
 CLOSES_P = BLOCKS - frozenset("body html caption dd dt legend li optgroup option tbody td tfoot th thead tr".split())
 #: What an opening tag ends, up to the nearest element that holds such a list.
 ENDS = {
@@ -30,6 +34,7 @@ _TAG = re.compile(
     re.DOTALL,
 )
 _ATTRIBUTE = re.compile(r"([^\s=\"'/>]+)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+)|([^\s=\"'/>]+)")
+_BARE_VALUE = re.compile(r"=\s*[^\s\"'=>]+/$")
 _NAME = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 
 
@@ -101,6 +106,8 @@ def read(source: str) -> Page:
     while at < n:
         m = _TAG.search(source, at)
         stop = m.start() if m else n
+        if stack[-1][0] == "head" and not source[at:stop].isspace() and stop > at:
+            pop()
         if stop > at and not skipped:
             parts.append(source[at:stop])
             if links:
@@ -124,13 +131,15 @@ def read(source: str) -> Page:
             parts.append(" ")
         if tag == "body":
             end({"head"}, set())
+        if stack[-1][0] == "head" and tag not in IN_HEAD:
+            pop()
         if tag in CLOSES_P:
             end({"p"}, {"td", "th", "li", "div", "article", "section", "blockquote", "body", "#page"})
         if tag in ENDS:
             end(*ENDS[tag])
         if tag in BLOCKS:
             close_block()
-        if tag in VOID:
+        if tag in VOID or tag in FOREIGN and rest.endswith("/") and not _BARE_VALUE.search(rest):
             continue
         own = stack[-1][1]
         if tag in BLOCKS:

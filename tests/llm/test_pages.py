@@ -79,6 +79,18 @@ def test_reading(source, blocks):
     assert [text for _, text in dom.read(source).blocks] == blocks
 
 
+@pytest.mark.parametrize(("source", "texts"), [
+    ("<p>a <svg/> b</p>", ["a b"]),
+    ("<article><math display='block' /><p>text</p></article>", ["text"]),
+    ("<p>a <svg class=x/>no</svg> b</p>", ["a b"]),
+    ("<head><title>t</title><meta charset=utf-8><p>one<p>two", ["one", "two"]),
+    ("<head><style>p {}</style> bare text <b>too</b>", ["bare text too"]),
+    ("<head><template><p>no</p></template></head><p>yes", ["yes"]),
+])
+def test_no_text_is_lost(source, texts):
+    assert [text for _, text in dom.read(source).blocks] == texts
+
+
 def test_awkward_pages(spark, model):
     schema = "page_id bigint, url string, html string, text string, n_chars int"
     deep = "<div>" * 3000 + "deep" + "</div>" * 3000
