@@ -1,8 +1,8 @@
 """Packing: documents as sequences of 2,048 tokens, by first-fit decreasing.
 
 A document is cut at multiples of the sequence length; its full pieces are sequences
-of their own, what is left over is packed. Documents fall into random groups by a
-hash, and each group is packed on its own: pieces in order of size go to the first
+of their own, what is left over is packed. Pieces fall into random groups by a hash of
+their row's number, and each group is packed on its own: pieces in order of size go to the first
 bin with room, which a tournament tree of the bins' room finds in logarithmic time.
 
 * null and empty texts have the end token alone
@@ -176,14 +176,15 @@ def first_fit_decreasing(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray
 
 def pack(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, group_pieces: int = GROUP_PIECES) -> DataFrame:
     """One row for each piece of a document: where it is in which sequence."""
-    pieces = checkpointed(token_pieces(docs, vocabulary, capacity))
+    # numbers are written with the pieces, so they stay; equal rows have numbers of their own
+    pieces = checkpointed(token_pieces(docs, vocabulary, capacity).withColumn("row", F.monotonically_increasing_id()))
     groups = max(1, round(pieces.count() / group_pieces))
     schema = "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint"
-    group = F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.lit(groups))
+    group = F.pmod(F.xxhash64("row"), F.lit(groups))
 
     def fill(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(["length", "doc_id", "start", "ids_crc32"], ascending=[False, True, True, True])
         bins, offsets = first_fit_decreasing(rows["length"].to_numpy(), capacity)
-        return rows.drop(columns="bucket").assign(sequence_id=(int(key[0]) << 32) + bins, offset=offsets)
+        return rows.drop(columns=["bucket", "row"]).assign(sequence_id=(int(key[0]) << 32) + bins, offset=offsets)
 
     return pieces.withColumn("bucket", group).groupBy("bucket").applyInPandas(fill, schema)

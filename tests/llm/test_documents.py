@@ -398,6 +398,12 @@ def test_packing_of_awkward_rows(spark, awkward, empty):
     assert packing.pack(empty, VOCABULARY).count() == 0
 
 
+def test_repeated_rows_are_spread_over_the_groups(spark):
+    rows = packing.pack(spark.createDataFrame([(1, "the same text")] * 2000, "doc_id bigint, text string"), VOCABULARY, group_pieces=100).collect()
+    sizes = Counter(r.sequence_id >> 32 for r in rows)
+    assert len(rows) == 2000 and len(sizes) == 20 and max(sizes.values()) < 200
+
+
 def test_first_fit_decreasing_by_the_plain_rule():
     lengths = np.sort(np.random.default_rng(5).integers(1, 2049, 500))[::-1]
     bins, offsets = packing.first_fit_decreasing(lengths, 2048)
