@@ -350,6 +350,14 @@ def test_exact_passages_of_a_large_benchmark_are_found(spark, sf_dir, docs):
     assert wanted <= {(r.doc_id, r.item_id) for r in rows if r.lcs_share == 1.0}
 
 
+def test_short_items_and_scripts_without_spaces(spark):
+    texts = ["one x two x three x four x five x six", "so one two three four five six it is", "我们说今天天气很好，我们一起去公园散步吧。", "天气"]
+    asked = ["one two three four five six", "今天天气很好我们一起去公园散步", " ".join(f"w{k}" for k in range(16))]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    items = spark.createDataFrame(list(enumerate(asked)), "item_id bigint, text string")
+    assert {(r.doc_id, r.item_id, r.kind) for r in decontaminate.contaminated(docs, items).collect()} == {(1, 0, "verbatim"), (2, 1, "verbatim")}
+
+
 def test_contamination_of_awkward_rows(spark, awkward, empty):
     items = spark.createDataFrame([(1, "alpha beta gamma delta"), (2, ""), (3, None), (None, "x"), (4, "wide words in a very long text"), (4, "wide words in a very long text")], "item_id bigint, text string")
     found = {(r.doc_id, r.item_id) for r in decontaminate.contaminated(awkward, items).collect()}
