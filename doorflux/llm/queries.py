@@ -15,12 +15,15 @@ from doorflux.llm import (
     fingerprint,
     langid,
     licences,
+    negatives,
     packing,
     pii,
     secret_scan,
     simhash,
     sql,
     toxicity,
+    warc,
+    whitening,
 )
 from doorflux.llm.common import crc_part, table
 
@@ -85,14 +88,34 @@ def op10_pii_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.protect(table(spark, sf_dir, "documents"), PII_KEY)
 
 
+def op11_hard_negative_mining(spark: SparkSession, sf_dir: str) -> DataFrame:
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return negatives.mine(table(spark, sf_dir, "embeddings"), F.col("id") % 100 == 0, moved)
+
+
+def op12_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = whitening.whiten(table(spark, sf_dir, "embeddings"))
+    return out.withColumn("deviation", F.col("deviation").try_cast("long"))
+
+
+def op13_warc_bundles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = warc.read(warc.archive(table(spark, sf_dir, "pages")))
+    return out.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
         op1_document_fingerprints, op2_license_scans, op3_simhash_near_dedup,
         op4_benchmark_decontamination, op5_packing, op6_html_extraction, op7_language_id,
-        op8_toxicity, op9_secret_scans, op10_pii_pseudonyms,
+        op8_toxicity, op9_secret_scans, op10_pii_pseudonyms, op11_hard_negative_mining,
+        op12_embedding_whitening, op13_warc_bundles,
     )
 }
 
 #: What the other operators do is beyond SQL; tests hold them against brute force.
-ORACLE: dict[str, str] = {"op9_secret_scans": sql.SECRET_REPORT}
+ORACLE: dict[str, str] = {
+    "op9_secret_scans": sql.SECRET_REPORT,
+    "op11_hard_negative_mining": sql.HARD_NEGATIVES,
+    "op13_warc_bundles": sql.WARC_RECORDS,
+}

@@ -34,3 +34,48 @@ s AS (SELECT k, count(*) FILTER (WHERE ord = 0) AS n_assign, count(*) FILTER (WH
 SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex,
        sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
 FROM d LEFT JOIN s USING (k)"""
+
+#: For each anchor and positive the best rows of other labels within the window, plainly.
+HARD_NEGATIVES = """
+WITH sound AS (
+    SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+           list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v
+    FROM embeddings
+    WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+      AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), scored AS (
+    SELECT a.vec_id AS anchor_id, b.vec_id AS other_id, a.label = b.label AS alike,
+           list_inner_product(a.v, b.v)::BIGINT AS score
+    FROM sound a JOIN sound b ON a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id
+), positives AS (
+    SELECT anchor_id, other_id AS positive_id, score AS positive_score FROM scored WHERE alike
+    QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, other_id) <= 5
+)
+SELECT p.anchor_id, p.positive_id,
+       row_number() OVER (PARTITION BY p.anchor_id, p.positive_id ORDER BY n.score DESC, n.other_id)::INTEGER AS rank,
+       n.other_id AS negative_id, p.positive_score, n.score AS negative_score
+FROM positives p
+JOIN scored n ON n.anchor_id = p.anchor_id AND NOT n.alike
+     AND 30 * p.positive_score <= 100 * n.score AND 100 * n.score <= 90 * p.positive_score
+QUALIFY row_number() OVER (PARTITION BY p.anchor_id, p.positive_id ORDER BY n.score DESC, n.other_id) <= 10
+"""
+
+#: Base 32 is written five hexadecimal digits (four letters) at a time.
+WARC_RECORDS = """
+WITH paid AS (
+    SELECT page_id, coalesce(html, '') AS payload, sha1(coalesce(html, '')) AS hex,
+           max(page_id) OVER (PARTITION BY coalesce(html, '')) AS first
+    FROM pages
+), digits AS (
+    SELECT *, list_transform(range(0, 8), lambda k: list_reduce(
+        list_transform(range(1, 6), lambda d: instr('0123456789abcdef', substr(hex, 5 * k + d, 1)) - 1),
+        lambda x, y: 16 * x + y)) AS fives
+    FROM paid
+)
+SELECT page_id, octet_length(encode(payload))::BIGINT AS payload_bytes,
+       array_to_string(list_transform(range(0, 32), lambda k: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+           ((fives[k // 4 + 1] >> (15 - 5 * (k % 4))) & 31)::INTEGER + 1, 1)), '') AS payload_digest,
+       CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id <> first THEN first END AS refers_to
+FROM digits
+"""
