@@ -3,12 +3,17 @@
     load      --warehouse W --source dbo.store=PATH … [--tables F] [--offsets F] [--database D]
     dashboard --warehouse W --out O --period month [--start D --end D | --as-of D] [--store S]
     stores    --warehouse W --out O
-    compact   --warehouse W
+    compact   --warehouse W [--rules F]
+    view      --warehouse W --database D [--rules F]
+    stream    --warehouse W --table dbo.num_crowd --landing FOLDER --checkpoint FOLDER [--distinct-within SPAN]
+
+``load`` ends with 1 if a table failed.
 """
 
 from __future__ import annotations
 
 import argparse
+import sys
 from datetime import date
 
 from doorflux.config import (
@@ -23,19 +28,21 @@ from doorflux.functions.periods import ALL_STORES, Request, preset_request
 from doorflux.operators.report import write_csv
 from doorflux.operators.stores import store_names
 from doorflux.plans.dashboard import dashboard
-from doorflux.plans.load import run_etl, run_summary
+from doorflux.plans.load import run_etl, run_summary, source_keys
 from doorflux.plans.warehouse import Warehouse
 from doorflux.session import build_session
 from doorflux.sources import jdbc_table, parquet_table
+from doorflux.streaming import stream_load
+from doorflux.streaming.incremental import batch_figures, landing_stream
 
 
-def main(arguments: list[str] | None = None) -> None:
+def main(arguments: list[str] | None = None) -> int:
     options = _parser().parse_args(arguments)
     spark = build_session(f"doorflux {options.job}", options.master)
-    options.run(Warehouse(spark, options.warehouse), options)
+    return options.run(Warehouse(spark, options.warehouse), options) or 0
 
 
-def load(warehouse: Warehouse, options) -> None:
+def load(warehouse: Warehouse, options) -> int:
     """Load all tables and write the figures of the run; with a database also publish."""
     specs = load_specs(options.tables) if options.tables else default_specs()
     offsets = load_offsets(options.offsets) if options.offsets else DEFAULT_OFFSETS
@@ -54,7 +61,9 @@ def load(warehouse: Warehouse, options) -> None:
         warehouse, sources, specs, offsets, _rules(options), options.lookback, options.database
     )
     figures.write.mode("overwrite").json(options.out or f"{warehouse.root}/last_run")
-    run_summary(figures).show()
+    summary = run_summary(figures)
+    summary.show()
+    return 1 if summary.first()["failed"] else 0
 
 
 def _rules(options) -> BusinessRules:
@@ -90,7 +99,30 @@ def stores(warehouse: Warehouse, options) -> None:
 def compact(warehouse: Warehouse, options) -> None:
     for spec in default_specs():
         if spec.incremental:
-            warehouse.compact(spec)
+            warehouse.compact(spec, _rules(options))
+
+
+def view(warehouse: Warehouse, options) -> None:
+    """Show what is published in the catalog and define the view anew, without a load."""
+    for spec in default_specs():
+        warehouse.publish_to_catalog(spec, options.database, analyze=False)
+    warehouse.publish_view(options.database, _rules(options))
+
+
+def stream(warehouse: Warehouse, options) -> None:
+    """Load the files that have landed since the last run, and leave the figures of each batch."""
+    specs = load_specs(options.tables) if options.tables else default_specs()
+    [spec] = [spec for spec in specs if spec.source_table == options.table]
+    schema = parquet_table(warehouse.spark, options.landing).schema
+    keys = options.distinct_on.split(",") if options.distinct_on else list(source_keys(spec))
+    with batch_figures(warehouse, spec) as figures:
+        query = stream_load(
+            warehouse, spec, landing_stream(warehouse, options.landing, schema), options.checkpoint,
+            rules=_rules(options), distinct_on=keys, distinct_within=options.distinct_within,
+        )
+        query.awaitTermination()
+        figures.wait(query)
+    warehouse.stream_figures(spec.dest_table).orderBy("stream", "batch").show(truncate=False)
 
 
 def _parser() -> argparse.ArgumentParser:
@@ -128,9 +160,22 @@ def _parser() -> argparse.ArgumentParser:
     showing.add_argument("--store", default=ALL_STORES)
 
     job("stores", stores).add_argument("--out", required=True)
-    job("compact", compact)
+    job("compact", compact).add_argument("--rules", help="JSON or YAML of the business rules that differ")
+
+    viewing = job("view", view)
+    viewing.add_argument("--database", required=True)
+    viewing.add_argument("--rules", help="JSON or YAML of the business rules that differ")
+
+    streaming = job("stream", stream)
+    streaming.add_argument("--table", required=True, help="the source table whose rows land")
+    streaming.add_argument("--landing", required=True, help="folder of Parquet files")
+    streaming.add_argument("--checkpoint", required=True)
+    streaming.add_argument("--tables")
+    streaming.add_argument("--rules", help="JSON or YAML of the business rules that differ")
+    streaming.add_argument("--distinct-within", help="load a repeated row once within this span")
+    streaming.add_argument("--distinct-on", help="source columns that tell rows apart; the natural key by default")
     return parser
 
 
 if __name__ == "__main__":
-    main()
+    sys.exit(main())

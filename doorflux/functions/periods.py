@@ -9,7 +9,7 @@ from __future__ import annotations
 import calendar
 import re
 from dataclasses import dataclass
-from datetime import date, timedelta
+from datetime import date, datetime, time, timedelta
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -86,6 +86,16 @@ class Window:
         return from_start & to_end & year.between(first_year, last_year)
 
 
+    def cut_day(self, rules: BusinessRules) -> Window | None:
+        """The business day that the range ends within; None if it ends with one."""
+        opening = timedelta(hours=rules.working_hour_start)
+        end = datetime.fromisoformat(self.end) - opening
+        if end.time() == time():
+            return None
+        first = datetime.combine(end.date(), time()) + opening
+        return Window(str(first), str(first + timedelta(days=1)))
+
+
 def business_window(start: date, end: date, rules: BusinessRules) -> Window:
     """From opening on ``start`` to closing in the night after ``end``."""
     last = end + timedelta(days=1)

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -19,15 +22,28 @@ def previous_window(request: Request, rules: BusinessRules) -> Window | None:
     return None if previous is None else window_of(previous, rules)
 
 
-def in_window(df: DataFrame, window: Window) -> DataFrame:
-    """Rows of the range, with the partitions it touches where there are any."""
-    return df.filter(_in_range(df, window))
+def counts_in(traffic: Traffic, windows: Iterable[Window | None], unit: str | None = None) -> DataFrame:
+    """The counts of one or more ranges, for all stores.
+
+    Sums of business days serve the days that lie whole in their range, if the traffic has
+    such sums and the ``unit`` of its buckets is no hour; hours (or records) serve the last
+    day of each range, which ends before the next opening. A day that two ranges cut
+    differently comes in hours for both.
+    """
+    ranges = [window for window in windows if window is not None]
+    rows = traffic.counts.filter(_in_any(traffic.counts, ranges))
+    if traffic.days is None or unit in (None, "hour"):
+        return rows
+    cut = [day for day in (window.cut_day(traffic.rules) for window in ranges) if day is not None]
+    in_hours = reduce(Column.__or__, [day.contains(F.col("record_time")) for day in cut], F.lit(False))
+    pruned = _in_any(rows, cut) if cut else F.lit(False)
+    names = ["record_time", "store_id", "in_count", "out_count", *[n for n in ("year", "month") if n in rows.columns]]
+    whole = traffic.days.filter(_in_any(traffic.days, ranges) & ~in_hours)
+    return rows.filter(pruned).select(*names).unionByName(whole.select(*names))
 
 
-def in_either_window(df: DataFrame, first: Window, second: Window | None) -> DataFrame:
-    if second is None:
-        return in_window(df, first)
-    return df.filter(_in_range(df, first) | _in_range(df, second))
+def _in_any(df: DataFrame, windows: list[Window]) -> Column:
+    return reduce(Column.__or__, [_in_range(df, window) for window in windows], F.lit(False))
 
 
 def _in_range(df: DataFrame, window: Window) -> Column:
@@ -39,7 +55,7 @@ def _in_range(df: DataFrame, window: Window) -> Column:
 
 def business_days(traffic: Traffic, request: Request) -> DataFrame:
     """The counts of the request's range, for all stores."""
-    return in_window(traffic.counts, window_of(request, traffic.rules))
+    return counts_in(traffic, [window_of(request, traffic.rules)], request.unit)
 
 
 def with_store_names(traffic: Traffic, by_store: DataFrame, request: Request) -> DataFrame:

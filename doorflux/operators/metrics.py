@@ -11,8 +11,7 @@ from doorflux.functions.rounding import nearest_whole
 from doorflux.operators.buckets import bucket_totals, business_bucket
 from doorflux.operators.filters import (
     business_days,
-    in_either_window,
-    in_window,
+    counts_in,
     prefilter_store,
     previous_window,
     window_of,
@@ -67,7 +66,7 @@ def busiest_store(traffic: Traffic, request: Request) -> DataFrame:
 def previous_total(traffic: Traffic, request: Request) -> DataFrame:
     """Visitors of the same dates one period earlier; 0 if there were none."""
     window = previous_window(request, traffic.rules)
-    rows = traffic.counts.filter(F.lit(False)) if window is None else in_window(traffic.counts, window)
+    rows = counts_in(traffic, [window], request.unit)
     sums = _sums(traffic, rows, request, ins=F.col("in_count"))
     return sums.select(F.coalesce("ins", F.lit(0)).alias("prev_total"))
 
@@ -79,7 +78,7 @@ def growth(traffic: Traffic, request: Request) -> DataFrame:
     count = F.col("in_count")
     sums = _sums(
         traffic,
-        in_either_window(traffic.counts, now, before),
+        counts_in(traffic, [now, before], request.unit),
         request,
         ins=_counted(count, now),
         ins_before=_counted(count, before),
@@ -99,7 +98,7 @@ def metrics(traffic: Traffic, request: Request) -> DataFrame:
     """
     now = window_of(request, traffic.rules)
     before = previous_window(request, traffic.rules)
-    rows = in_either_window(traffic.counts, now, before)
+    rows = counts_in(traffic, [now, before], request.unit)
     rows = prefilter_store(traffic, rows, request)
     current = now.contains(F.col("record_time"))
     period_start = F.when(current, business_bucket(request.unit, traffic.rules))

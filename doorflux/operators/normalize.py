@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -86,12 +86,14 @@ class Traffic:
 
     Counts may be single records or an hourly rollup. Sums are the same, because
     range ends and the business-day shift are whole hours. ``stores`` has one row
-    per store id (the contract of the stores table).
+    per store id (the contract of the stores table). ``days``, if given, holds the same
+    counts summed by business day, from the opening that ``rules`` name.
     """
 
     counts: DataFrame
     stores: DataFrame
     rules: BusinessRules = DEFAULT_RULES
+    days: DataFrame | None = None
 
     @classmethod
     def from_fact(
@@ -101,6 +103,13 @@ class Traffic:
 
     @classmethod
     def from_rollup(
-        cls, rollup: DataFrame, stores: DataFrame, rules: BusinessRules = DEFAULT_RULES
+        cls, rollup: DataFrame, stores: DataFrame, rules: BusinessRules = DEFAULT_RULES,
+        days: DataFrame | None = None,
     ) -> Traffic:
-        return cls(rollup, stores.select("store_id", "store_name"), rules)
+        return cls(rollup, stores.select("store_id", "store_name"), rules, days)
+
+    def of_stores(self, store_ids: list[int]) -> Traffic:
+        """The traffic of some stores; the ids reach the scans, which skip files without them."""
+        chosen = F.col("store_id").isin(store_ids)
+        days = None if self.days is None else self.days.filter(chosen)
+        return replace(self, counts=self.counts.filter(chosen), days=days)

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from doorflux.functions.periods import Request
 from doorflux.operators.buckets import hourly_rollup, trend
 from doorflux.operators.errors import error_logs
-from doorflux.operators.filters import in_either_window, prefilter_store, previous_window, window_of
+from doorflux.operators.filters import counts_in, prefilter_store, previous_window, window_of
 from doorflux.operators.metrics import metrics
 from doorflux.operators.normalize import Traffic
 from doorflux.operators.report import report, report_summary
@@ -66,10 +66,11 @@ def dashboard(
     """All parts of one request; ``latest`` is one row of the newest time.
 
     The counts of both ranges and of the chosen store are summed to store and hour
-    once and kept, since five parts read them; hours answer each of them exactly.
+    once and kept, since five parts read them; hours answer each of them exactly, and so
+    do business days if the traffic has their sums and no part shows hours.
     """
     rules = traffic.rules
-    rows = in_either_window(traffic.counts, window_of(request, rules), previous_window(request, rules))
+    rows = counts_in(traffic, [window_of(request, rules), previous_window(request, rules)], request.unit)
     hours = hourly_rollup(prefilter_store(traffic, rows, request)).persist()
     hourly = Traffic.from_rollup(hours, traffic.stores, rules)
     return Dashboard(

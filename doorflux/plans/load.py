@@ -3,10 +3,10 @@
 from __future__ import annotations
 
 import logging
-from collections.abc import Iterable, Mapping
+from collections.abc import Iterable, Mapping, Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from doorflux.config import (
@@ -32,6 +32,13 @@ NATURAL_KEYS = {
     "fact_errors": ("log_id",),
 }
 
+
+def source_keys(spec: TableSpec) -> tuple[str, ...]:
+    """The source columns of a table's natural key."""
+    source = {spec.stored_name(name): name for name in spec.source_columns}
+    return tuple(source[key] for key in NATURAL_KEYS[spec.dest_table])
+
+
 Offsets = Mapping[str, Mapping[int, int]]
 
 
@@ -70,6 +77,7 @@ def load_table(
     rules: BusinessRules = DEFAULT_RULES,
     lookback: str | None = None,
     rebalance: bool = True,
+    cluster: bool = False,
 ) -> Loaded:
     """Load one table: everything, or what is newer than its mark.
 
@@ -83,7 +91,7 @@ def load_table(
     if spec.incremental and lookback is not None and mark != DEFAULT_MARK:
         rows = _unpublished(warehouse, spec, rows, offsets, mark, lookback)
     return write_and_publish(
-        warehouse, spec, rows, history.next_load_id, history, offsets, rules, rebalance
+        warehouse, spec, rows, history.next_load_id, history, offsets, rules, rebalance, cluster=cluster
     )
 
 
@@ -97,22 +105,25 @@ def write_and_publish(
     rules: BusinessRules = DEFAULT_RULES,
     rebalance: bool = True,
     batch: tuple[str, int] | None = None,
+    cluster: bool = False,
 ) -> Loaded:
     """Clean, check, write and publish; ``batch`` names the stream and batch of the rows.
 
     A table with unique keys is checked on rows that are written once, so that the
     source is read once; its keys must differ from the published ones too, unless
-    the load replaces those.
+    the load replaces those. Only loads and months whose keys may be among the new ones
+    are read for that.
     """
     name, contract = spec.dest_table, contract_for(spec)
     cleaned = clean(keep_source_time(rows, spec), spec, offsets)
     twice = contract is not None and bool(contract.unique_fields)
     if twice:
         cleaned = warehouse.staged(cleaned, name)
-    taken = warehouse.table(name) if twice and spec.incremental and history.current.loads else None
-    load = warehouse.write_load(checked(cleaned, spec, taken), spec, load_id, rebalance)
-    if twice:
-        warehouse.unstage(cleaned, name)
+    taken = None
+    if twice and spec.incremental and history.current.loads:
+        keys = [field.name for field in contract.unique_fields]
+        taken = warehouse.where_it_may_be(name, keys[0], cleaned) if len(keys) == 1 else warehouse.table(name)
+    load = warehouse.write_load(checked(cleaned, spec, taken), spec, load_id, rebalance, cluster)
     if name == "fact_traffic" and load.rows:
         load = warehouse.write_rollup(load, rules)
     return Loaded(spec, load, warehouse.publish(spec, load, history, batch))
@@ -128,26 +139,68 @@ def _unpublished(
 ) -> DataFrame:
     """Rows whose natural key is not published yet, each key once.
 
-    Only the published rows that can lie in the lookback are read: a stored time
+    Only the loads and months that can lie in the lookback are read: a stored time
     is the source time less the largest clock offset, at most. Both sides enter
     the join as plain scans, so adaptive execution can split a hot key.
     """
     keys = NATURAL_KEYS[spec.dest_table]
     largest = max([0, *offsets.get(spec.bare_source_name, {}).values()])
     oldest = ntz(mark) - interval(lookback) - interval(f"{largest} minutes")
-    stored = F.col(spec.final_timestamp_col)
-    known = warehouse.table(spec.dest_table).filter(stored > oldest)
-    year, month = F.col("year"), F.col("month")
-    in_month = (year > F.year(oldest)) | ((year == F.year(oldest)) & (month >= F.month(oldest)))
-    known = known.filter((year >= F.year(oldest)) & in_month)
-    known = known.select(*[F.col(key).alias(f"_known_{key}") for key in keys])
-
-    # The keys as they will be stored, beside the raw columns.
+    time = spec.final_timestamp_col
+    known = warehouse.between(spec.dest_table, time, oldest).filter(F.col(time) > oldest)
+    keyed = _stored_beside_raw(rows, spec, offsets).dropDuplicates(list(keys))
+    return _without_known(keyed, known, keys, rows.columns)
+
+
+def unseen(
+    warehouse: Warehouse,
+    spec: TableSpec,
+    rows: DataFrame,
+    keys: Sequence[str],
+    within: str,
+    offsets: Offsets = DEFAULT_OFFSETS,
+) -> DataFrame:
+    """Rows of a batch that repeat none before them, in the batch or published.
+
+    A row repeats another with the same ``keys`` (source columns) whose stored time is less than
+    ``within`` away; a chain of such rows keeps its first. What is published is
+    the memory: of it, the loads and months are read whose times the batch's rows may
+    repeat. A batch in time reads the last loads, a late row those of its own time,
+    so no row is taken for repeated, or dropped, for being late.
+    """
+    time = spec.final_timestamp_col
+    stored = [spec.stored_name(key) for key in keys]
+    keyed = _stored_beside_raw(rows, spec, offsets).dropDuplicates(list(dict.fromkeys([*stored, time])))
+    span = None
+    if time not in stored:
+        span = interval(within)
+        before = F.lag(time).over(Window.partitionBy(*stored).orderBy(time))
+        keyed = keyed.withColumn("_before", before).filter(F.col("_before").isNull() | (F.col(time) - F.col("_before") >= span))
+        keyed = keyed.drop("_before")
+    if not warehouse.commit(spec.dest_table).loads:
+        return keyed.select(*[F.col(f"_raw_{name}").alias(name) for name in rows.columns])
+    known = warehouse.where_it_may_be(spec.dest_table, time, keyed, margin=span)
+    return _without_known(keyed, known, stored, rows.columns, time, span)
+
+
+def _stored_beside_raw(rows: DataFrame, spec: TableSpec, offsets: Offsets) -> DataFrame:
+    """The rows as they will be stored, beside their raw columns."""
     raw = [F.col(name).alias(f"_raw_{name}") for name in rows.columns]
-    keyed = clean(rows.select("*", *raw), spec, offsets).dropDuplicates(list(keys))
+    return clean(rows.select("*", *raw), spec, offsets)
+
+
+def _without_known(
+    keyed: DataFrame, known: DataFrame, keys: Sequence[str], columns: Sequence[str],
+    time: str | None = None, span: Column | None = None,
+) -> DataFrame:
+    names = [*keys, *([time] if span is not None else [])]
+    known = known.select(*[F.col(name).alias(f"_known_{name}") for name in names])
     same = [F.col(key).eqNullSafe(F.col(f"_known_{key}")) for key in keys]
+    if span is not None:
+        apart = F.col(time) - F.col(f"_known_{time}")
+        same.append((apart < span) & (-apart < span))
     fresh = keyed.join(known, same, "left_anti")
-    return fresh.select(*[F.col(f"_raw_{name}").alias(name) for name in rows.columns])
+    return fresh.select(*[F.col(f"_raw_{name}").alias(name) for name in columns])
 
 
 def run_etl(

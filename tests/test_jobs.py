@@ -20,9 +20,13 @@ def test_load_and_dashboard(spark, sf_dir, tmp_path, capsys):
     (tmp_path / "rules.json").write_text('{"error_rows": 7}')
     rules = ["--rules", str(tmp_path / "rules.json")]
     spark.sql(f"CREATE DATABASE jobs LOCATION '{tmp_path}/jobs'")
-    jobs.main(["load", "--warehouse", root, "--database", "jobs", *rules, *sources])
+    assert jobs.main(["load", "--warehouse", root, "--database", "jobs", *rules, *sources]) == 0
     assert [r.status for r in spark.read.json(f"{root}/last_run").collect()] == ["succeeded"] * 3
     assert spark.table("jobs.v_traffic_normalized").count() == 1000
+    (tmp_path / "low.json").write_text('{"outlier_threshold": 5}')
+    jobs.main(["view", "--warehouse", root, "--database", "jobs", "--rules", str(tmp_path / "low.json")])
+    assert spark.table("jobs.v_traffic_normalized").selectExpr("max(in_count)").first()[0] <= 5
+    assert spark.sql("SELECT jobs.cap_outlier(7), jobs.cap_outlier(3)").first()[:] == (0, 3)
     spark.sql("DROP DATABASE jobs CASCADE")
     jobs.main(["stores", "--warehouse", root, "--out", str(tmp_path / "stores")])
     assert spark.read.json(str(tmp_path / "stores")).count() > 1
@@ -40,3 +44,10 @@ def test_load_and_dashboard(spark, sf_dir, tmp_path, capsys):
     assert body["total_in"] > 0 and body["peak_time"].count("/") == 1
     assert list(out.glob("bao_cao_month_2024-01-05_2024-01-19.csv/*.csv"))
     jobs.main(["compact", "--warehouse", root])
+    # a table that fails is told by the exit code
+    assert jobs.main(["load", "--warehouse", root, "--out", str(tmp_path / "run"), *sources[:4]]) == 1
+    landing = str(tmp_path / "landing")
+    feeds["dbo.num_crowd"].write.parquet(landing)
+    streaming = ["--table", "dbo.num_crowd", "--landing", landing, "--checkpoint", str(tmp_path / "checkpoint")]
+    assert jobs.main(["stream", "--warehouse", str(tmp_path / "streamed"), "--distinct-within", "1 day", *streaming]) == 0
+    assert "arrived" in capsys.readouterr().out

@@ -8,7 +8,7 @@ from doorflux.config import TRAFFIC
 from doorflux.plans.load import write_and_publish
 from doorflux.plans.warehouse import Warehouse
 from doorflux.streaming import stream_load
-from doorflux.streaming.incremental import landing_stream
+from doorflux.streaming.incremental import batch_figures, landing_stream
 from tests.conftest import rows
 from workloads.fixtures import RAW_TRAFFIC_SCHEMA as RAW
 
@@ -97,3 +97,45 @@ def test_stream_equals_batch(spark, warehouse, landing, tmp_path):
     batch = spark.read.schema(RAW).parquet(landing.folder)
     write_and_publish(other, TRAFFIC, batch, "L1", other.history("fact_traffic"))
     assert rows(other.table("fact_traffic")) == rows(warehouse.table("fact_traffic"))
+
+
+NATURAL = ("storeid", "position", "recordtime")
+
+
+def test_a_late_row_is_loaded_and_its_repeat_is_not(spark, warehouse, landing, tmp_path):
+    options = {"distinct_on": NATURAL, "distinct_within": "1 day"}
+    landing(("2024-01-10 10:00:00", 1))
+    landing(("2024-01-10 11:00:00", 2))
+    run(warehouse, landing, tmp_path, **options)
+    landing(("2024-01-05 10:00:00", 3), ("2024-01-10 12:00:00", 4))  # the first is five days late
+    run(warehouse, landing, tmp_path, **options)
+    assert counts(warehouse) == [1, 2, 3, 4]
+    landing(("2024-01-05 10:00:00", 3), ("2024-01-10 10:00:00", 1), ("2024-01-05 11:00:00", 5))
+    run(warehouse, landing, tmp_path, **options)
+    assert counts(warehouse) == [1, 2, 3, 4, 5]
+    late = {r.batch: r.late for r in warehouse.stream_figures("fact_traffic").collect()}
+    assert max(late.values()) == 3 and sum(late.values()) == 4
+
+
+def test_keys_without_a_time_are_told_apart_by_the_span(spark, warehouse, landing, tmp_path):
+    options = {"distinct_on": ("storeid",), "distinct_within": "1 hour"}
+    landing(("2024-01-01 10:00:00", 1), ("2024-01-01 10:50:00", 2), ("2024-01-01 11:40:00", 3), ("2024-01-01 12:40:00", 4))
+    run(warehouse, landing, tmp_path, **options)
+    assert counts(warehouse) == [1, 4]  # each of the others is within an hour of the one before
+    landing(("2024-01-01 13:39:00", 5), ("2023-12-31 10:00:00", 6), ("2024-01-01 09:00:00", 7))
+    run(warehouse, landing, tmp_path, **options)
+    assert counts(warehouse) == [1, 4, 6, 7]
+
+
+def test_figures_of_batches(spark, warehouse, landing, tmp_path):
+    with batch_figures(warehouse, TRAFFIC) as figures:
+        for records in ([("2024-01-01 10:00:00", 1)], [("2024-01-01 11:00:00", 2), ("2024-01-01 12:00:00", 3)]):
+            landing(*records)
+            stream = landing_stream(warehouse, landing.folder, RAW)
+            query = stream_load(warehouse, TRAFFIC, stream, str(tmp_path / "checkpoint"))
+            query.awaitTermination()
+            figures.wait(query)
+    found = warehouse.stream_figures("fact_traffic").orderBy("batch").collect()
+    assert [(r.batch, r.arrived, r.rows, r.rejected, r.published) for r in found] == [(0, 1, 1, 0, True), (1, 2, 2, 0, True)]
+    assert all(r.seconds > 0 for r in found) and len({r.stream for r in found}) == 1
+    assert warehouse.stream_figures("fact_errors").count() == 0

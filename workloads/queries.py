@@ -24,12 +24,12 @@ from doorflux.operators import (
 )
 from doorflux.operators.normalize import Traffic
 from doorflux.plans.dashboard import dashboard
-from doorflux.plans.load import load_table, prepare, run_etl, run_summary
+from doorflux.plans.load import load_table, prepare, run_etl, run_summary, source_keys
 from doorflux.plans.warehouse import Warehouse
 from doorflux.session import scratch_dir
 from doorflux.sources import extract, project, query
 from doorflux.streaming import stream_load
-from doorflux.streaming.incremental import landing_stream
+from doorflux.streaming.incremental import batch_figures, landing_stream
 from workloads import fixtures as fx
 from workloads import sql
 
@@ -930,7 +930,7 @@ def latest_record_loaded(spark, sf_dir):
         SELECT {sql.bucket_label(EVENTS_MONTH)} AS x, total_in AS y FROM b ORDER BY 1""",
 )
 def trend_from_warehouse_rules(spark, sf_dir):
-    """Other rules than the hourly sums were made with: the records answer."""
+    """Other rules than the hourly sums were made with: the histograms of hours answer."""
     target = warehouse_for(spark, "rules-warehouse")
     load_table(target, TRAFFIC, fx.raw_traffic(spark, sf_dir))
     rules = BusinessRules(outlier_threshold=40)
@@ -949,3 +949,99 @@ def trend_from_warehouse(spark, sf_dir):
     load_table(target, TRAFFIC, raw.filter(F.col("recordtime") <= periods.ntz(CUT)))
     load_table(target, TRAFFIC, raw)
     return buckets.trend(target.traffic(hourly=True), EVENTS_MONTH)
+
+
+@registered("trend_year_from_day_sums", f"WITH {sql.buckets(*ORDERS, ORDERS_ALL)} SELECT {sql.bucket_label(ORDERS_ALL)} AS x, total_in AS y FROM b ORDER BY 1")
+def trend_year_from_day_sums(spark, sf_dir):
+    """Seven years: business days give all but the last night, which comes from hours."""
+    target = warehouse_for(spark, "day-sums")
+    fact = fx.orders_fact(spark, sf_dir)
+    feed = fact.select(
+        F.col("recorded_at").alias("recordtime"), F.col("visitors_in").cast("int").alias("in_num"),
+        F.col("visitors_out").cast("int").alias("out_num"), F.lit("door").alias("position"), F.col("store_id").cast("int").alias("storeid"),
+    )
+    load_table(target, TRAFFIC, feed, offsets={})
+    return buckets.trend(target.traffic(hourly=True), ORDERS_ALL)
+
+
+@registered(
+    "kpi_all_store_loaded",
+    _kpi_oracle((f"SELECT recorded_at, visitors_in, visitors_out, store_id FROM ({LOADED_TRAFFIC})", KNOWN_STORES), EVENTS_STORE, ALL_FIGURES),
+)
+def kpi_all_store_loaded(spark, sf_dir):
+    """The files of a clustered load hold few stores each; the chosen store's ids reach the scan."""
+    target = warehouse_for(spark, "clustered")
+    load_table(target, STORES, fx.raw_stores(spark, sf_dir))
+    load_table(target, TRAFFIC, fx.raw_traffic(spark, sf_dir), cluster=True)
+    return metrics.metrics(target.traffic_of(EVENTS_STORE.store), EVENTS_STORE)
+
+
+STATISTICS = " UNION ALL ".join(
+    f"SELECT '{name}' AS column_name, count(*) AS rows, count(*) - count({name}) AS nulls, CAST(min({name}) AS VARCHAR) AS least, "
+    f"CAST(max({name}) AS VARCHAR) AS greatest, true AS distinct_within_3_percent FROM ({LOADED_TRAFFIC})"
+    for name in ("visitors_in", "visitors_out", "device_position", "store_id")
+)
+
+
+@registered("table_statistics_incremental", STATISTICS)
+def table_statistics_incremental(spark, sf_dir):
+    """Merged from what two loads left about themselves; no row of the table is read for it."""
+    target = warehouse_for(spark, "incremental-statistics")
+    raw = fx.raw_traffic(spark, sf_dir)
+    load_table(target, TRAFFIC, raw.filter(F.col("recordtime") <= periods.ntz(CUT)))
+    load_table(target, TRAFFIC, raw)
+    names = ("visitors_in", "visitors_out", "device_position", "store_id")
+    exact = target.table("fact_traffic").agg(*[F.count_distinct(name).alias(name) for name in names])
+    exact = exact.unpivot([], list(names), "column_name", "distinct_values")
+    near = F.abs(F.col("distinct_count") - F.col("distinct_values")) <= 0.03 * F.col("distinct_values")
+    found = target.statistics("fact_traffic").join(exact, "column_name")
+    return found.select("column_name", "rows", "nulls", "least", "greatest", near.alias("distinct_within_3_percent"))
+
+
+ALONE = f"""SELECT * FROM ({fx.RAW_TRAFFIC})
+            QUALIFY count(*) OVER (PARTITION BY recordtime, position, storeid) = 1"""
+
+
+@registered(
+    "stream_late_rows",
+    LOADED_TRAFFIC.replace(f"({fx.RAW_TRAFFIC})", f"({ALONE})"),
+)
+def stream_late_rows(spark, sf_dir):
+    """The second half lands first; then the first, days late and each row twice, with rows seen before;
+    then all of it again, by a stream with a new checkpoint. Each row is loaded once."""
+    target = warehouse_for(spark, "late-stream")
+    raw = fx.raw_traffic(spark, sf_dir)
+    keys = list(source_keys(TRAFFIC))
+    raw = raw.join(raw.groupBy(keys).count().filter("count = 1"), keys, "left_semi").select(raw.columns)
+    late = F.col("recordtime") <= periods.ntz(CUT)
+    landings = (("a", raw.filter(~late)), ("a", raw.filter(late).unionAll(raw)), ("b", raw))
+    for number, (checkpoint, rows) in enumerate(landings):
+        rows.write.parquet(f"{target.root}/landing/{number}")
+        stream = landing_stream(target, f"{target.root}/landing/*", fx.RAW_TRAFFIC_SCHEMA)
+        stream_load(
+            target, TRAFFIC, stream, f"{target.root}/checkpoint-{checkpoint}", distinct_on=keys, distinct_within="1 day"
+        ).awaitTermination()
+    return target.table("fact_traffic")
+
+
+@registered(
+    "stream_run_metrics",
+    f"""WITH c AS (SELECT TRY_CAST(recordtime AS TIMESTAMP) <= TIMESTAMP '{CUT}' AS early, TRY_CAST(recordtime AS TIMESTAMP) AS recorded_at,
+                          storeid FROM ({fx.DIRTY_TRAFFIC}))
+        SELECT CASE WHEN early THEN 0 ELSE 1 END AS batch, count(*) AS arrived, count(TRY_CAST(storeid AS BIGINT)) AS rows,
+               count(*) - count(TRY_CAST(storeid AS BIGINT)) AS rejected FROM c WHERE recorded_at IS NOT NULL GROUP BY 1""",
+)
+def stream_run_metrics(spark, sf_dir):
+    """What arrived in each batch, from the stream's progress, and what became of it, from the loads."""
+    target = warehouse_for(spark, "stream-figures")
+    feed = fx.dirty_traffic(spark, sf_dir).filter(F.col("recordtime").try_cast("timestamp_ntz").isNotNull())
+    early = F.col("recordtime").try_cast("timestamp_ntz") <= periods.ntz(CUT)
+    with batch_figures(target, TRAFFIC) as figures:
+        for name, rows in (("a", feed.filter(early)), ("b", feed.filter(~early))):
+            rows.coalesce(1).write.parquet(f"{target.root}/landing/{name}")
+            stream = landing_stream(target, f"{target.root}/landing/*", feed.schema.simpleString()[7:-1].replace(":", " "))
+            stream = stream.withColumn("recordtime", F.col("recordtime").try_cast("timestamp_ntz"))
+            query_ = stream_load(target, TRAFFIC, stream, f"{target.root}/checkpoint")
+            query_.awaitTermination()
+            figures.wait(query_)
+    return target.stream_figures("fact_traffic").select("batch", "arrived", "rows", "rejected")
