@@ -74,7 +74,7 @@ def trigram_query(regex: str) -> list[frozenset[str]]:
         nonlocal strings, best
         clauses = [frozenset(s[i:i + 3] for i in range(len(s) - 2)) for s in strings]
         if all(clauses):
-            clauses = list(dict.fromkeys(c for c in clauses if not any(o < c for o in clauses)))
+            clauses = sorted({c for c in clauses if not any(o < c for o in clauses)}, key=sorted)
             best = [a | b for a, b in product(best, clauses)] if best else clauses
         strings = {""}
 

@@ -264,7 +264,7 @@ def test_lcs():
         assert decontaminate.lcs_length(a, b) == plain(a.tolist(), b.tolist())
 
 
-def test_contamination_equals_a_full_search(spark, sf_dir, docs):
+def test_no_verbatim_passage_is_missed(spark, sf_dir, docs):
     items = {r.item_id: decontaminate.words_of(r.text) for r in table(spark, sf_dir, "benchmark").collect()}
     wanted = set()
     for doc, text in docs.items():
@@ -283,6 +283,52 @@ def test_contamination_equals_a_full_search(spark, sf_dir, docs):
     assert wanted and wanted <= found
 
 
+def full_search(texts, items):
+    """Every window that begins at a word of the item, by the rule of a match: {(doc, item): kind}."""
+    out = {}
+    for doc, words in texts.items():
+        for item, asked in items.items():
+            number = {w: k for k, w in enumerate(dict.fromkeys(asked))}
+            size, least = len(asked), decontaminate.least_shared(len(asked))
+            span = size if size < decontaminate.SHORT else 2 * int(np.ceil(decontaminate.STRETCH * size))
+            coded = np.array([number[w] for w in asked])
+            answer = coded[-max(decontaminate.ANSWER_WORDS, size // 4):]
+            at = [k for k, w in enumerate(words) if w in number]
+            for n, start in enumerate(at):
+                inside = [number[words[k]] for k in at[n:n + span] if k < start + span]
+                if sum((Counter(inside) & Counter(coded.tolist())).values()) < least:
+                    continue
+                share = decontaminate.lcs_length(coded, np.array(inside)) / size
+                answered = decontaminate.lcs_length(answer, np.array(inside)) >= decontaminate.ANSWER * len(answer)
+                if share >= decontaminate.VERBATIM:
+                    out[doc, item] = "verbatim"
+                    break
+                if share >= decontaminate.PARAPHRASE and answered and size >= decontaminate.SHORT:
+                    out[doc, item] = "paraphrase"
+    return out
+
+
+def test_pairs_are_those_of_a_full_search(spark, sf_dir, docs):
+    """Both ways: no pair is found that is none, no verbatim one is missed, nor more than a tenth of the paraphrases."""
+    rng = np.random.default_rng(8)
+    items = {r.item_id: decontaminate.words_of(r.text) for r in table(spark, sf_dir, "benchmark").collect()}
+    texts = {d: decontaminate.words_of(t or "") for d, t in sorted(docs.items())[::3]}
+    other = [w for words in texts.values() for w in words]
+    for doc, item in zip(sorted(texts)[:60], rng.permutation(sorted(items)).tolist() * 3, strict=False):
+        passage = list(items[item])  # rewritten with words of other documents, the last ones kept
+        for place in rng.choice(int(len(passage) * 0.7), int(len(passage) * rng.uniform(0.22, 0.4)), replace=False):
+            passage[place] = other[rng.integers(len(other))]
+        place = int(rng.integers(0, len(texts[doc]) + 1))
+        texts[doc] = texts[doc][:place] + passage + texts[doc][place:]
+    wanted = full_search(texts, items)
+    frame = spark.createDataFrame([(d, b" ".join(w).decode()) for d, w in texts.items()], "doc_id bigint, text string")
+    found = {(r.doc_id, r.item_id): r.kind for r in decontaminate.contaminated(frame, table(spark, sf_dir, "benchmark")).collect()}
+    assert found.items() <= wanted.items()
+    rewritten = {pair for pair, kind in wanted.items() if kind == "paraphrase"}
+    assert len(rewritten) > 30 and len(rewritten & set(found)) >= 0.9 * len(rewritten)
+    assert set(wanted) - rewritten <= set(found)
+
+
 def test_edited_passages_are_found(spark):
     rng = np.random.default_rng(3)
     words = ["".join(rng.choice(list("abcdefghij"), rng.integers(2, 8))) for _ in range(3000)]
