@@ -8,7 +8,7 @@ from collections.abc import Callable, Iterator
 from pathlib import Path
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Rows that a Python worker handles at a time, whatever the size of Arrow's batches.
@@ -65,6 +65,28 @@ def crc_part(key: str, parts: int) -> Column:
     return F.coalesce(F.crc32(F.col(key).cast("string").cast("binary")) % parts, F.lit(0))
 
 
+def row_keys(*columns: str) -> list[Column]:
+    """Two hashes ``_h1``, ``_h2`` that tell rows apart by these columns."""
+    return [F.xxhash64(*columns).alias("_h1"), F.xxhash64(F.lit(1), *columns).alias("_h2")]
+
+
+def drawn(keys: DataFrame, label: str, most: int) -> DataFrame:
+    """At most ``most`` distinct rows of each label out of ``(label, _h1, _h2)``, by their hashes.
+
+    Repeated rows count once, so no number of copies outgrows the limit. The result is
+    written; it has ``most`` rows a label, whatever ``keys`` has.
+    """
+    keys = keys.select(label, "_h1", "_h2").distinct()
+    counts = {r[label]: r["n"] for r in keys.groupBy(label).agg(F.count(F.lit(1)).alias("n")).collect()}
+    if not counts:
+        return keys
+    # a few more than asked for, then cut exactly
+    share = F.create_map(*(F.lit(x) for name, n in counts.items() for x in (name, min(1.0, (1.2 * most + 50) / n))))
+    near = keys.where(F.pmod("_h2", F.lit(1 << 20)) / (1 << 20) < share[F.col(label)])
+    rank = F.row_number().over(Window.partitionBy(label).orderBy("_h2", "_h1"))
+    return checkpointed(near.withColumn("_rank", rank).where(F.col("_rank") <= most).drop("_rank"))
+
+
 def map_texts(
     df: DataFrame,
     text: str,

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from doorflux.llm import dom
-from doorflux.llm.common import map_texts
+from doorflux.llm.common import checkpointed, drawn, map_texts, row_keys
 
 STATES = ("content", "other", "holder")
 CONTENT, OTHER, HOLDER = range(3)
@@ -253,10 +253,11 @@ def main_texts(sources: list[str], model: Model) -> list[str]:
 def train(pages: DataFrame, fit_pages: int = FIT_PAGES) -> Model:
     """Fits the model on made pages and on a bounded sample of the given ones."""
     known = [dom.read(x) for x in made_pages()]
-    total = pages.count()
-    draw = F.pmod(F.xxhash64("page_id", "url"), F.lit(1 << 20)) / (1 << 20)
-    # about fit_pages rows, however many there are
-    for row in pages.where(draw < min(1.0, fit_pages / max(1, total))).where("html is not null").select("html").toLocalIterator():
+    rows = pages.where("html is not null").select("html", *row_keys("page_id", "url", "html"), F.lit(1).alias("_one"))
+    chosen = drawn(rows, "_one", fit_pages)
+    # at most fit_pages rows, however many there are, one at a time
+    sampled = rows.join(F.broadcast(chosen), ["_one", "_h1", "_h2"]).dropDuplicates(["_h1", "_h2"])
+    for row in checkpointed(sampled.select("html")).toLocalIterator():
         known.append(dom.read(row["html"]))
     return fit([(page, states) for page in known if (states := labelled_states(page))])
 

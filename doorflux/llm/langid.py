@@ -6,13 +6,14 @@ the mean log ratio of the n-gram's shares in the two sets of languages. Decoding
 loss of each bit, weighted by how well that bit's classifier did for each language, and
 takes the nearest codeword; a text is ambiguous if two codewords are about as near.
 
-The fit takes a bounded sample of the labelled rows, at most about ``FIT_ROWS`` of each
-language, chosen by a hash. Prediction covers every text whole.
+The fit takes a bounded sample of the labelled rows, at most ``FIT_ROWS`` distinct ones of each
+language, chosen by hashes of id and text. Prediction covers every text whole.
 
 * ``und`` with score 0 where the text is null or has no letter, or nothing was learned
 * one language only: every text with letters is predicted as it, with score 1
 * ties go to the language that comes first in the alphabet
 * repeated rows are predicted each; an empty table gives an empty result
+* other columns are ignored, also such as bear the names of new ones
 """
 
 from __future__ import annotations
@@ -27,10 +28,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from doorflux.llm import ngrams
-from doorflux.llm.common import checkpointed, map_texts, slices
+from doorflux.llm.common import checkpointed, drawn, map_texts, row_keys, slices
 
 SIZES, BITS = (1, 2, 3), 16
-#: Labelled rows of each language that a fit takes, about.
+#: Labelled rows of each language that a fit takes at most.
 FIT_ROWS = 4000
 #: Score differences below this are ambiguous.
 CLOSE = 0.1
@@ -65,13 +66,12 @@ def codewords(n: int) -> np.ndarray:
 
 
 def sample(docs: DataFrame, train: Column, fit_rows: int = FIT_ROWS) -> DataFrame:
-    rows = docs.where(train & F.col("lang").isNotNull())
-    counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
-    if not counts:
-        return rows.select("text", "lang").where("false")
-    share = F.create_map(*(F.lit(x) for lang, n in counts.items() for x in (lang, min(1.0, fit_rows / n))))
-    draw = F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(1 << 20)) / (1 << 20)
-    return rows.where(draw < share[F.col("lang")]).select("text", "lang")
+    """``text`` and ``lang`` of at most ``fit_rows`` distinct rows of each language."""
+    rows = docs.where(train & F.col("lang").isNotNull()).select("lang", "text", *row_keys("doc_id", "text"))
+    chosen = drawn(rows, "lang", fit_rows)
+    keys = ["lang", "_h1", "_h2"]
+    # as many rows as the limit allows, on every executor
+    return rows.join(F.broadcast(chosen), keys).dropDuplicates(keys).select("text", "lang")
 
 
 def fit(rows: DataFrame) -> Model:

@@ -18,7 +18,7 @@ import calendar
 import datetime as dt
 import hashlib
 import re
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -199,6 +199,23 @@ _FORMS = {kind: (re.compile(regex, re.ASCII), make) for kind, (regex, make) in F
 _HINT = re.compile("[0-9@]")
 
 
+_LOCAL = frozenset(b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-".decode())
+
+
+def _addresses(regex: re.Pattern, text: str) -> Iterator[re.Match]:
+    """The matches of an address, looked for from each ``@``: a long run of letters is read once."""
+    at, end = text.find("@"), 0
+    while at >= 0:
+        start = at
+        while start > end and text[start - 1] in _LOCAL:
+            start -= 1
+        m = regex.match(text, start) if start < at else None
+        if m:
+            end = m.end()
+            yield m
+        at = text.find("@", at + 1)
+
+
 def pseudonymised(text: str, key: bytes, back: bool = False) -> tuple[str, list[tuple[str, int, int]]]:
     """The text with its values replaced, and kind, start and end of each in the original."""
     if not _HINT.search(text):
@@ -207,7 +224,7 @@ def pseudonymised(text: str, key: bytes, back: bool = False) -> tuple[str, list[
     for order, (kind, (regex, make)) in enumerate(_FORMS.items()):
         if kind == "email" and "@" not in text:
             continue
-        for m in regex.finditer(text):
+        for m in (_addresses(regex, text) if kind == "email" else regex.finditer(text)):
             new = make(m, key, back)
             if new is not None:
                 found.append((m.start(), -m.end(), order, kind, new))

@@ -53,9 +53,10 @@ RULES = (
 # A report names the key's first line, as the comparison SQL does; what is hidden runs on to the
 # END line, or, where that is missing or another key begins before it, to the end of the key's lines.
 _SEPARATOR = r"""(?:[\s"'+,>#*|]|\\[nr])"""
-_HEADERS = rf"(?:{_SEPARATOR}{{1,40}}[A-Za-z]{{1,20}}(?:-[A-Za-z]{{1,20}})?:\x20[^\n\\]{{0,200}}){{0,8}}"
-_KEY_LINES = rf"{_HEADERS}(?:{_SEPARATOR}{{0,40}}[A-Za-z0-9+/=_]{{16,}}){{1,400}}(?:{_SEPARATOR}{{1,40}}[A-Za-z0-9+/]{{1,75}}={{0,2}}(?=\s*(?:\n|$|-----)|\\|[\"']))?"
-_TO_END = r"[^-]*+(?:-{1,4}+(?!-)[^-]*+){0,400}-{5,}END [A-Z ]*PRIVATE KEY-----"
+# Possessive repeats are matched in a loop, whatever the number of lines.
+_HEADERS = rf"(?:{_SEPARATOR}{{1,40}}[A-Za-z]{{1,20}}(?:-[A-Za-z]{{1,20}})?:\x20[^\n\\]*+)*+"
+_KEY_LINES = rf"{_HEADERS}(?:{_SEPARATOR}{{0,40}}[A-Za-z0-9+/=_]{{16,}})++(?:{_SEPARATOR}{{1,40}}[A-Za-z0-9+/]{{1,75}}={{0,2}}(?=\s*(?:\n|$|-----)|\\|[\"']))?"
+_TO_END = r"[^-]*+(?:-{1,4}+(?!-)[^-]*+)*+-{5,}END [A-Z ]*PRIVATE KEY-----"
 HIDDEN = tuple(
     replace(rule, regex=rf"{rule.regex}(?:{_TO_END}|{_KEY_LINES})?") if rule.kind == "private_key" else rule for rule in RULES
 )
@@ -174,18 +175,51 @@ def spans(text: Column, rule: Rule, order: int) -> Column:
     gaps = F.regexp_extract_all(text, F.lit(regex), F.lit(1))
     hits = F.regexp_extract_all(text, F.lit(regex), F.lit(2))
     values = F.regexp_extract_all(text, F.lit(regex), F.lit(2 + rule.value))
-    rows = F.arrays_zip(gaps.alias("g"), hits.alias("h"), values.alias("v"))
-    empty = F.array().cast("array<struct<start:bigint,ord:int,kind:string,stop:bigint>>")
-    state = F.struct(F.lit(0).cast("bigint").alias("at"), empty.alias("found"))
+    rows = F.zip_with(
+        F.zip_with(gaps, hits, lambda g, h: F.struct(F.length(g).alias("g"), F.length(h).alias("h"))), values,
+        lambda x, v: F.struct(x["g"].alias("g"), x["h"].alias("h"), F.length(v).alias("v")),
+    )
 
     def step(acc: Column, row: Column) -> Column:
-        start = acc["at"] + F.length(row["g"])
-        stop = start + F.length(row["h"])
+        start = acc["at"] + row["g"]
+        stop = start + row["h"]
         here = F.array(F.struct(start.alias("start"), F.lit(order).alias("ord"), F.lit(rule.kind).alias("kind"), stop.alias("stop")))
-        kept = F.when(F.length(row["v"]) >= rule.least, F.concat(acc["found"], here)).otherwise(acc["found"])
+        kept = F.when(row["v"] >= rule.least, F.concat(acc["found"], here)).otherwise(acc["found"])
         return F.struct(stop.alias("at"), kept.alias("found"))
 
-    return F.aggregate(rows, state, step)["found"]
+    def of_piece(piece: Column) -> Column:
+        return F.aggregate(piece["items"], F.struct(piece["at"].alias("at"), F.array().cast(_SPANS).alias("found")), step)["found"]
+
+    return F.flatten(F.transform(_pieces(rows, lambda x: (x["g"] + x["h"]).cast("bigint"), lambda a, b: a + b), of_piece))
+
+
+_SPANS = "array<struct<start:bigint,ord:int,kind:string,stop:bigint>>"
+#: Hits of a text that are handled together: an array or text that grows is copied at each step.
+PIECE = 512
+
+
+def _pieces(items: Column, measure, join) -> Column:
+    """``items`` in pieces of ``PIECE``, as structs of ``items``, ``at`` and ``to``.
+
+    ``to`` joins the measures of all items up to the piece's end, starting at 0; ``at`` those before
+    it. A text with very many hits takes time by their number, not its square.
+    """
+    # named within a lambda, the items are made once, not for each piece
+    return F.transform(F.array(items), lambda held: _pieces_of(held, measure, join))[0]
+
+
+def _pieces_of(items: Column, measure, join) -> Column:
+    zero = F.lit(0).cast("bigint")
+    cut = F.when(F.size(items) > 0, F.transform(
+        F.sequence(F.lit(0), F.floor((F.size(items) - 1) / PIECE).cast("int")), lambda k: F.slice(items, k * PIECE + 1, F.lit(PIECE))
+    )).otherwise(F.array())
+    none = F.slice(F.transform(F.array(F.lit(0)), lambda _: F.struct(items.alias("items"), zero.alias("at"), zero.alias("to"))), 1, F.lit(0))
+
+    def add(acc: Column, piece: Column) -> Column:
+        to = join(acc["to"], F.aggregate(piece, zero, lambda total, x: join(total, measure(x))))
+        return F.struct(to.alias("to"), F.concat(acc["done"], F.array(F.struct(piece.alias("items"), acc["to"].alias("at"), to.alias("to")))).alias("done"))
+
+    return F.aggregate(cut, F.struct(zero.alias("to"), none.alias("done")), add)["done"]
 
 
 def long_runs(text: Column, rule: Rule, order: int) -> Column:
@@ -235,18 +269,25 @@ def redact(docs: DataFrame, rules: tuple[Rule, ...] = HIDDEN, mark: str = "[SECR
     """The rows of ``docs`` with every span replaced by ``mark``; overlapping spans count as one."""
     names, found = docs.columns, free_name(docs, "__found")
     scanned = scan(docs, rules, tuple(n for n in names if n != "text"), found)
-    state = F.struct(F.lit(0).cast("bigint").alias("at"), F.lit("").alias("out"))
-
-    def step(acc: Column, x: Column) -> Column:
-        gap = F.substring(F.col("text"), (acc["at"] + 1).cast("int"), F.greatest(x["start"] - acc["at"], F.lit(0)).cast("int"))
-        new = x["start"] >= acc["at"]
-        return F.struct(
-            F.greatest(acc["at"], x["stop"]).alias("at"),
-            F.concat(acc["out"], F.when(new, F.concat(gap, F.lit(mark))).otherwise(F.lit(""))).alias("out"),
-        )
+    text, pieces = F.col("text"), free_name(docs, "__pieces")
 
-    merged = free_name(docs, "__merged")
-    out = scanned.withColumn(merged, F.aggregate(found, state, step))
-    rest = F.substring(F.col("text"), (F.col(f"{merged}.at") + 1).cast("int"), F.length("text"))
-    text = F.when(F.size(found) > 0, F.concat(f"{merged}.out", rest)).otherwise(F.col("text"))
+    def cut(piece: Column) -> Column:
+        """The text of a piece, from the end of the one before, with its spans replaced."""
+        own = F.struct(
+            piece["items"].alias("items"), piece["at"].alias("at"),
+            F.substring(text, (piece["at"] + 1).cast("int"), (piece["to"] - piece["at"]).cast("int")).alias("text"),
+        )
+        return F.transform(F.array(own), lambda p: F.aggregate(
+            p["items"], F.struct(p["at"].alias("at"), F.lit("").alias("out")), lambda acc, x: step(p, acc, x)
+        )["out"])[0]
+
+    def step(piece: Column, acc: Column, x: Column) -> Column:
+        place, size = acc["at"] - piece["at"] + 1, F.greatest(x["start"] - acc["at"], F.lit(0))
+        gap = F.substring(piece["text"], place.cast("int"), size.cast("int"))
+        added = F.when(x["start"] >= acc["at"], F.concat(gap, F.lit(mark))).otherwise(F.lit(""))
+        return F.struct(F.greatest(acc["at"], x["stop"]).alias("at"), F.concat(acc["out"], added).alias("out"))
+
+    out = scanned.withColumn(pieces, _pieces(F.col(found), lambda x: x["stop"], F.greatest))
+    rest = F.substring(text, (F.array_max(F.transform(pieces, lambda p: p["to"])) + 1).cast("int"), F.length("text"))
+    text = F.when(F.size(found) > 0, F.concat(F.array_join(F.transform(pieces, cut), ""), rest)).otherwise(text)
     return out.select(*(text.alias("text") if n == "text" else F.col(n) for n in names))

@@ -3,9 +3,13 @@
 A feature is the presence of a character n-gram (4, 6 or 8 long, letters and spaces, in lower
 case, hashed). Its value is the log ratio of its shares among toxic and other labelled
 texts; a logistic regression on these values gives the weights. The fit takes a
-bounded sample of the labelled rows, at most ``FIT_ROWS`` of each label, the same rows
+bounded sample of the labelled rows, at most ``FIT_ROWS`` distinct ones of each label, the same
 whenever the rows are the same. Scoring covers every text.
 
+The regression is fitted on the driver and takes the n-grams whose ratio is above
+``e ** LEAST_RATIO``: the method scales by the ratio, so the others weigh little, but a fit with all of
+them takes many times the memory. What the cut costs on held-out rows is in the README.
+
 * null and empty texts score as a text without any feature
 * repeated rows are scored each; labels that are null are not learned from
 * without labels of both kinds nothing is learned, and every score is 0
@@ -23,10 +27,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from doorflux.llm import ngrams
-from doorflux.llm.common import checkpointed, map_texts, slices
+from doorflux.llm.common import checkpointed, drawn, map_texts, row_keys, slices
 
 SIZES, BITS = (4, 6, 8), 20
-#: Labelled rows of each label that a fit takes, about.
+#: Labelled rows of each label that a fit takes at most.
 FIT_ROWS = 10_000
 #: Tasks that count features of the sample.
 FIT_TASKS = 8
@@ -59,20 +63,15 @@ def features(texts: list[str], wanted: np.ndarray | None = None) -> tuple[np.nda
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, train: Column, fit_rows: int = FIT_ROWS) -> DataFrame:
-    """``text`` and ``y`` of at most about ``fit_rows`` rows of each label, chosen by a hash.
+    """``text`` and ``y`` of at most ``fit_rows`` distinct rows of each label.
 
-    Ids alone are joined with the labels; the chosen ones, as many as ``fit_rows`` allows
-    however large the tables are, are broadcast to the texts.
+    Ids and hashes alone are joined with the labels; the chosen ones, as many as ``fit_rows``
+    allows however large the tables are, are broadcast to the texts.
     """
     known = labels.where("toxic is not null").groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("y"))
-    ids = docs.where(train).select("doc_id").join(known, "doc_id")
-    counts = {r["y"]: r["n"] for r in ids.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
-    if not counts:
-        return docs.select("text", F.lit(0).alias("y")).where("false")
-    share = F.create_map(*(F.lit(x) for y, n in counts.items() for x in (y, min(1.0, fit_rows / n))))
-    draw = F.pmod(F.xxhash64("doc_id", F.lit(8)), F.lit(1 << 20)) / (1 << 20)
-    chosen = ids.where(draw < share[F.col("y")]).distinct()
-    return docs.where(train).select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
+    rows = docs.where(train).select("doc_id", "text", *row_keys("doc_id", "text"))
+    chosen = drawn(rows.drop("text").join(known, "doc_id"), "y", fit_rows)
+    return rows.join(F.broadcast(chosen), ["_h1", "_h2"]).dropDuplicates(["_h1", "_h2"]).select("text", "y")
 
 
 def fit(sample: DataFrame) -> Model:
