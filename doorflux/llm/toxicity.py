@@ -2,13 +2,16 @@
 
 A feature is the presence of a character n-gram (4, 6 or 8 long, letters and spaces, in lower
 case, hashed). Its value is the log ratio of its shares among toxic and other labelled
-texts; a logistic regression on these values gives the weights. The fit takes a
-bounded sample of the labelled rows, at most ``FIT_ROWS`` distinct ones of each label, the same
-whenever the rows are the same. Scoring covers every text.
+texts; a logistic regression on these values gives the weights. No n-gram of at least
+``LEAST_TEXTS`` texts is left out. The fit takes a bounded sample of the labelled rows, at
+most ``FIT_ROWS`` distinct ones of each label, the same whenever the rows are the same.
+Scoring covers every text.
 
-The regression is fitted on the driver and takes the n-grams whose ratio is above
-``e ** LEAST_RATIO``: the method scales by the ratio, so the others weigh little, but a fit with all of
-them takes many times the memory. What the cut costs on held-out rows is in the README.
+The sample's features stay on the executors: each round of the regression is one pass
+over them that returns a gradient, at most ``2 ** BITS`` numbers a task. A quarter of the
+sample, by a hash of the text, has no part in counts and weights; slope and intercept of the score are
+fitted on it, since texts that the weights were fitted on score too far from 0.5. With
+fewer than ``LEAST_APART`` of these texts of a label the weights take the whole sample.
 
 * null and empty texts score as a text without any feature
 * repeated rows are scored each; labels that are null are not learned from
@@ -30,14 +33,19 @@ from doorflux.llm import ngrams
 from doorflux.llm.common import checkpointed, drawn, map_texts, row_keys, slices
 
 SIZES, BITS = (4, 6, 8), 20
+#: One in so many texts of the sample fits the scale of the score, if each label has enough of them.
+APART, LEAST_APART = 4, 10
+#: Rounds of the regression at most, and the weight of the squared weights.
+ROUNDS, PENALTY = 60, 1e-4
 #: Labelled rows of each label that a fit takes at most.
 FIT_ROWS = 10_000
 #: Tasks that count features of the sample.
 FIT_TASKS = 8
-#: A feature is kept if it occurs in so many texts and its log ratio is so far from 0.
-LEAST_TEXTS, LEAST_RATIO = 5, 2.5
+#: A feature is kept if it occurs in so many texts.
+LEAST_TEXTS = 5
 THRESHOLD = 0.7
-SLICE = 500_000
+#: Characters of text, or bytes of features, that a task handles at a time.
+SLICE, HELD_SLICE = 500_000, 8_000_000
 
 
 @dataclass(frozen=True)
@@ -58,7 +66,9 @@ def features(texts: list[str], wanted: np.ndarray | None = None) -> tuple[np.nda
             hit = wanted[h]
             h, row = h[hit], row[hit]
         pairs.append(row.astype("i8") << BITS | h)
-    both = np.unique(np.concatenate(pairs))
+    both = np.concatenate(pairs)
+    both.sort()
+    both = both[np.append(True, both[1:] != both[:-1])] if len(both) else both
     return both >> BITS, both & (1 << BITS) - 1
 
 
@@ -75,73 +85,148 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, train: Column, fit_rows:
 
 
 def fit(sample: DataFrame) -> Model:
-    """Counts features by label on the executors, then fits the weights of the kept ones."""
-    sample = checkpointed(sample.select("text", "y").repartition(FIT_TASKS))  # in turn: equal texts may be many
+    """Counts features by label, then fits weights and scale, all on the executors."""
+    apart = F.pmod(F.xxhash64("text"), F.lit(APART)) == 0
+    sample = checkpointed(sample.select("text", "y", apart.alias("apart")).repartition(FIT_TASKS))  # in turn: equal texts may be many
+    of = {(r["apart"], r["y"] > 0): r["count"] for r in sample.groupBy("apart", "y").count().collect()}
+    scaled = all(of.get((True, y), 0) >= LEAST_APART and of.get((False, y), 0) for y in (False, True))
+    if not scaled:
+        sample = sample.withColumn("apart", F.lit(False))
+    texts_of = [of.get((False, y), 0) + (0 if scaled else of.get((True, y), 0)) for y in (False, True)]
+    if not all(texts_of):
+        return Model(np.zeros(1 << BITS, "f4"), -1e9)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros((2, 1 << BITS), "i8")
-        texts_of = np.zeros(2, "i8")
         for batch in batches:
             for start, stop in slices(batch.column(0), SLICE):
                 y = np.array(batch.column(1).slice(start, stop - start).to_pylist()) > 0
                 row, h = features([x or "" for x in batch.column(0).slice(start, stop - start).to_pylist()])
-                texts_of += [np.sum(~y), np.sum(y)]
                 for label in (0, 1):
                     total[label] += np.bincount(h[y[row] == bool(label)], minlength=1 << BITS)
         h = np.flatnonzero(total.sum(axis=0))
-        yield pa.RecordBatch.from_arrays([pa.array(np.append(h, -1).astype("i4")), *(pa.array(np.append(total[k][h], texts_of[k])) for k in (0, 1))], names=["h", "n0", "n1"])
+        yield pa.RecordBatch.from_arrays([pa.array(h.astype("i4")), *(pa.array(total[k][h]) for k in (0, 1))], names=["h", "n0", "n1"])
 
-    counts = checkpointed(sample.mapInArrow(count, "h int, n0 bigint, n1 bigint").groupBy("h").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1")))
-    of = counts.where("h = -1").select("n0", "n1").first()
-    texts_of = np.array(of or (0, 0), float)
-    if not texts_of.all():
-        return Model(np.zeros(1 << BITS, "f4"), -1e9)
-    ratio = F.log((F.col("n1") + 1) / float(texts_of[1] + 2)) - F.log((F.col("n0") + 1) / float(texts_of[0] + 2))
+    counts = sample.where("not apart").select("text", "y").mapInArrow(count, "h int, n0 bigint, n1 bigint").groupBy("h").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
     # at most 2 ** 20 rows, whatever the sample
-    kept = counts.where("h >= 0").where(F.col("n0") + F.col("n1") >= LEAST_TEXTS).select("h", ratio.alias("r")).where(F.abs("r") >= LEAST_RATIO)
-    table = kept.toArrow()
-    wanted = np.zeros(1 << BITS, bool)
-    ratios = np.zeros(1 << BITS)
-    wanted[table["h"].to_numpy()] = True
-    ratios[table["h"].to_numpy()] = table["r"].to_numpy()
+    table = counts.where(F.col("n0") + F.col("n1") >= LEAST_TEXTS).orderBy("h").toArrow()
+    n0, n1 = (table[name].to_numpy() for name in ("n0", "n1"))
+    ratio = np.log((n1 + 1) / (texts_of[1] + 2)) - np.log((n0 + 1) / (texts_of[0] + 2))
+    scale = ratio / max(1e-9, np.abs(ratio).max(initial=0))
+    cells = table["h"].to_numpy()
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        place = np.full(1 << BITS, -1, "i4")
+        place[cells] = np.arange(len(cells), dtype="i4")
         for batch in batches:
             for start, stop in slices(batch.column(0), SLICE):
-                row, h = features([x or "" for x in batch.column(0).slice(start, stop - start).to_pylist()], wanted)
+                row, h = features([x or "" for x in batch.column(0).slice(start, stop - start).to_pylist()], place >= 0)
                 bounds = np.searchsorted(row, np.arange(stop - start + 1))
-                held = [h[a:b].astype("<i4").tobytes() for a, b in zip(bounds, bounds[1:], strict=False)]
-                yield pa.RecordBatch.from_arrays([batch.column(1).slice(start, stop - start), pa.array(held, pa.binary())], names=["y", "held"])
-
-    # 2 * FIT_ROWS rows at most, each with the kept features of one text
-    sampled = sample.mapInArrow(rows, "y int, held binary").toArrow()
-    y = sampled["y"].to_numpy().astype(float)
-    held = [np.frombuffer(x, "<i4") for x in sampled["held"].to_pylist()]
-    return logistic(held, y, ratios)
-
-
-def logistic(held: list[np.ndarray], y: np.ndarray, ratios: np.ndarray, rounds: int = 300, penalty: float = 2e-4) -> Model:
-    """Accelerated gradient descent on the scaled features; the labels weigh alike."""
-    row = np.repeat(np.arange(len(held)), [len(x) for x in held])
-    names, column = np.unique(np.concatenate(held) if held else np.zeros(0, int), return_inverse=True)
-    scale = ratios[names] / max(1e-9, np.abs(ratios).max())
-    value = scale[column]
-    weight = np.where(y > 0, 0.5 / max(1, (y > 0).sum()), 0.5 / max(1, (y == 0).sum()))
-    squares = np.bincount(row, value**2, len(y))
-    step = 4 / (1 + np.average(squares, weights=weight) * 4 + 1)
-    w, b = np.zeros(len(names)), 0.0
-    lead_w, lead_b, last_w, last_b = w, b, w, b
-    for k in range(rounds):
-        z = np.bincount(row, value * lead_w[column], len(y)) + lead_b
-        g = (1 / (1 + np.exp(-np.clip(z, -50, 50))) - (y > 0)) * weight
-        w = lead_w - step * (np.bincount(column, value * g[row], len(names)) + penalty * lead_w)
-        b = lead_b - step * g.sum()
-        pull = k / (k + 3)
-        lead_w, lead_b = w + pull * (w - last_w), b + pull * (b - last_b)
-        last_w, last_b = w, b
-    weights = np.zeros(len(ratios), "f4")
-    weights[names] = w * scale
-    return Model(weights, float(b))
+                held = [place[h[a:b]].astype("<i4").tobytes() for a, b in zip(bounds, bounds[1:], strict=False)]
+                yield pa.RecordBatch.from_arrays([batch.column(1).slice(start, stop - start), batch.column(2).slice(start, stop - start), pa.array(held, pa.binary())], names=["y", "apart", "held"])
+
+    held = checkpointed(sample.mapInArrow(rows, "y int, apart boolean, held binary"))
+    inside = held.where("not apart").select("y", "held")
+    weighs = 0.5 / np.array(texts_of)
+
+    def objective(x: np.ndarray) -> tuple[float, np.ndarray]:
+        value, gradient = pass_over(inside, x[:-1] * scale, x[-1], weighs)
+        gradient[:-1] = gradient[:-1] * scale + PENALTY * x[:-1]
+        return value + PENALTY / 2 * (x[:-1] @ x[:-1]), gradient
+
+    x = minimised(objective, np.zeros(len(cells) + 1), ROUNDS)
+    weights, intercept = x[:-1] * scale, x[-1]
+    if scaled:
+        slope, shift = platt(*sums(held.where("apart").select("y", "held"), weights, intercept))
+        weights, intercept = weights * slope, intercept * slope + shift
+    full = np.zeros(1 << BITS, "f4")
+    full[cells] = weights
+    return Model(full, float(intercept))
+
+
+def held_slices(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Labels, places of features and the row of each, of slices of (y, held) rows."""
+    for start, stop in slices(batch.column(1), HELD_SLICE):
+        parts = batch.column(1).slice(start, stop - start).to_pylist()
+        places = np.frombuffer(b"".join(parts), "<i4")
+        row = np.repeat(np.arange(len(parts)), [len(x) // 4 for x in parts])
+        yield np.array(batch.column(0).slice(start, stop - start).to_pylist()) > 0, places, row
+
+
+def pass_over(held: DataFrame, weights: np.ndarray, intercept: float, weighs: np.ndarray) -> tuple[float, np.ndarray]:
+    """Logistic loss of the rows and its gradient by weights and intercept; the labels weigh alike."""
+    weights = weights.astype("f4")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        loss, total = 0.0, np.zeros(len(weights) + 1)
+        for batch in batches:
+            for y, places, row in held_slices(batch):
+                z = np.bincount(row, weights[places], len(y)) + intercept
+                weigh = weighs[y.astype(int)]
+                loss += weigh @ np.logaddexp(0, np.where(y, -z, z))
+                g = weigh * (1 / (1 + np.exp(-np.clip(z, -50, 50))) - y)
+                total[:-1] += np.bincount(places, g[row], len(weights))
+                total[-1] += g.sum()
+        yield pa.RecordBatch.from_arrays([pa.array([loss]), pa.array([total.astype("<f4").tobytes()], pa.binary())], names=["loss", "g"])
+
+    parts = held.mapInArrow(run, "loss double, g binary").collect()
+    return sum(r["loss"] for r in parts), np.sum([np.frombuffer(r["g"], "<f4") for r in parts], axis=0, dtype="f8")
+
+
+def sums(held: DataFrame, weights: np.ndarray, intercept: float) -> tuple[np.ndarray, np.ndarray]:
+    """Labels and weighted sums of the rows, two numbers a row of the bounded sample."""
+    weights = weights.astype("f4")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for y, places, row in held_slices(batch):
+                z = np.bincount(row, weights[places], len(y)) + intercept
+                yield pa.RecordBatch.from_arrays([pa.array(y.astype("i4")), pa.array(z)], names=["y", "z"])
+
+    table = held.mapInArrow(run, "y int, z double").toArrow()
+    return table["y"].to_numpy() > 0, table["z"].to_numpy()
+
+
+def platt(y: np.ndarray, z: np.ndarray) -> tuple[float, float]:
+    """Slope (not below 0) and shift that make a score of ``z``; the labels weigh alike."""
+    n = np.array([np.sum(~y), np.sum(y)])
+    weigh = (0.5 / n)[y.astype(int)]
+    target = np.where(y, (n[1] + 1) / (n[1] + 2), 1 / (n[0] + 2))
+
+    def objective(x: np.ndarray) -> tuple[float, np.ndarray]:
+        s = x[0] * z + x[1]
+        g = weigh * (1 / (1 + np.exp(-np.clip(s, -50, 50))) - target)
+        return weigh @ (np.logaddexp(0, s) - target * s), np.array([g @ z, g.sum()])
+
+    slope, shift = minimised(objective, np.array([1.0, 0.0]), 200, 1e-9)
+    return max(0.0, slope), shift
+
+
+def minimised(objective, x: np.ndarray, rounds: int, least_gain: float = 1e-4, memory: int = 6) -> np.ndarray:
+    """The least point of a smooth convex function by limited-memory BFGS; ends when a round gains little."""
+    steps: list[tuple[np.ndarray, np.ndarray]] = []
+    value, gradient = objective(x)
+    for _ in range(rounds):
+        way, factors = -gradient, []
+        for s, d in reversed(steps):
+            factors.append(s @ way / (s @ d))
+            way = way - factors[-1] * d
+        way = way * (steps[-1][0] @ steps[-1][1] / (steps[-1][1] @ steps[-1][1]) if steps else 1 / max(1.0, np.linalg.norm(gradient)))
+        for (s, d), factor in zip(steps, reversed(factors), strict=True):
+            way = way + s * (factor - d @ way / (s @ d))
+        length = 1.0
+        new, slope = objective(x + way), gradient @ way
+        while new[0] > value + 1e-4 * length * slope and length > 1e-6:
+            length /= 2
+            new = objective(x + length * way)
+        if new[0] >= value:
+            break
+        s, d = length * way, new[1] - gradient
+        steps = [*steps, (s, d)][-memory:] if s @ d > 1e-12 else steps
+        x, gain, (value, gradient) = x + s, value - new[0], new
+        if gain < least_gain * value:
+            break
+    return x
 
 
 def scored(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
@@ -154,8 +239,15 @@ def scored(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",)) -
     def score(texts: list[str]) -> dict[str, list]:
         weights = np.zeros(1 << BITS, "f4")
         weights[cells] = values
-        row, h = features(texts, weights != 0)
-        z = np.bincount(row, weights[h], len(texts)) + intercept
+        known, z, start = weights != 0, np.full(len(texts), intercept), 0
+        while start < len(texts):
+            stop, size = start + 1, len(texts[start])
+            while stop < len(texts) and size + len(texts[stop]) <= SLICE:
+                size += len(texts[stop])
+                stop += 1
+            row, h = features(texts[start:stop], known)
+            z[start:stop] += np.bincount(row, weights[h], stop - start)
+            start = stop
         return {"score": 1 / (1 + np.exp(-np.clip(z, -500, 500)))}
 
     return map_texts(docs.select(*keep, F.col("text").alias("_text")), "_text", "score double", score)

@@ -537,6 +537,70 @@ def test_toxicity_learns_a_word(spark):
     assert all((r.score >= 0.7) == (r.doc_id % 5 == 0) for r in held)
 
 
+def plain_cells(text):
+    """Cells of all n-grams of a text, one n-gram after another."""
+    letters = " " + " ".join("".join(c if c.isalpha() else " " for c in text.lower()).split()) + " "
+    letters = letters if letters.strip() else " "
+    cells = set()
+    for size in toxicity.SIZES:
+        for k in range(len(letters) - size + 1):
+            h = size
+            for c in letters[k:k + size]:
+                h = (h * 0x01000193 & 0xFFFFFFFF ^ ord(c)) * 0x9E3779B1 & 0xFFFFFFFF
+                h ^= h >> 15
+            cells.add(h >> 32 - toxicity.BITS)
+    return cells
+
+
+def test_toxicity_by_the_plain_rule(spark):
+    """Shares, ratios, optimum and scores of a small sample, against sets and one dense regression."""
+    rng = np.random.default_rng(18)
+    words = ["".join(rng.choice(list("aeioulmnrst"), 4)) for _ in range(40)]
+    y = np.arange(60) % 3 == 0
+    texts = [" ".join([*rng.choice(words[:30], 12), *rng.choice(words[20:] if toxic else words, 6)]) for toxic in y]
+    model = toxicity.fit(spark.createDataFrame(list(zip(texts, map(int, y), strict=True)), "text string, y int"))
+    apart = np.array([r[0] == 0 for r in spark.createDataFrame([(t,) for t in texts], "text string").select(F.pmod(F.xxhash64("text"), F.lit(toxicity.APART))).collect()])
+    if min(np.sum(apart & y), np.sum(apart & ~y)) < toxicity.LEAST_APART:
+        apart[:] = False
+    held = [plain_cells(t) for t in texts]
+    n = [Counter(c for h, own, out in zip(held, y, apart, strict=True) if own == kind and not out for c in h) for kind in (False, True)]
+    cells = sorted(c for c in n[0] | n[1] if n[0][c] + n[1][c] >= toxicity.LEAST_TEXTS)
+    assert {int(c) for c in np.flatnonzero(model.weights)} <= set(cells)
+    ratio = np.array([np.log((n[1][c] + 1) / (np.sum(y & ~apart) + 2)) - np.log((n[0][c] + 1) / (np.sum(~y & ~apart) + 2)) for c in cells])
+    x = np.array([[c in h for c in cells] for h in held]) * (ratio / np.abs(ratio).max())
+    weigh = np.where(y, 0.5 / y.sum(), 0.5 / (~y).sum())
+
+    def loss(w, b):
+        z = x @ w + b
+        return weigh @ np.logaddexp(0, np.where(y, -z, z)) + toxicity.PENALTY / 2 * w @ w
+
+    fitted = np.divide(model.weights[cells] * np.abs(ratio).max(), ratio, out=np.zeros(len(cells)), where=ratio != 0)
+    assert not apart.any()
+    w, b = np.zeros(len(cells)), 0.0
+    for _ in range(4000):
+        z = x @ w + b
+        g = weigh * (1 / (1 + np.exp(-z)) - y)
+        w, b = w - 2 / x.shape[1] * 8 * (g @ x + toxicity.PENALTY * w), b - 0.02 * g.sum()
+    assert loss(fitted, model.intercept) <= loss(w, b) * 1.05 + 1e-3
+    rows = toxicity.scored(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string"), model).collect()
+    for r in rows:
+        z = sum(float(model.weights[c]) for c in held[r.doc_id]) + model.intercept
+        assert abs(r.score - 1 / (1 + np.exp(-z))) < 1e-4
+
+
+def test_scale_of_the_score():
+    """The fitted slope and shift against a grid; targets are a little inside of 0 and 1."""
+    z = np.concatenate([np.linspace(-9, -1, 50), np.linspace(-1.5, 4, 50)]) - 3
+    y = np.arange(100) >= 50
+    target = np.where(y, 51 / 52, 1 / 52)
+
+    def loss(a, b):
+        return np.mean(np.logaddexp(0, a * z + b) - target * (a * z + b))
+
+    slope, shift = toxicity.platt(y, z)
+    assert loss(slope, shift) <= min(loss(a, b) for a in np.linspace(0, 6, 61) for b in np.linspace(-5, 25, 121)) + 1e-4
+
+
 def test_toxicity_of_awkward_rows(spark, awkward, empty):
     labels = spark.createDataFrame([(5, 1), (7, 0), (7, 0), (8, None), (None, 1)], "doc_id bigint, toxic int")
     for some in (labels, labels.where("toxic = 0"), labels.where("false")):
