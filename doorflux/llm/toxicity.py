@@ -21,11 +21,13 @@ fewer than ``LEAST_APART`` of these texts of a label the weights take the whole
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -39,8 +41,8 @@ APART, LEAST_APART = 4, 10
 ROUNDS, PENALTY = 60, 1e-4
 #: Labelled rows of each label that a fit takes at most.
 FIT_ROWS = 10_000
-#: Tasks that count features of the sample.
-FIT_TASKS = 8
+#: Tasks that count features of the sample, and that return a gradient of it each round.
+FIT_TASKS, GRADIENTS = 8, 4
 #: A feature is kept if it occurs in so many texts.
 LEAST_TEXTS = 5
 THRESHOLD = 0.7
@@ -104,16 +106,16 @@ def fit(sample: DataFrame) -> Model:
                 row, h = features([x or "" for x in batch.column(0).slice(start, stop - start).to_pylist()])
                 for label in (0, 1):
                     total[label] += np.bincount(h[y[row] == bool(label)], minlength=1 << BITS)
-        h = np.flatnonzero(total.sum(axis=0))
-        yield pa.RecordBatch.from_arrays([pa.array(h.astype("i4")), *(pa.array(total[k][h]) for k in (0, 1))], names=["h", "n0", "n1"])
-
-    counts = sample.where("not apart").select("text", "y").mapInArrow(count, "h int, n0 bigint, n1 bigint").groupBy("h").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
-    # at most 2 ** 20 rows, whatever the sample
-    table = counts.where(F.col("n0") + F.col("n1") >= LEAST_TEXTS).orderBy("h").toArrow()
-    n0, n1 = (table[name].to_numpy() for name in ("n0", "n1"))
+        yield pa.RecordBatch.from_arrays([pa.array([zlib.compress(total.astype("<u4"), 1)], pa.binary())], names=["counts"])
+
+    # 2 * 2 ** BITS counts a task, whatever the sample; packed, they need no shuffle
+    total = np.zeros((2, 1 << BITS), "u4")
+    for counts in sample.where("not apart").select("text", "y").mapInArrow(count, "counts binary").toArrow()["counts"]:
+        total += np.frombuffer(zlib.decompress(counts.as_buffer()), "<u4").reshape(2, -1)
+    cells = np.flatnonzero(total.sum(axis=0) >= LEAST_TEXTS).astype("i4")
+    n0, n1 = total[:, cells].astype("i8")
     ratio = np.log((n1 + 1) / (texts_of[1] + 2)) - np.log((n0 + 1) / (texts_of[0] + 2))
     scale = ratio / max(1e-9, np.abs(ratio).max(initial=0))
-    cells = table["h"].to_numpy()
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         place = np.full(1 << BITS, -1, "i4")
@@ -125,7 +127,8 @@ def fit(sample: DataFrame) -> Model:
                 held = [place[h[a:b]].astype("<i4").tobytes() for a, b in zip(bounds, bounds[1:], strict=False)]
                 yield pa.RecordBatch.from_arrays([batch.column(1).slice(start, stop - start), batch.column(2).slice(start, stop - start), pa.array(held, pa.binary())], names=["y", "apart", "held"])
 
-    held = checkpointed(sample.mapInArrow(rows, "y int, apart boolean, held binary"))
+    # in the executors' memory, not written: what is lost is made again from the written sample
+    held = sample.coalesce(GRADIENTS).mapInArrow(rows, "y int, apart boolean, held binary").persist(StorageLevel.MEMORY_AND_DISK)
     inside = held.where("not apart").select("y", "held")
     weighs = 0.5 / np.array(texts_of)
 
@@ -139,6 +142,7 @@ def fit(sample: DataFrame) -> Model:
     if scaled:
         slope, shift = platt(*sums(held.where("apart").select("y", "held"), weights, intercept))
         weights, intercept = weights * slope, intercept * slope + shift
+    held.unpersist()
     full = np.zeros(1 << BITS, "f4")
     full[cells] = weights
     return Model(full, float(intercept))
@@ -155,9 +159,11 @@ def held_slices(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray,
 
 def pass_over(held: DataFrame, weights: np.ndarray, intercept: float, weighs: np.ndarray) -> tuple[float, np.ndarray]:
     """Logistic loss of the rows and its gradient by weights and intercept; the labels weigh alike."""
-    weights = weights.astype("f4")
+    # one of these a round: removed after it, here and on the executors
+    sent = held.sparkSession.sparkContext.broadcast(weights.astype("f4"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        weights = sent.value
         loss, total = 0.0, np.zeros(len(weights) + 1)
         for batch in batches:
             for y, places, row in held_slices(batch):
@@ -169,8 +175,12 @@ def pass_over(held: DataFrame, weights: np.ndarray, intercept: float, weighs: np
                 total[-1] += g.sum()
         yield pa.RecordBatch.from_arrays([pa.array([loss]), pa.array([total.astype("<f4").tobytes()], pa.binary())], names=["loss", "g"])
 
-    parts = held.mapInArrow(run, "loss double, g binary").collect()
-    return sum(r["loss"] for r in parts), np.sum([np.frombuffer(r["g"], "<f4") for r in parts], axis=0, dtype="f8")
+    parts = held.mapInArrow(run, "loss double, g binary").toArrow()
+    sent.destroy()
+    gradient = np.zeros(len(weights) + 1)
+    for g in parts["g"]:
+        gradient += np.frombuffer(g.as_buffer(), "<f4")
+    return sum(parts["loss"].to_pylist()), gradient
 
 
 def sums(held: DataFrame, weights: np.ndarray, intercept: float) -> tuple[np.ndarray, np.ndarray]:
@@ -202,28 +212,36 @@ def platt(y: np.ndarray, z: np.ndarray) -> tuple[float, float]:
     return max(0.0, slope), shift
 
 
-def minimised(objective, x: np.ndarray, rounds: int, least_gain: float = 1e-4, memory: int = 6) -> np.ndarray:
+def minimised(objective, x: np.ndarray, rounds: int, least_gain: float = 1e-4, memory: int = 4) -> np.ndarray:
     """The least point of a smooth convex function by limited-memory BFGS; ends when a round gains little."""
+    # steps and their changes of the gradient, in half the width: the driver holds them all
     steps: list[tuple[np.ndarray, np.ndarray]] = []
     value, gradient = objective(x)
     for _ in range(rounds):
         way, factors = -gradient, []
         for s, d in reversed(steps):
-            factors.append(s @ way / (s @ d))
-            way = way - factors[-1] * d
-        way = way * (steps[-1][0] @ steps[-1][1] / (steps[-1][1] @ steps[-1][1]) if steps else 1 / max(1.0, np.linalg.norm(gradient)))
+            factors.append(float(s @ way) / float(s @ d))
+            way -= np.float32(factors[-1]) * d
+        way *= float(steps[-1][0] @ steps[-1][1]) / float(steps[-1][1] @ steps[-1][1]) if steps else 1 / max(1.0, np.linalg.norm(gradient))
         for (s, d), factor in zip(steps, reversed(factors), strict=True):
-            way = way + s * (factor - d @ way / (s @ d))
-        length = 1.0
-        new, slope = objective(x + way), gradient @ way
+            way += np.float32(factor - float(d @ way) / float(s @ d)) * s
+        length, slope = 1.0, float(gradient @ way)
+        if slope >= 0:
+            break
+        new = objective(x + way)
         while new[0] > value + 1e-4 * length * slope and length > 1e-6:
             length /= 2
             new = objective(x + length * way)
         if new[0] >= value:
             break
-        s, d = length * way, new[1] - gradient
-        steps = [*steps, (s, d)][-memory:] if s @ d > 1e-12 else steps
-        x, gain, (value, gradient) = x + s, value - new[0], new
+        way *= length
+        x = x + way
+        gradient -= new[1]
+        s, d = way.astype("f4"), (-gradient).astype("f4")
+        if s @ d > 1e-12:
+            steps = [*steps[1 - memory:], (s, d)]
+        gain, (value, gradient) = value - new[0], new
+        del way, s, d, new
         if gain < least_gain * value:
             break
     return x
