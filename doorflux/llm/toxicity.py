@@ -42,7 +42,7 @@ ROUNDS, PENALTY = 60, 1e-4
 #: Labelled rows of each label that a fit takes at most.
 FIT_ROWS = 10_000
 #: Tasks that count features of the sample, and that return a gradient of it each round.
-FIT_TASKS, GRADIENTS = 8, 4
+FIT_TASKS, GRADIENTS = 8, 8
 #: A feature is kept if it occurs in so many texts.
 LEAST_TEXTS = 5
 THRESHOLD = 0.7
