@@ -7,7 +7,7 @@ texts; a logistic regression on these values gives the weights. No n-gram of at
 most ``FIT_ROWS`` distinct ones of each label, the same whenever the rows are the same.
 Scoring covers every text.
 
-The sample's features stay on the executors: each round of the regression is one pass
+The sample's features stay on the executors, packed to between one and two bytes each: each round of the regression is one pass
 over them that returns a gradient, at most ``2 ** BITS`` numbers a task. A quarter of the
 sample, by a hash of the text, has no part in counts and weights; slope and intercept of the score are
 fitted on it, since texts that the weights were fitted on score too far from 0.5. With
@@ -46,8 +46,11 @@ FIT_TASKS, GRADIENTS = 8, 8
 #: A feature is kept if it occurs in so many texts.
 LEAST_TEXTS = 5
 THRESHOLD = 0.7
-#: Characters of text, or bytes of features, that a task handles at a time.
-SLICE, HELD_SLICE = 500_000, 8_000_000
+#: A slice of the sample's texts: whether set apart, labels, number of features of each text, their packed places.
+BLOCK = pa.schema([("apart", pa.bool_()), ("y", pa.list_(pa.bool_())), ("lengths", pa.list_(pa.int64())), ("near", pa.binary()), ("far", pa.binary())])
+BLOCK_SQL = "apart boolean, y array<boolean>, lengths array<bigint>, near binary, far binary"
+#: Characters of text that a task handles at a time; their features are one block.
+SLICE = 500_000
 
 
 @dataclass(frozen=True)
@@ -122,14 +125,19 @@ def fit(sample: DataFrame) -> Model:
         place[cells] = np.arange(len(cells), dtype="i4")
         for batch in batches:
             for start, stop in slices(batch.column(0), SLICE):
-                row, h = features([x or "" for x in batch.column(0).slice(start, stop - start).to_pylist()], place >= 0)
-                bounds = np.searchsorted(row, np.arange(stop - start + 1))
-                held = [place[h[a:b]].astype("<i4").tobytes() for a, b in zip(bounds, bounds[1:], strict=False)]
-                yield pa.RecordBatch.from_arrays([batch.column(1).slice(start, stop - start), batch.column(2).slice(start, stop - start), pa.array(held, pa.binary())], names=["y", "apart", "held"])
+                texts, y, aside = (batch.column(c).slice(start, stop - start).to_pylist() for c in range(3))
+                for part in (False, True):
+                    of_part = [k for k, x in enumerate(aside) if x == part]
+                    if of_part:
+                        row, h = features([texts[k] or "" for k in of_part], place >= 0)
+                        lengths = np.bincount(row, minlength=len(of_part))
+                        near, far = packed(place[h])
+                        made = [[part], [[y[k] > 0 for k in of_part]], [lengths], [near], [far]]
+                        yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(made, BLOCK.types, strict=True)], schema=BLOCK)
 
     # in the executors' memory, not written: what is lost is made again from the written sample
-    held = sample.coalesce(GRADIENTS).mapInArrow(rows, "y int, apart boolean, held binary").persist(StorageLevel.MEMORY_AND_DISK)
-    inside = held.where("not apart").select("y", "held")
+    held = sample.coalesce(GRADIENTS).mapInArrow(rows, BLOCK_SQL).persist(StorageLevel.MEMORY_AND_DISK)
+    inside = held.where("not apart").drop("apart")
     weighs = 0.5 / np.array(texts_of)
 
     def objective(x: np.ndarray) -> tuple[float, np.ndarray]:
@@ -140,7 +148,7 @@ def fit(sample: DataFrame) -> Model:
     x = minimised(objective, np.zeros(len(cells) + 1), ROUNDS)
     weights, intercept = x[:-1] * scale, x[-1]
     if scaled:
-        slope, shift = platt(*sums(held.where("apart").select("y", "held"), weights, intercept))
+        slope, shift = platt(*sums(held.where("apart").drop("apart"), weights, intercept))
         weights, intercept = weights * slope, intercept * slope + shift
     held.unpersist()
     full = np.zeros(1 << BITS, "f4")
@@ -148,13 +156,31 @@ def fit(sample: DataFrame) -> Model:
     return Model(full, float(intercept))
 
 
-def held_slices(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """Labels, places of features and the row of each, of slices of (y, held) rows."""
-    for start, stop in slices(batch.column(1), HELD_SLICE):
-        parts = batch.column(1).slice(start, stop - start).to_pylist()
-        places = np.frombuffer(b"".join(parts), "<i4")
-        row = np.repeat(np.arange(len(parts)), [len(x) // 4 for x in parts])
-        yield np.array(batch.column(0).slice(start, stop - start).to_pylist()) > 0, places, row
+def packed(places: np.ndarray) -> tuple[bytes, bytes]:
+    """Steps from one place to the next in two bytes, compressed, and those that need more, each after its position.
+
+    The places of a text rise, so only the step to the next text, and few others, need more.
+    """
+    steps = np.diff(places, prepend=0).astype("i8")
+    far = np.flatnonzero((steps < 0) | (steps > 0xFFFF))
+    return pa.compress(steps.astype("<u2").tobytes(), codec="zstd", asbytes=True), np.stack([far, steps[far]]).astype("<i8").tobytes()
+
+
+def unpacked(near: pa.Buffer | bytes, far: pa.Buffer | bytes, size: int) -> np.ndarray:
+    """The ``size`` places that ``packed`` was given."""
+    steps = np.frombuffer(pa.decompress(near, 2 * size, codec="zstd"), "<u2").astype("i8")
+    at, step = np.frombuffer(far, "<i8").reshape(2, -1)
+    steps[at] = step
+    return np.cumsum(steps, out=steps)
+
+
+def blocks(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Labels, places of features and the row of each, of every block."""
+    for k in range(len(batch)):
+        y, lengths, near, far = (batch.column(c)[k] for c in range(4))
+        lengths = lengths.values.to_numpy()
+        places = unpacked(near.as_buffer(), far.as_buffer(), int(lengths.sum()))
+        yield y.values.to_numpy(zero_copy_only=False), places, np.repeat(np.arange(len(lengths)), lengths)
 
 
 def pass_over(held: DataFrame, weights: np.ndarray, intercept: float, weighs: np.ndarray) -> tuple[float, np.ndarray]:
@@ -166,7 +192,7 @@ def pass_over(held: DataFrame, weights: np.ndarray, intercept: float, weighs: np
         weights = sent.value
         loss, total = 0.0, np.zeros(len(weights) + 1)
         for batch in batches:
-            for y, places, row in held_slices(batch):
+            for y, places, row in blocks(batch):
                 z = np.bincount(row, weights[places], len(y)) + intercept
                 weigh = weighs[y.astype(int)]
                 loss += weigh @ np.logaddexp(0, np.where(y, -z, z))
@@ -189,7 +215,7 @@ def sums(held: DataFrame, weights: np.ndarray, intercept: float) -> tuple[np.nda
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for y, places, row in held_slices(batch):
+            for y, places, row in blocks(batch):
                 z = np.bincount(row, weights[places], len(y)) + intercept
                 yield pa.RecordBatch.from_arrays([pa.array(y.astype("i4")), pa.array(z)], names=["y", "z"])
 
