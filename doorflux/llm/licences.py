@@ -8,6 +8,9 @@ identifiers is then read from the left: the first rule, in the order listed, who
 identifiers follow one another there names a licence and takes them; an identifier that
 no rule takes is left over.
 
+* a name that is denied ("not licensed under …") gives no identifier
+* several rules may fit at one place: the first listed holds, longer ones before shorter
+* an empty table gives an empty result
 * null and empty texts have no sentence and no licence
 * every row is scanned whole, repeated rows each; other columns are ignored
 * sentences without an identifier may stand between those of a rule
@@ -24,7 +27,7 @@ from pyspark.sql import functions as F
 from doorflux.llm.common import map_texts
 
 #: What stands before the name of a licence; "or" and "and" only where "under" came before.
-_LEAD = r"\b(?:under|or|and)(?: either| both)?(?: of)?(?: the)?(?: terms of)?(?: either| both)?(?: of)?(?: the)? "
+_LEAD = r"\b(?:under|governed by|or|and)(?: either| both)?(?: of)?(?: the| an?)?(?: terms of)?(?: either| both)?(?: of)?(?: the)? "
 # What well-known licences say, as expressions over plain sentences.
 SENTENCES = (
     ("spdx", r"spdx license identifier ([a-z0-9.+-]+(?: (?:and|or|with) [a-z0-9.+-]+)*)"),
@@ -33,20 +36,28 @@ SENTENCES = (
     ("mit_notice", r"the above copyright notice and this permission notice (?:\(including the next paragraph\) )?shall be included in"),
     ("as_is", r"the software is provided as is without warranty of any kind"),
     ("no_liability", r"in no event shall the authors or copyright holders be liable"),
+    ("mit_field", r"\blicen[cs]e field (?:the )?(?:mit|expat)\b"),
+    ("isc_name", _LEAD + r"isc licen[cs]e"),
+    ("isc_field", r"\blicen[cs]e field (?:the )?isc\b"),
     ("isc_grant", r"permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted"),
     ("bsd_grant", r"redistribution and use in source and binary forms with or without modification are permitted"),
     ("bsd_source", r"redistributions of source code must retain the above copyright notice"),
     ("bsd_binary", r"redistributions in binary form must reproduce the above copyright notice"),
     ("bsd_advert", r"all advertising materials mentioning features or use of this software"),
     ("bsd_endorse", r"neither the name of .* may be used to endorse or promote products|the names? of .* may not be used to endorse or promote products"),
-    ("bsd_name", _LEAD + r"(?:new |modified |simplified )?(?:([234]) clause )?bsd(?: style)? licen[cs]e"),
+    ("bsd_name", _LEAD + r"(?:new |modified |simplified )?(?:([234])[ -]clause )?bsd(?:[ -]style| ([234])[ -]clause)? licen[cs]e"),
+    ("bsd_field", r"\blicen[cs]e field (?:the )?(?:new |modified |simplified )?(?:([234])[ -]clause )?bsd\b(?:[ -]([234])[ -]clause)?"),
     ("apache_name", _LEAD + r"apache(?: software)?(?: licen[cs]e,?(?: version| v)? ?([0-9.]*[0-9])?| v?([0-9.]*[0-9]) licen[cs]e)"),
+    ("apache_field", r"\blicen[cs]e field (?:the )?apache\b(?: licen[cs]e)?,?(?: version)?[ -]?v?([0-9.]*[0-9])?"),
     ("apache_use", r"you may not use this file except in compliance with the licen[cs]e"),
     ("apache_copy", r"you may obtain a copy of the licen[cs]e at"),
     ("apache_as_is", r"distributed under the license is distributed on an as is basis"),
     ("lgpl_name", r"\bgnu (?:lesser|library) general public licen[cs]e,?(?: as published by the free software foundation)?,?(?: either)?(?: version| v)? ?([0-9.]*[0-9])?"),
     ("agpl_name", r"\bgnu affero general public licen[cs]e,?(?: as published by the free software foundation)?,?(?: either)?(?: version| v)? ?([0-9.]*[0-9])?"),
     ("gpl_name", r"\bgnu general public licen[cs]e,?(?: as published by the free software foundation)?,?(?: either)?(?: version| v)? ?([0-9.]*[0-9])?"),
+    ("lgpl_field", r"\blicen[cs]e field (?:the )?(?:gnu )?lgpl[ -]?v?([0-9.]*[0-9])?"),
+    ("agpl_field", r"\blicen[cs]e field (?:the )?(?:gnu )?agpl[ -]?v?([0-9.]*[0-9])?"),
+    ("gpl_field", r"\blicen[cs]e field (?:the )?(?:gnu )?gpl[ -]?v?([0-9.]*[0-9])?"),
     ("gpl_later", r"\b(?:either )?version ([0-9.]*[0-9]) of the licen[cs]e(?: or at your option any later version)?"),
     ("gpl_warranty", r"without even the implied warranty of merchantability or fitness for a particular purpose"),
     ("lgpl_see", r"see the gnu (?:lesser|library) general public licen[cs]e for more details"),
@@ -59,6 +70,18 @@ SENTENCES = (
     ("epl_name", r"eclipse public licen[cs]e,?(?: version| v)? ?([0-9.]*[0-9])?"),
     ("cc0", r"\bcc0\b|creative commons zero"),
     ("cc_name", r"\b(?:cc|creative commons)[ -](by(?:[ -](?:nc|sa|nd))*)(?: ([0-9.]*[0-9]))?"),
+    ("cc_words", r"\bcreative commons attribution((?:[ -](?:non-?commercial|share ?-?alike|no ?-?deriv(?:ative)?s))*)(?: licen[cs]e)?,?(?: version)?(?: ([0-9.]*[0-9]))?"),
+    ("zlib_name", _LEAD + r"zlib(?: libpng)? licen[cs]e"),
+    ("zlib_field", r"\blicen[cs]e field (?:the )?zlib\b"),
+    ("zlib_as_is", r"this software is provided as-is without any express or implied warranty"),
+    ("zlib_liable", r"in no event will the authors? be held liable for any damages arising from the use of this software"),
+    ("zlib_grant", r"permission is granted to anyone to use this software for any purpose,? including commercial applications,? and to alter it and redistribute it freely"),
+    ("zlib_origin", r"the origin of this software must not be misrepresented"),
+    ("zlib_altered", r"altered source versions must be plainly marked as such"),
+    ("zlib_notice", r"this notice may not be removed or altered from any source distribution"),
+    ("artistic_name", r"\bartistic licen[cs]e,?(?: version| v)? ?([0-9.]*[0-9])?"),
+    ("wtfpl", r"\bwtfpl\b|do what the fuck you want to public licen[cs]e"),
+    ("wtfpl_grant", r"you just do what the fuck you want to"),
     ("unlicense", r"this is free and unencumbered software released into the public domain"),
     ("boost_name", r"boost software licen[cs]e,?(?: version| v)? ?([0-9.]*[0-9])?"),
 )
@@ -79,6 +102,10 @@ RULES = (
     (("mit_grant", "mit_notice", "as_is"), "MIT"),
     (("mit_grant", "mit_notice"), "MIT"),
     (("isc_grant",), "ISC"),
+    (("zlib_as_is", "zlib_liable", "zlib_grant", "zlib_origin", "zlib_altered", "zlib_notice"), "Zlib"),
+    (("zlib_grant", "zlib_origin", "zlib_altered", "zlib_notice"), "Zlib"),
+    (("zlib_as_is", "zlib_liable", "zlib_grant"), "Zlib"),
+    (("zlib_grant",), "Zlib"),
     (("bsd_grant", "bsd_source", "bsd_binary", "bsd_advert", "bsd_endorse"), "BSD-4-Clause"),
     (("bsd_grant", "bsd_source", "bsd_binary", "bsd_endorse"), "BSD-3-Clause"),
     (("bsd_grant", "bsd_source", "bsd_binary"), "BSD-2-Clause"),
@@ -94,21 +121,44 @@ RULES = (
     (("epl_name",), "EPL-*"),
     (("cc0",), "CC0"),
     (("cc_name",), "CC-*"),
+    (("cc_words",), "CC-*"),
+    (("isc_name",), "ISC"),
+    (("zlib_name",), "Zlib"),
+    (("artistic_name",), "Artistic-*"),
+    (("wtfpl", "wtfpl_grant"), "WTFPL"),
+    (("wtfpl",), "WTFPL"),
+    (("wtfpl_grant",), "WTFPL"),
+    (("mit_field",), "MIT"),
+    (("isc_field",), "ISC"),
+    (("zlib_field",), "Zlib"),
+    (("bsd_field",), "BSD-*-Clause"),
+    (("apache_field",), "Apache-*"),
+    (("lgpl_field",), "LGPL-*"),
+    (("agpl_field",), "AGPL-*"),
+    (("gpl_field",), "GPL-*"),
     (("unlicense",), "Unlicense"),
     (("boost_name",), "BSL-*"),
 )
 
 #: A text without any of these has no licence sentence.
-HINTS = ("licen", "permission", "redistribut", "copyright", "warrant", "as is", "mozilla", "creative commons", "cc by", "cc-by", "cc0", "public domain", "endorse", "liable", "advertising")
+HINTS = ("licen", "permission", "redistribut", "copyright", "warrant", "as is", "mozilla", "creative commons", "cc by", "cc-by", "cc0", "public domain", "endorse", "liable", "advertising", "wtfpl", "what the fuck", "misrepresented", "plainly marked", "removed or altered")
 
-_END = re.compile(r"(?<=[.!?;:])(?<!dentifier:)\s+|\n\s*\n|\n(?=\s*(?:[*#/\-]|[0-9a-z]\.\s|\([a-z0-9]\)))")
+_END = re.compile(r"(?<=[.!?;:])(?<!dentifier:)(?<!icen[cs]e:)\s+|\n\s*\n|\n(?=\s*(?:[*#/\-]|[0-9a-z]\.\s|\([a-z0-9]\)))")
 _DROP = re.compile(r"[^\w.+(),\s-]|_")
 _KNOWN = [(name, re.compile(regex)) for name, regex in SENTENCES]
 _LED = frozenset(name for name, regex in SENTENCES if regex.startswith(_LEAD))
 
 
+#: A licence that is named only to say that it does not hold.
+_DENIED = re.compile(r"\b(?:not|never|no longer) (?:be |been )?(?:licen[cs]ed|released|distributed|available|covered|governed)\b(?!.*\b(?:but|instead|rather)\b)|\bnot $")
+#: A licence field, as in a package's description; its colon would be lost.
+_FIELD = re.compile(r"\b(licen[cs]e)[ \t]*:[ \t]*(?=\S)")
+#: What the words of Creative Commons are in its short names.
+_CC_WORDS = (("non", "nc"), ("share", "sa"), ("deriv", "nd"))
+
+
 def plain(sentence: str) -> str:
-    words = _DROP.sub(" ", sentence.lower()).split()
+    words = _DROP.sub(" ", _FIELD.sub(r"\1 field ", sentence.lower())).split()
     # list marks and lone signs at the start say nothing
     while words and re.fullmatch(r"[(]?[0-9a-z]?[.)]|[-+.,()]+", words[0]):
         words.pop(0)
@@ -131,14 +181,19 @@ def sentences(text: str) -> list[tuple[str, str]]:
         taken: list[tuple[str, re.Match]] = []
         for start, order, match in hits:
             name = _KNOWN[order][0]
-            led = name not in _LED or re.search(r"\bunder\b", said[:match.end()])
+            led = name not in _LED or re.search(r"\b(?:under|governed by)\b", said[:match.end()])
+            if name.endswith(("_name", "_words")) and _DENIED.search(said[:start]):
+                continue
             if led and (not taken or start >= taken[-1][1].end()):
                 taken.append((name, match))
         for k, (name, match) in enumerate(taken):
             version = " ".join(g for g in match.groups() if g)
+            if name == "cc_words":
+                words, number = match.group(1), match.group(2) or ""
+                version = " ".join(["by", *(short for word, short in _CC_WORDS if word in words), number]).strip()
             if "gpl" in name or name == "spdx":
                 rest = said[match.start():taken[k + 1][1].start() if k + 1 < len(taken) else None]
-                later = "any later version" in rest or "or later" in said[match.end():match.end() + 12]
+                later = "any later version" in rest or "or later" in said[match.end():match.end() + 12].replace("-", " ")
                 version += "-or-later" * (later and bool(version))
             out.append((name, version))
     return out
@@ -167,7 +222,7 @@ def licences(found: list[tuple[str, str]]) -> tuple[list[str], int]:
                 version = next((v for _, v in found[at:at + len(sequence)] if v), "")
                 if licence == "CC-*":
                     version = re.sub(r"[ -]+", "-", version.upper())
-                name = licence.replace("*", version) if version else licence.replace("-*", "").replace("*", "")
+                name = licence.replace("*", version) if version else licence.split("-*")[0].replace("*", "")
                 out.append(name)
                 at += len(sequence)
                 break

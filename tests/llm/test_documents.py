@@ -9,6 +9,8 @@ from collections import Counter
 import numpy as np
 import pytest
 import xxhash
+from hypothesis import given, settings
+from hypothesis import strategies as st
 
 from doorflux.llm import decontaminate, fingerprint, langid, licences, packing, pii, queries, secret_scan, simhash, toxicity
 from doorflux.llm.common import components, crc_part, table
@@ -159,6 +161,54 @@ def test_licences_of_whole_headers(text, names, ids):
     assert licences.licences(found) == (names, 0)
 
 
+ZLIB = """This software is provided 'as-is', without any express or implied
+warranty. In no event will the authors be held liable for any damages
+arising from the use of this software.
+
+Permission is granted to anyone to use this software for any purpose,
+including commercial applications, and to alter it and redistribute it
+freely, subject to the following restrictions:
+
+1. The origin of this software must not be misrepresented; you must not
+   claim that you wrote the original software.
+2. Altered source versions must be plainly marked as such, and must not be
+   misrepresented as being the original software.
+3. This notice may not be removed or altered from any source distribution."""
+
+
+@pytest.mark.parametrize(("text", "names"), [
+    (ZLIB, ["Zlib"]),
+    ("Licensed under the ISC license.", ["ISC"]),
+    ("License: MIT", ["MIT"]),
+    ("Name: x\nLicense: BSD-3-Clause\nAuthor: y", ["BSD-3-Clause"]),
+    ("License: GPL-3.0-or-later", ["GPL-3.0-or-later"]),
+    ("License: Apache License, Version 2.0", ["Apache-2.0"]),
+    ("It is governed by a BSD-style license.", ["BSD"]),
+    ("Creative Commons Attribution 4.0 International License", ["CC-BY-4.0"]),
+    ("Creative Commons Attribution-NonCommercial-ShareAlike 3.0", ["CC-BY-NC-SA-3.0"]),
+    ("You may use it under the Artistic License 2.0.", ["Artistic-2.0"]),
+    ("DO WHAT THE FUCK YOU WANT TO PUBLIC LICENSE\n\n 0. You just DO WHAT THE FUCK YOU WANT TO.", ["WTFPL"]),
+    ("This is not licensed under the GNU General Public License.", []),
+    ("This is not licensed under the GNU General Public License but under the MIT license.", ["MIT"]),
+    ("It is not under the MIT license.", []),
+])
+def test_licence_families_and_denials(text, names):
+    assert licences.licences(licences.sentences(text)) == (names, 0)
+
+
+@given(st.lists(st.sampled_from([name for name, _ in licences.SENTENCES]), max_size=9))
+@settings(max_examples=200, deadline=None)
+def test_rules_by_the_plain_matcher(names):
+    """At each place the first rule of the list that fits takes its identifiers."""
+    rest, want, left = list(names), [], 0
+    while rest:
+        fits = [rule for rule in licences.RULES if rest[:len(rule[0])] == list(rule[0])]
+        left += not fits
+        want += [fits[0][1].split("-*")[0].replace("*", "")] if fits else []
+        rest = rest[len(fits[0][0]) if fits else 1:]
+    assert licences.licences([(n, "") for n in names]) == (sorted(set(want), key=want.index), left)
+
+
 def test_licence_lines_of_the_documents(spark, sf_dir, docs):
     lines = {"Released under the MIT License.": "MIT", "Licensed under the Apache License, Version 2.0.": "Apache-2.0", "Licensed under CC BY-NC 4.0.": "CC-BY-NC-4.0", "GNU General Public License, version 3": "GPL-3"}
     rows = out(spark, sf_dir, "op2_license_scans")
