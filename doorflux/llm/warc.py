@@ -13,7 +13,9 @@ do, so neither a payload that a third of the pages have nor a repeated row fills
 revisits are made from the digests and move none.
 
 Executors write to the shared folder through pyarrow's file systems. A bundle is known
-by the index only, which Spark commits, so what a lost executor left is never read.
+by the index only, which Spark commits, so what a lost executor left is never read. There are
+as many tasks that write as the payloads' bytes and the cores ask for, not one for each
+partition of the shuffles: each leaves a bundle of its own and files of the index.
 
 * a null payload is empty; a null address is left out of its record
 * null ids are the smallest; rows whose ids are null refer to a record without an id
@@ -48,6 +50,8 @@ VERSION = b"WARC/1.1"
 SAME_PAYLOAD = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 #: Records get this date unless the caller knows when pages were fetched.
 DATE = "1970-01-01T00:00:00Z"
+#: Payload bytes that a task writes, about, if there are more than the cores need.
+TASK_BYTES = 8 << 20
 #: Copies of one row that are numbered in one step.
 COPIES = 10_000
 _INDEX = "record_id string, bundle string, frame int, offset bigint, length bigint"
@@ -194,14 +198,27 @@ def _numbered(rows: DataFrame) -> DataFrame:
     return spread.withColumn("number", F.explode(F.sequence("start", last))).drop("start", "copies")
 
 
-def records(pages: DataFrame, id: str = "page_id", url: str = "url", payload: str = "html", least: int = 0) -> DataFrame:
+def writers(pages: DataFrame, payload: str = "html") -> int:
+    """Tasks that write the bundles: two for each core, or more if the payloads have more bytes."""
+    total = pages.agg(F.sum(F.octet_length(payload))).first()[0] or 0
+    return max(2 * pages.sparkSession.sparkContext.defaultParallelism, -(-total // TASK_BYTES))
+
+
+def records(
+    pages: DataFrame, id: str = "page_id", url: str = "url", payload: str = "html", least: int = 0, tasks: int | None = None
+) -> DataFrame:
     """What to write: page, url, number, same, bytes, payload, first, first_url.
 
     ``page`` is the id as text after a sign, or empty for a null id; ``number`` tells
     copies of a row apart; ``same`` is the payload's SHA-1 and SHA-256; ``payload`` is
     null in revisits; ``first`` and ``first_url`` name the response a revisit refers to and
-    are null in responses. Payloads below ``least`` bytes are all responses.
+    are null in responses. Payloads below ``least`` bytes are all responses. ``tasks``, if given,
+    is the most partitions that each of these kinds of records has; no row moves for it.
     """
+
+    def joined(rows: DataFrame) -> DataFrame:
+        return rows.select(*out) if tasks is None else rows.select(*out).coalesce(tasks)
+
     rows = pages.select(
         F.col(id).alias("id"), F.coalesce(F.concat(F.lit("="), F.col(id).cast("string")), F.lit("")).alias("page"),
         F.col(url).cast("string").alias("url"), F.coalesce(F.col(payload).cast("binary"), F.lit(b"")).alias("payload"),
@@ -219,16 +236,16 @@ def records(pages: DataFrame, id: str = "page_id", url: str = "url", payload: st
         F.first("payload").alias("payload"), F.max("url").alias("url"), F.first("bytes").alias("bytes")
     )
     responses = stored.join(leaders.select("same", F.col("first").alias("page")), ["same", "page"], "left_semi")
-    responses = responses.withColumns({"number": F.lit(0).cast("long"), "first": none, "first_url": none}).select(*out)
+    responses = responses.withColumns({"number": F.lit(0).cast("long"), "first": none, "first_url": none})
     counted = large.groupBy("same", "page", "url", "bytes").agg(F.count(F.lit(1)).alias("copies"))
     is_response = (F.col("page") == F.col("first")) & F.col("url").eqNullSafe(F.col("first_url")) & (F.col("number") == 0)
     revisits = _numbered(counted.join(leaders, "same")).where(~is_response)
-    result = responses.union(revisits.withColumn("payload", F.lit(None).cast("binary")).select(*out))
+    result = joined(responses).union(joined(revisits.withColumn("payload", F.lit(None).cast("binary"))))
     if least > 0:
         small = rows.where(F.col("bytes") < least).groupBy("same", "page", "url", "bytes").agg(
             F.first("payload").alias("payload"), F.count(F.lit(1)).alias("copies")
         )
-        result = result.union(_numbered(small).withColumns({"first": none, "first_url": none}).select(*out))
+        result = result.union(joined(_numbered(small).withColumns({"first": none, "first_url": none})))
     return result
 
 
@@ -339,4 +356,4 @@ def archive(pages: DataFrame, id: str = "page_id", url: str = "url", payload: st
     """Writes the pages to bundles, in ``folder`` or a new one in the shared folder, and returns the index."""
     findable(pages.sparkSession)
     folder = folder or f"{shared_folder(pages.sparkSession)}/warc-{uuid.uuid4().hex}"
-    return write(records(pages, id, url, payload, least), folder)
+    return write(records(pages, id, url, payload, least, writers(pages, payload)), folder)

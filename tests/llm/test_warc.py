@@ -109,6 +109,25 @@ def test_copies_are_numbered_in_steps(spark, monkeypatch):
     assert summary(warc.read(warc.archive(frame(spark, rows))).collect()) == wanted(rows)
 
 
+def test_bundles_are_not_as_many_as_partitions(spark, monkeypatch):
+    rows = [(k, f"http://a/{k}", f"<p>{k % 200}</p>") for k in range(300)]
+    held = {"spark.sql.shuffle.partitions": "90", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in held}
+    try:
+        for k, v in held.items():
+            spark.conf.set(k, v)
+        index = warc.archive(frame(spark, rows))
+        most = 2 * 2 * spark.sparkContext.defaultParallelism  # responses and revisits, two a core
+        assert most < 90 and index.select("bundle").distinct().count() <= most
+        assert index.rdd.getNumPartitions() <= most
+        assert summary(warc.read(index).collect()) == wanted(rows)
+        monkeypatch.setattr(warc, "TASK_BYTES", 50)
+        assert warc.writers(frame(spark, rows)) == -(-sum(len(html) for _, _, html in rows) // 50)
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
 def test_the_query(spark, sf_dir):
     pages = [(r.page_id, r.url, r.html) for r in spark.read.parquet(f"{sf_dir}/pages.parquet").collect()]
     assert summary(QUERIES["op13_warc_bundles"](spark, sf_dir).collect()) == wanted(pages)
