@@ -5,9 +5,8 @@
 2. Terms are weighted by inverse document frequency over all documents. A passage is a
    run of words twice as long as the items of a class of lengths (powers of two); passages
    overlap by half, so each place of a document is in two of each class.
-3. A randomised SVD of the TF-IDF vectors of passages: two passes add up ``A'A X`` for a
-   thin ``X`` on the executors; the driver sees only matrices of terms by dimensions. It is
-   fitted on a sample of documents with about ``FIT_WORDS`` words of the benchmark.
+3. A randomised SVD of the TF-IDF vectors of the passages of all documents: two passes add up
+   ``A'A X`` for a thin ``X`` on the executors; the driver sees only matrices of terms by dimensions.
 4. Cosine search: all passages of all documents against all items in the latent space. A pair is
    a candidate from a cosine of ``COSINE``; one that shares 0.8 of the item's words is a candidate
    without. Tests hold the paraphrases found against a full search: 0.9 at least.
@@ -50,8 +49,12 @@ STRETCH = 1.5
 SHORT = 8
 #: The least cosine of a passage and an item that proposes the pair.
 COSINE = 0.2
-#: Words of the benchmark in the documents that the latent space is fitted on, about.
-FIT_WORDS = 2_000_000
+#: Half a passage of the least class of lengths, a power of two; the others are sums of such halves.
+LEAST_HALF = 16
+#: Halves whose words are added to their terms at a time.
+HALF_BLOCK = 4096
+#: A term that occurs more often in so many halves is added up by a table of counts.
+OFTEN = 128
 #: Items compared with passages at a time.
 ITEM_BLOCK = 2048
 #: Pairs of a block's word and an item that holds it, counted at a time.
@@ -134,8 +137,6 @@ class Space:
     #: (words of half a passage, longest match in words, positions of items)
     classes: list[tuple[int, int, np.ndarray]]
     wide: bool
-    #: Words of the benchmark in all documents.
-    words: int
 
 
 def term_space(encoded: DataFrame, benchmark: Benchmark) -> Space:
@@ -144,28 +145,26 @@ def term_space(encoded: DataFrame, benchmark: Benchmark) -> Space:
     wide = n_terms > 32767
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, docs, words = np.zeros(n_terms, "i8"), 0, 0
+        total, docs = np.zeros(n_terms, "i8"), 0
         for batch in batches:
             docs += batch.num_rows
             for x in batch.column("ids").to_pylist():
-                found = np.frombuffer(x, "<i4" if wide else "<i2")
-                words += len(found)
-                total[np.unique(found)] += 1
+                total[np.unique(np.frombuffer(x, "<i4" if wide else "<i2"))] += 1
         at = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(np.append(at, [-1, -2])), pa.array(np.append(total[at], [docs, words]))], names=["term", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array(np.append(at, [-1])), pa.array(np.append(total[at], [docs]))], names=["term", "n"])
 
     counted = encoded.mapInArrow(count, "term bigint, n bigint").groupBy("term").agg(F.sum("n").alias("n")).toArrow()
-    frequency = np.zeros(n_terms + 2)
+    frequency = np.zeros(n_terms + 1)
     frequency[counted["term"].to_numpy()] = counted["n"].to_numpy()
-    docs, words, frequency = max(1.0, frequency[-1]), int(frequency[-2]), frequency[:-2]
+    docs, frequency = max(1.0, frequency[-1]), frequency[:-1]
     weight = np.log((docs + 1) / (frequency + 1)) + 0.1
     lengths = np.array([len(x) for x in benchmark.items])
-    kinds = np.maximum(4, np.ceil(np.log2(np.maximum(lengths, 1)))).astype(int)
+    kinds = np.maximum(np.log2(LEAST_HALF), np.ceil(np.log2(np.maximum(lengths, 1)))).astype(int)
     classes = []
     for kind in np.unique(kinds):
         members = np.flatnonzero(kinds == kind)
         classes.append((1 << int(kind), 2 * int(np.ceil(STRETCH * lengths[members].max())), members))
-    return Space(weight.astype("f4"), classes, wide, words)
+    return Space(weight.astype("f4"), classes, wide)
 
 
 def _halves(places: np.ndarray, starts: np.ndarray, half: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -249,16 +248,58 @@ def _sharing(
         at = stop
 
 
+def _word_sums(vectors: np.ndarray, terms: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Sums of the vectors of the words of each half: the first words of all halves, then the second ones, and so on."""
+    length = np.diff(np.r_[first, len(terms)])
+    order = np.argsort(-length, kind="stable")
+    heads, out = first[order], np.empty((len(first), vectors.shape[1]), vectors.dtype)
+    sums = vectors[terms[heads]]
+    for k in range(1, length.max(initial=0)):
+        some = heads[:np.searchsorted(-length[order], -k)]
+        sums[:len(some)] += vectors[terms[some + k]]
+    out[order] = sums
+    return out
+
+
+def _spread(total: np.ndarray, terms: np.ndarray, first: np.ndarray, values: np.ndarray) -> None:
+    """Adds the values of each half to the rows of its words in ``total``, a word as often as it occurs."""
+    ends = np.r_[first, len(terms)]
+    for at in range(0, len(first), HALF_BLOCK):
+        bounds, value = ends[at:at + HALF_BLOCK + 1], values[at:at + HALF_BLOCK]
+        half = np.repeat(np.arange(len(value)), np.diff(bounds))
+        some = terms[bounds[0]:bounds[-1]]
+        order = np.argsort(some.astype(np.min_scalar_type(len(total))), kind="stable")
+        found, of = some[order], half[order]
+        heads = np.flatnonzero(np.r_[True, np.diff(found) > 0])
+        times = np.diff(np.r_[heads, len(found)])
+        often = found[heads[times > OFTEN]]
+        if len(often):
+            rank = np.full(len(total), -1)
+            rank[often] = np.arange(len(often))
+            column = rank[some]
+            cells = (half * len(often) + column)[column >= 0]
+            counts = np.bincount(cells, minlength=len(value) * len(often)).reshape(len(value), -1).astype("f4")
+            total[often] += counts.T @ value
+        heads, times = heads[times <= OFTEN], times[times <= OFTEN]
+        by_times = np.argsort(-times, kind="stable")
+        heads, times = heads[by_times], times[by_times]
+        sums = value[of[heads]]
+        for k in range(1, times.max(initial=0)):
+            again = heads[:np.searchsorted(-times, -k)]
+            sums[:len(again)] += value[of[again + k]]
+        total[found[heads]] += sums
+
+
 def _half_sums(
-    vectors: np.ndarray, places: np.ndarray, starts: np.ndarray, halves: list[int]
+    vectors: np.ndarray, terms: np.ndarray, places: np.ndarray, starts: np.ndarray, halves: list[int]
 ) -> dict[int, tuple[np.ndarray, ...]]:
-    """First words, documents, numbers and sums of word vectors of the halves of passages of each size.
+    """First words, documents, numbers and sums of the vectors of the words of the halves of passages of each size.
 
     Sizes are powers of two: those of the larger ones are sums of two of the size before.
     """
-    first, owner, number = _halves(places, starts, min(halves))
-    out, size = {}, min(halves)
-    sums = np.add.reduceat(vectors, first, axis=0) if len(first) else np.zeros((0, vectors.shape[1]), "f4")
+    first, owner, number = _halves(places, starts, LEAST_HALF)
+    out, size = {}, LEAST_HALF
+    sums = _word_sums(vectors, terms, first)
     while True:
         if size in halves:
             out[size] = first, owner, number, sums
@@ -291,43 +332,39 @@ def _proposed(half: tuple[np.ndarray, ...], latent: np.ndarray, blocks: np.ndarr
     return near
 
 
-def fit_sample(encoded: DataFrame, space: Space) -> DataFrame:
-    """Documents that the latent space is fitted on, drawn by the number of the written row."""
-    share = min(1.0, FIT_WORDS / max(1, space.words))
-    draw = F.pmod(F.xxhash64(F.monotonically_increasing_id(), F.lit(4)), F.lit(1 << 20)) / (1 << 20)
-    return encoded.select("ids", "gaps", draw.alias("draw")).where(F.col("draw") < share).drop("draw")
-
-
-def _gram(sampled: DataFrame, space: Space, x: np.ndarray) -> np.ndarray:
+def _gram(encoded: DataFrame, space: Space, x: np.ndarray) -> np.ndarray:
     """``A'A x`` over the TF-IDF vectors of the passages of each length class, each of length 1 or so.
 
     Tasks add up their rows by term; sums are combined in two rounds.
     """
     n_terms, width = x.shape
-    weighted = (space.weight[:, None] * x).astype("f4")
+    # the last column adds up to the squared length of a passage
+    weighted = np.column_stack([space.weight[:, None] * x, space.weight ** 2]).astype("f4")
+    sizes = [half for half, _, _ in space.classes]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        total = np.zeros((n_terms, width), "f4")
+        total = np.zeros((n_terms, width))
         for batch in batches:
             for start in range(0, batch.num_rows, 200):
                 terms, places, starts = _decoded(batch, start, min(start + 200, batch.num_rows), space.wide)
-                order = np.argsort(terms, kind="stable")
-                heads = np.flatnonzero(np.r_[True, np.diff(terms[order]) > 0]) if len(terms) else order
-                for half, _, _ in space.classes:
-                    first, owner, number = _halves(places, starts, half)
-                    if not len(first):
-                        continue
-                    squares = _passages(np.add.reduceat(space.weight[terms] ** 2, first)[:, None], owner, number)
-                    y = _passages(np.add.reduceat(weighted[terms], first, axis=0), owner, number) / squares
+                if not len(terms):
+                    continue
+                halves = _half_sums(weighted, terms, places, starts, [LEAST_HALF, *sizes])
+                least = halves[LEAST_HALF][0]
+                values = np.zeros((len(least), width), "f4")
+                for half in sizes:
+                    first, owner, number, sums = halves[half]
+                    y = _passages(sums, owner, number)
+                    y = y[:, :-1] / y[:, -1:]
                     # a word is in the passage of its half and in that of the half before
                     back = y.copy()
                     if len(y) > 1:
                         before = (owner[1:] == owner[:-1]) & (number[1:] == number[:-1] + 1)
                         back[1:][before] += y[:-1][before]
-                    of_word = np.repeat(np.arange(len(first)), np.diff(np.r_[first, len(terms)]))
-                    total[terms[order][heads]] += np.add.reduceat(back[of_word[order]], heads, axis=0)
+                    values += back[np.searchsorted(first, least, "right") - 1]
+                _spread(total, terms, least, values)
         at = np.flatnonzero(total.any(axis=1))
         task = TaskContext.get().partitionId()
         rows = [r.astype("<f8").tobytes() for r in total[at]]
@@ -344,7 +381,7 @@ def _gram(sampled: DataFrame, space: Space, x: np.ndarray) -> np.ndarray:
 
     schema = "term int, part int, row binary"
     # a task keeps a sum for each term it sees: the terms are the benchmark's, not the corpus'
-    partial = sampled.mapInArrow(run, schema).repartition("term", "part").mapInArrow(add, schema)
+    partial = encoded.select("ids", "gaps").mapInArrow(run, schema).repartition("term", "part").mapInArrow(add, schema)
     summed = partial.repartition("term").mapInArrow(add, schema).toArrow()
     out = np.zeros((n_terms, width))
     for term, row in zip(summed["term"].to_pylist(), summed["row"].to_pylist(), strict=True):
@@ -353,13 +390,12 @@ def _gram(sampled: DataFrame, space: Space, x: np.ndarray) -> np.ndarray:
 
 
 def latent_terms(encoded: DataFrame, space: Space, dimensions: int = DIMENSIONS) -> np.ndarray:
-    """The leading right singular vectors of the sampled passages, one row for each term."""
-    sampled = fit_sample(encoded, space)
+    """The leading right singular vectors of the passages of all documents, one row for each term."""
     n_terms = len(space.weight)
     width = min(n_terms, dimensions + OVERSAMPLE)
     start = np.random.default_rng(4).standard_normal((n_terms, width))
-    basis = np.linalg.qr(_gram(sampled, space, start))[0]
-    small = basis.T @ _gram(sampled, space, basis)
+    basis = np.linalg.qr(_gram(encoded, space, start))[0]
+    small = basis.T @ _gram(encoded, space, basis)
     values, vectors = np.linalg.eigh((small + small.T) / 2)
     return basis @ vectors[:, np.argsort(-values)[:dimensions]]
 
@@ -441,7 +477,7 @@ def contaminated(docs: DataFrame, items: DataFrame, key: str = "doc_id") -> Data
                 stop = min(start + 200, batch.num_rows)
                 terms, places, starts = _decoded(batch, start, stop, wide)
                 best: dict[tuple[int, int], tuple] = {}
-                halves = _half_sums(vectors[terms], places, starts, [half for half, *_ in parts])
+                halves = _half_sums(vectors, terms, places, starts, [half for half, *_ in parts])
                 for half, span, some, posted in parts:
                     first, middle, last = _blocks(places, starts, span)
                     docs_of = np.searchsorted(starts, first, "right") - 1

@@ -447,6 +447,33 @@ def test_exact_passages_of_a_large_benchmark_are_found(spark, sf_dir, docs):
     assert wanted <= {(r.doc_id, r.item_id) for r in rows if r.lcs_share == 1.0}
 
 
+def test_latent_space_is_fitted_on_all_documents(spark):
+    """Against a plain sum over every passage; a sample of two million words would miss subjects that one text has."""
+    rng = np.random.default_rng(6)
+    words = [f"w{k}" for k in range(60)]
+    texts = [[words[k] for k in rng.choice(60, rng.integers(1, 90))] for _ in range(50)]
+    texts += [[words[2 * k], words[2 * k], words[2 * k + 1], "none"] * 30_000 for k in range(30)]
+    asked = [words[:12], words[12:30], words * 2]
+    docs = spark.createDataFrame([(k, " ".join(t)) for k, t in enumerate(texts)], "doc_id bigint, text string")
+    items = spark.createDataFrame([(k, " ".join(t)) for k, t in enumerate(asked)], "item_id bigint, text string")
+    benchmark = decontaminate.load_benchmark(items)
+    encoded = decontaminate.checkpointed(decontaminate.encode(docs, "doc_id", benchmark))
+    space = decontaminate.term_space(encoded, benchmark)
+    assert [half for half, *_ in space.classes] == [16, 32, 128]
+    gram = np.zeros((60, 60))
+    for text in texts:
+        coded = np.array([benchmark.terms.get(w.encode(), -1) for w in text])
+        for half, _, _ in space.classes:
+            counts = np.array([np.bincount(x[x >= 0], minlength=60) for x in (coded[k:k + half] for k in range(0, len(coded), half))], float)
+            counts[:-1] += counts[1:].copy()
+            gram += (counts / (counts @ space.weight ** 2)[:, None]).T @ counts
+    gram *= np.outer(space.weight, space.weight)
+    values, vectors = np.linalg.eigh(gram)
+    assert values[-30] > 10 * values[-31]
+    got = decontaminate.latent_terms(encoded, space, 30)
+    assert np.abs(got @ got.T - vectors[:, -30:] @ vectors[:, -30:].T).max() < 1e-3
+
+
 def test_short_items_and_scripts_without_spaces(spark):
     texts = ["one x two x three x four x five x six", "so one two three four five six it is", "我们说今天天气很好，我们一起去公园散步吧。", "天气"]
     asked = ["one two three four five six", "今天天气很好我们一起去公园散步", " ".join(f"w{k}" for k in range(16))]
