@@ -52,3 +52,20 @@ def test_run_and_empty_input(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").where("false")
     for _, stage in pipeline.STAGES:
         assert stage(spark, docs, sf_dir).count() == 0
+
+
+def test_benchmark_stage_is_fitted_on_all_documents(spark, tmp_path):
+    """Each subject is in one long text; of a space fitted on two million words some are missing, and so are their paraphrases."""
+    asked = [[f"s{k}w{n}" for n in range(40)] for k in range(30)]
+    texts = []
+    for item in asked:
+        passage = list(item)
+        passage[2:30:2] = ["other"] * 14  # 26 of 40 words are left, the last ones among them
+        texts.append(passage + [item[0], item[0], item[1], "none"] * 30_000)
+    texts += [[asked[0][0], asked[0][0], asked[0][1], "none"] * 50, *([f"m{k}"] * 40 for k in range(100))]
+    rows = [(k, " ".join(t), "en", "made", len(t)) for k, t in enumerate(texts)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    items = [(k, " ".join(t)) for k, t in enumerate([*asked, [f"m{k}" for k in range(100)]])]
+    spark.createDataFrame(items, "item_id bigint, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    kept = pipeline.without_benchmark(spark, docs, str(tmp_path)).collect()
+    assert sorted(r.doc_id for r in kept) == list(range(30, 131))
