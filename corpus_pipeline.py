@@ -26,11 +26,11 @@ KEY = "_row_key"
 
 
 def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Learns as the query does, and drops the documents whose score reaches the threshold."""
+    """Learns from all labelled rows of the query's part, and drops the documents whose score reaches the threshold."""
     findable(spark)
     docs = docs.select(*COLUMNS)
     labels = table(spark, sf_dir, "labels")
-    model = toxicity.fit(toxicity.labelled_sample(docs, labels, crc_part("doc_id", 3) != 1))
+    model = toxicity.fit_all(docs, labels, crc_part("doc_id", 3) != 1)
     scored = toxicity.scored(docs, model, COLUMNS)
     return scored.where(F.col("score") < toxicity.THRESHOLD).select(*COLUMNS)
 

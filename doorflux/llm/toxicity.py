@@ -3,15 +3,15 @@
 A feature is the presence of a character n-gram (4, 6 or 8 long, letters and spaces, in lower
 case, hashed). Its value is the log ratio of its shares among toxic and other labelled
 texts; a logistic regression on these values gives the weights. No n-gram of at least
-``LEAST_TEXTS`` texts is left out. The fit takes a bounded sample of the labelled rows, at
-most ``FIT_ROWS`` distinct ones of each label, the same whenever the rows are the same.
+``LEAST_TEXTS`` texts is left out. ``fit_all`` takes all distinct labelled rows, ``labelled_sample``
+draws a bounded sample of them, at most ``FIT_ROWS`` of each label, the same whenever the rows are the same.
 Scoring covers every text.
 
-The sample's features stay on the executors, packed to between one and two bytes each: each round of the regression is one pass
-over them that returns a gradient, at most ``2 ** BITS`` numbers a task. A quarter of the
-sample, by a hash of the text, has no part in counts and weights; slope and intercept of the score are
+The features of the rows to fit stay on the executors, packed to between one and two bytes each: each round of the regression is
+one pass over them that returns a gradient, at most ``2 ** BITS`` numbers a task. A quarter of the
+rows, by a hash of the text, has no part in counts and weights; slope and intercept of the score are
 fitted on it, since texts that the weights were fitted on score too far from 0.5. With
-fewer than ``LEAST_APART`` of these texts of a label the weights take the whole sample.
+fewer than ``LEAST_APART`` of these texts of a label the weights take all rows.
 
 * null and empty texts score as a text without any feature
 * repeated rows are scored each; labels that are null are not learned from
@@ -21,7 +21,6 @@ fewer than ``LEAST_APART`` of these texts of a label the weights take the whole
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -35,22 +34,25 @@ from doorflux.llm import ngrams
 from doorflux.llm.common import checkpointed, drawn, map_texts, row_keys, slices
 
 SIZES, BITS = (4, 6, 8), 20
-#: One in so many texts of the sample fits the scale of the score, if each label has enough of them.
+#: One in so many of the texts to fit sets the scale of the score, if each label has enough of them.
 APART, LEAST_APART = 4, 10
 #: Rounds of the regression at most, and the weight of the squared weights.
 ROUNDS, PENALTY = 60, 1e-4
-#: Labelled rows of each label that a fit takes at most.
+#: Labelled rows of each label that a sample takes at most.
 FIT_ROWS = 10_000
-#: Tasks that count features of the sample, and that return a gradient of it each round.
+#: Tasks that count features and make gradients, at least; counts or gradients that the driver gets at a time, at most.
 FIT_TASKS, GRADIENTS = 8, 8
 #: A feature is kept if it occurs in so many texts.
 LEAST_TEXTS = 5
 THRESHOLD = 0.7
-#: A slice of the sample's texts: whether set apart, labels, number of features of each text, their packed places.
+#: A slice of the texts to fit: whether set apart, labels, number of features of each text, their packed places.
 BLOCK = pa.schema([("apart", pa.bool_()), ("y", pa.list_(pa.bool_())), ("lengths", pa.list_(pa.int64())), ("near", pa.binary()), ("far", pa.binary())])
 BLOCK_SQL = "apart boolean, y array<boolean>, lengths array<bigint>, near binary, far binary"
 #: Characters of text that a task handles at a time; their features are one block.
 SLICE = 500_000
+#: What a task adds to a sum.
+VECTOR = pa.schema([("part", pa.int32()), ("value", pa.float64()), ("vector", pa.binary())])
+VECTOR_SQL = "part int, value double, vector binary"
 
 
 @dataclass(frozen=True)
@@ -83,16 +85,32 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, train: Column, fit_rows:
     Ids and hashes alone are joined with the labels; the chosen ones, as many as ``fit_rows``
     allows however large the tables are, are broadcast to the texts.
     """
-    known = labels.where("toxic is not null").groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("y"))
     rows = docs.where(train).select("doc_id", "text", *row_keys("doc_id", "text"))
-    chosen = drawn(rows.drop("text").join(known, "doc_id"), "y", fit_rows)
+    chosen = drawn(rows.drop("text").join(known_labels(labels), "doc_id"), "y", fit_rows)
     return rows.join(F.broadcast(chosen), ["_h1", "_h2"]).dropDuplicates(["_h1", "_h2"]).select("text", "y")
 
 
-def fit(sample: DataFrame) -> Model:
+def known_labels(labels: DataFrame) -> DataFrame:
+    return labels.where("toxic is not null").groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("y"))
+
+
+def labelled(docs: DataFrame, labels: DataFrame, train: Column) -> DataFrame:
+    """``text`` and ``y`` of all distinct labelled rows."""
+    rows = docs.where(train).select("doc_id", "text", *row_keys("doc_id", "text"))
+    # by the id as well: the join deals rows by it already
+    return rows.join(known_labels(labels), "doc_id").dropDuplicates(["doc_id", "_h1", "_h2"]).select("text", "y")
+
+
+def fit_all(docs: DataFrame, labels: DataFrame, train: Column) -> Model:
+    """The model of all labelled rows; their features are held on the executors' disks."""
+    tasks = max(FIT_TASKS, docs.sparkSession.sparkContext.defaultParallelism)
+    return fit(labelled(docs, labels, train), StorageLevel.DISK_ONLY, tasks)
+
+
+def fit(sample: DataFrame, level: StorageLevel = StorageLevel.MEMORY_AND_DISK, tasks: int = FIT_TASKS) -> Model:
     """Counts features by label, then fits weights and scale, all on the executors."""
     apart = F.pmod(F.xxhash64("text"), F.lit(APART)) == 0
-    sample = checkpointed(sample.select("text", "y", apart.alias("apart")).repartition(FIT_TASKS))  # in turn: equal texts may be many
+    sample = checkpointed(sample.select("text", "y", apart.alias("apart")).repartition(tasks))  # in turn: equal texts may be many
     of = {(r["apart"], r["y"] > 0): r["count"] for r in sample.groupBy("apart", "y").count().collect()}
     scaled = all(of.get((True, y), 0) >= LEAST_APART and of.get((False, y), 0) for y in (False, True))
     if not scaled:
@@ -109,12 +127,11 @@ def fit(sample: DataFrame) -> Model:
                 row, h = features([x or "" for x in batch.column(0).slice(start, stop - start).to_pylist()])
                 for label in (0, 1):
                     total[label] += np.bincount(h[y[row] == bool(label)], minlength=1 << BITS)
-        yield pa.RecordBatch.from_arrays([pa.array([zlib.compress(total.astype("<u4"), 1)], pa.binary())], names=["counts"])
+        yield vector(0, total.ravel().astype("<u4"))
 
-    # 2 * 2 ** BITS counts a task, whatever the sample; packed, they need no shuffle
-    total = np.zeros((2, 1 << BITS), "u4")
-    for counts in sample.where("not apart").select("text", "y").mapInArrow(count, "counts binary").toArrow()["counts"]:
-        total += np.frombuffer(zlib.decompress(counts.as_buffer()), "<u4").reshape(2, -1)
+    # 2 * 2 ** BITS counts a task, whatever the texts; packed, those of a few tasks need no shuffle
+    counted = sample.where("not apart").select("text", "y").mapInArrow(count, VECTOR_SQL)
+    total = added(counted, 2 << BITS, "<u4", tasks)[1].reshape(2, -1)
     cells = np.flatnonzero(total.sum(axis=0) >= LEAST_TEXTS).astype("i4")
     n0, n1 = total[:, cells].astype("i8")
     ratio = np.log((n1 + 1) / (texts_of[1] + 2)) - np.log((n0 + 1) / (texts_of[0] + 2))
@@ -135,20 +152,21 @@ def fit(sample: DataFrame) -> Model:
                         made = [[part], [[y[k] > 0 for k in of_part]], [lengths], [near], [far]]
                         yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(made, BLOCK.types, strict=True)], schema=BLOCK)
 
-    # in the executors' memory, not written: what is lost is made again from the written sample
-    held = sample.coalesce(GRADIENTS).mapInArrow(rows, BLOCK_SQL).persist(StorageLevel.MEMORY_AND_DISK)
+    # by the executors, not in the shared folder: what is lost is made again from the written texts
+    held = sample.mapInArrow(rows, BLOCK_SQL).persist(level)
     inside = held.where("not apart").drop("apart")
     weighs = 0.5 / np.array(texts_of)
 
     def objective(x: np.ndarray) -> tuple[float, np.ndarray]:
-        value, gradient = pass_over(inside, x[:-1] * scale, x[-1], weighs)
+        value, gradient = pass_over(inside, x[:-1] * scale, x[-1], weighs, tasks)
         gradient[:-1] = gradient[:-1] * scale + PENALTY * x[:-1]
         return value + PENALTY / 2 * (x[:-1] @ x[:-1]), gradient
 
     x = minimised(objective, np.zeros(len(cells) + 1), ROUNDS)
     weights, intercept = x[:-1] * scale, x[-1]
     if scaled:
-        slope, shift = platt(*sums(held.where("apart").drop("apart"), weights, intercept))
+        n = np.array([of[True, y] for y in (False, True)])
+        slope, shift = platt_over(sums(held.where("apart").drop("apart"), weights, intercept), n)
         weights, intercept = weights * slope, intercept * slope + shift
     held.unpersist()
     full = np.zeros(1 << BITS, "f4")
@@ -183,7 +201,39 @@ def blocks(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray, np.n
         yield y.values.to_numpy(zero_copy_only=False), places, np.repeat(np.arange(len(lengths)), lengths)
 
 
-def pass_over(held: DataFrame, weights: np.ndarray, intercept: float, weighs: np.ndarray) -> tuple[float, np.ndarray]:
+def vector(value: float, numbers: np.ndarray) -> pa.RecordBatch:
+    """What a task adds to a sum: its part of ``GRADIENTS``, a number, and numbers of four bytes, compressed."""
+    from pyspark import TaskContext
+
+    part = TaskContext.get().partitionId() % GRADIENTS
+    made = [[part], [float(value)], [pa.compress(numbers.tobytes(), codec="zstd", asbytes=True)]]
+    return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(made, VECTOR.types, strict=True)], schema=VECTOR)
+
+
+def added(rows: DataFrame, size: int, kind: str, tasks: int) -> tuple[float, np.ndarray]:
+    """Sums of what the tasks return, ``size`` numbers; what many return is added up by part on the executors first."""
+
+    def numbers(x: pa.BinaryScalar) -> np.ndarray:
+        return np.frombuffer(pa.decompress(x.as_buffer(), 4 * size, codec="zstd"), kind)
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        value, total = 0.0, np.zeros(size, "f8" if kind == "<f4" else kind)
+        for batch in batches:
+            value += sum(batch.column(1).to_pylist())
+            for x in batch.column(2):
+                total += numbers(x)
+        yield vector(value, total.astype(kind))
+
+    if tasks > GRADIENTS:
+        rows = rows.repartition(GRADIENTS, "part").mapInArrow(add, VECTOR_SQL)
+    parts = rows.toArrow()
+    total = np.zeros(size, "f8" if kind == "<f4" else kind)
+    for x in parts["vector"]:
+        total += numbers(x)
+    return sum(parts["value"].to_pylist()), total
+
+
+def pass_over(held: DataFrame, weights: np.ndarray, intercept: float, weighs: np.ndarray, tasks: int) -> tuple[float, np.ndarray]:
     """Logistic loss of the rows and its gradient by weights and intercept; the labels weigh alike."""
     # one of these a round: removed after it, here and on the executors
     sent = held.sparkSession.sparkContext.broadcast(weights.astype("f4"))
@@ -199,40 +249,64 @@ def pass_over(held: DataFrame, weights: np.ndarray, intercept: float, weighs: np
                 g = weigh * (1 / (1 + np.exp(-np.clip(z, -50, 50))) - y)
                 total[:-1] += np.bincount(places, g[row], len(weights))
                 total[-1] += g.sum()
-        yield pa.RecordBatch.from_arrays([pa.array([loss]), pa.array([total.astype("<f4").tobytes()], pa.binary())], names=["loss", "g"])
+        yield vector(loss, total.astype("<f4"))
 
-    parts = held.mapInArrow(run, "loss double, g binary").toArrow()
+    loss, gradient = added(held.mapInArrow(run, VECTOR_SQL), len(weights) + 1, "<f4", tasks)
     sent.destroy()
-    gradient = np.zeros(len(weights) + 1)
-    for g in parts["g"]:
-        gradient += np.frombuffer(g.as_buffer(), "<f4")
-    return sum(parts["loss"].to_pylist()), gradient
+    return loss, gradient
 
 
-def sums(held: DataFrame, weights: np.ndarray, intercept: float) -> tuple[np.ndarray, np.ndarray]:
-    """Labels and weighted sums of the rows, two numbers a row of the bounded sample."""
+def sums(held: DataFrame, weights: np.ndarray, intercept: float) -> DataFrame:
+    """Labels ``y`` and weighted sums ``z`` of the rows."""
     weights = weights.astype("f4")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for y, places, row in blocks(batch):
                 z = np.bincount(row, weights[places], len(y)) + intercept
-                yield pa.RecordBatch.from_arrays([pa.array(y.astype("i4")), pa.array(z)], names=["y", "z"])
+                yield pa.RecordBatch.from_arrays([pa.array(y), pa.array(z)], names=["y", "z"])
 
-    table = held.mapInArrow(run, "y int, z double").toArrow()
-    return table["y"].to_numpy() > 0, table["z"].to_numpy()
+    return held.mapInArrow(run, "y boolean, z double")
+
+
+def misfit(y: np.ndarray, z: np.ndarray, x: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Loss of the scores by slope and shift ``x``, and its gradient; ``n`` rows of each label, which weigh alike."""
+    weigh = (0.5 / n)[y.astype(int)]
+    target = np.where(y, (n[1] + 1) / (n[1] + 2), 1 / (n[0] + 2))
+    s = x[0] * z + x[1]
+    g = weigh * (1 / (1 + np.exp(-np.clip(s, -50, 50))) - target)
+    return np.array([weigh @ (np.logaddexp(0, s) - target * s), g @ z, g.sum()])
 
 
 def platt(y: np.ndarray, z: np.ndarray) -> tuple[float, float]:
     """Slope (not below 0) and shift that make a score of ``z``; the labels weigh alike."""
     n = np.array([np.sum(~y), np.sum(y)])
-    weigh = (0.5 / n)[y.astype(int)]
-    target = np.where(y, (n[1] + 1) / (n[1] + 2), 1 / (n[0] + 2))
+    return least_misfit(lambda x: misfit(y, z, x, n))
+
+
+def platt_over(scores: DataFrame, n: np.ndarray) -> tuple[float, float]:
+    """``platt`` of rows that stay on the executors."""
+    scores = scores.persist()
+
+    def total(x: np.ndarray) -> np.ndarray:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            value = np.zeros(3)
+            for batch in batches:
+                value += misfit(batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).to_numpy(), x, n)
+            yield pa.RecordBatch.from_arrays([pa.array([v]) for v in value], names=["loss", "slope", "shift"])
+
+        parts = scores.mapInArrow(run, "loss double, slope double, shift double").toArrow()
+        return np.array([sum(parts[c].to_pylist()) for c in range(3)])
+
+    slope, shift = least_misfit(total)
+    scores.unpersist()
+    return slope, shift
+
 
+def least_misfit(misfit_of) -> tuple[float, float]:
     def objective(x: np.ndarray) -> tuple[float, np.ndarray]:
-        s = x[0] * z + x[1]
-        g = weigh * (1 / (1 + np.exp(-np.clip(s, -50, 50))) - target)
-        return weigh @ (np.logaddexp(0, s) - target * s), np.array([g @ z, g.sum()])
+        found = misfit_of(x)
+        return float(found[0]), found[1:]
 
     slope, shift = minimised(objective, np.array([1.0, 0.0]), 200, 1e-9)
     return max(0.0, slope), shift

@@ -15,6 +15,7 @@ from hypothesis import strategies as st
 from doorflux.llm import decontaminate, fingerprint, langid, licences, packing, pii, queries, secret_scan, simhash, toxicity
 from doorflux.llm.common import components, crc_part, table
 from doorflux.llm.queries import QUERIES, VOCABULARY
+from pyspark import StorageLevel
 from pyspark.sql import functions as F
 
 SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint, range int, guest boolean, fp string, score int, found string, __key string, kinds string, y int, h int"
@@ -678,6 +679,20 @@ def test_scale_of_the_score():
     assert loss(slope, shift) <= min(loss(a, b) for a in np.linspace(0, 6, 61) for b in np.linspace(-5, 25, 121)) + 1e-4
 
 
+def test_toxicity_by_many_tasks(spark):
+    """Counts and gradients that are added up on the executors first make the same model; repeated rows count once."""
+    rng = np.random.default_rng(31)
+    words = ["".join(x) for x in rng.choice(list("aeioulmnrst"), (200, 5))]
+    rows = [(k, " ".join(rng.choice(words[: 120] if k % 4 else words[80:], 30))) for k in range(400)]
+    docs = spark.createDataFrame(rows + rows[:100], "doc_id bigint, text string")
+    labels = spark.createDataFrame([(k, int(k % 4 == 0)) for k in range(400)] * 2 + [(None, 1)], "doc_id bigint, toxic int")
+    some = toxicity.labelled(docs, labels, F.lit(True))
+    assert sorted((r.text, r.y) for r in some.collect()) == sorted((t, int(k % 4 == 0)) for k, t in rows)
+    few, many = toxicity.fit(some), toxicity.fit(some, StorageLevel.DISK_ONLY, 3 * toxicity.GRADIENTS + 1)
+    one, other = ({r.doc_id: r.score for r in toxicity.scored(docs, m).collect()} for m in (few, many))
+    assert max(abs(one[k] - other[k]) for k in one) < 0.01 and np.ptp(list(one.values())) > 0.5
+
+
 def test_toxicity_of_awkward_rows(spark, awkward, empty):
     labels = spark.createDataFrame([(5, 1), (7, 0), (7, 0), (8, None), (None, 1)], "doc_id bigint, toxic int")
     for some in (labels, labels.where("toxic = 0"), labels.where("false")):

@@ -1,5 +1,7 @@
 """The pipeline, stage by stage, against brute force on the small tables."""
 
+import numpy as np
+
 import corpus_pipeline as pipeline
 from doorflux.llm import decontaminate, secret_scan
 from doorflux.llm.common import table
@@ -69,3 +71,16 @@ def test_benchmark_stage_is_fitted_on_all_documents(spark, tmp_path):
     spark.createDataFrame(items, "item_id bigint, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
     kept = pipeline.without_benchmark(spark, docs, str(tmp_path)).collect()
     assert sorted(r.doc_id for r in kept) == list(range(30, 131))
+
+
+def test_toxicity_stage_learns_from_all_labelled_rows(spark, tmp_path):
+    """Each subject has 18 rows, about 9 to count: enough for a feature, but too few in a sample of 10,000 rows of a label."""
+    rng = np.random.default_rng(30)
+    letters = np.array(list("abcdefghijklmnopqrstuvwxyz"))
+    subjects = ["".join(x) for x in rng.choice(letters, (5000, 12))]
+    common = ["".join(x) for x in rng.choice(letters, (300, 3))]
+    rows = [(k, f"{common[rng.integers(300)]} {subjects[k % 5000]} {common[rng.integers(300)]}") for k in range(90_000)]
+    docs = spark.createDataFrame([(k, t, "en", "made", len(t)) for k, t in rows], "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    spark.createDataFrame([(k, k % 2) for k, _ in rows], "doc_id bigint, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    kept = np.array([r.doc_id for r in pipeline.without_toxic(spark, docs, str(tmp_path)).select("doc_id").collect()])
+    assert np.sum(kept % 2) < 0.05 * 45_000 and np.sum(kept % 2 == 0) > 0.95 * 45_000
