@@ -4,7 +4,8 @@ Addresses, numbers and dates are found by their form and validated (check digits
 ranges, calendar). A valid one is replaced by another of the same form: a keyed Feistel
 network permutes the numbers of its kind, so equal values get equal pseudonyms in all
 documents, different ones differ, and who holds the key can go back. Signs, spaces and
-letter case of the original stay.
+letter case of the original stay. Time goes with the length of the texts, also where an
+address is very long.
 
 * null and empty texts come back as empty, with no span
 * every row is treated whole, repeated rows each and alike
@@ -17,9 +18,13 @@ from __future__ import annotations
 import calendar
 import datetime as dt
 import hashlib
+import math
 import re
+import sys
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -31,8 +36,22 @@ KINDS = ("email", "card", "iban", "phone", "ssn", "ip", "date")
 FIRST_DAY, LAST_DAY = dt.date(1900, 1, 1), dt.date(2099, 12, 31)
 
 _LOWER, _DIGITS = "abcdefghijklmnopqrstuvwxyz", "0123456789"
+_ALPHABETS = {c: _DIGITS for c in _DIGITS} | {c: _LOWER for c in _LOWER + _LOWER.upper()}
+#: What a worker remembers of values and forms; both come again and again.
+VALUES, KEYED = 1 << 16, 1 << 12
 
 
+@lru_cache(KEYED)
+def _halves(size: int, key: bytes, kind: str) -> tuple[int, int, hashlib.blake2b]:
+    """The sizes of the halves, and the hash that each turn goes on from."""
+    left_size = math.isqrt(size - 1) + 1
+    if size <= sys.float_info.max:
+        # the root as a float may be larger; pseudonyms stay as they were made with it
+        left_size = max(left_size, int(size**0.5))
+    return left_size, -(-size // left_size), hashlib.blake2b(f"{kind}:{size}:".encode(), key=key, digest_size=16)
+
+
+@lru_cache(VALUES)
 def permuted(value: int, size: int, key: bytes, kind: str, back: bool = False) -> int:
     """Where a keyed permutation of 0 .. size - 1 takes ``value``; ``back`` undoes it.
 
@@ -41,15 +60,12 @@ def permuted(value: int, size: int, key: bytes, kind: str, back: bool = False) -
     """
     if size < 2:
         return value
-    left_size = int(size**0.5)
-    while left_size * left_size < size:
-        left_size += 1
-    right_size = -(-size // left_size)
-    tweak = f"{kind}:{size}:".encode()
+    left_size, right_size, keyed = _halves(size, key, kind)
 
     def turn(k: int, half: int, most: int) -> int:
-        digest = hashlib.blake2b(b"%s%d:%d" % (tweak, k, half), key=key, digest_size=16).digest()
-        return int.from_bytes(digest) % most
+        digest = keyed.copy()
+        digest.update(b"%d:%d" % (k, half))
+        return int.from_bytes(digest.digest()) % most
 
     while True:
         left, right = divmod(value, right_size)
@@ -64,22 +80,40 @@ def permuted(value: int, size: int, key: bytes, kind: str, back: bool = False) -
             return value
 
 
-def _alphabet(char: str) -> str | None:
-    return _DIGITS if char in _DIGITS else _LOWER if char.lower() in _LOWER and char.isascii() and char.isalpha() else None
+def _permuted_places(values: list[int], sizes: list[int], key: bytes, kind: str, back: bool) -> list[int]:
+    """The same for many small numbers at once, each below its size: the halves are those of the list."""
+    half = len(values) // 2
+    parts = [np.array(values[:half]), np.array(values[half:])]
+    mosts = [np.array(sizes[:half]), np.array(sizes[half:])]
+    for k in reversed(range(ROUNDS)) if back else range(ROUNDS):
+        side = k % 2
+        seed = hashlib.blake2b(f"{kind}:{k}:".encode() + parts[1 - side].astype("u1").tobytes(), key=key).digest()
+        stream = np.frombuffer(hashlib.shake_256(seed).digest(4 * len(parts[side])), "<u4").astype("i8")
+        parts[side] = (parts[side] + (-stream if back else stream)) % mosts[side]
+    return [*parts[0].tolist(), *parts[1].tolist()]
 
 
 def permuted_text(text: str, key: bytes, kind: str, back: bool = False) -> str:
-    """Letters become letters of the same case, digits digits; all else stays."""
-    places = [(i, a) for i, c in enumerate(text) if (a := _alphabet(c))]
-    value, size = 0, 1
-    for i, a in places:
-        value, size = value * len(a) + a.index(text[i].lower()), size * len(a)
+    """Letters become letters of the same case, digits digits; all else stays.
+
+    A text is one number; one of too many letters for a float, 218 and more, is a list of small ones.
+    """
+    places = [(i, a) for i, c in enumerate(text) if (a := _ALPHABETS.get(c))]
     # values of another form are other values, also if there are as many of them
     form = "".join("9" if a is _DIGITS else "a" for _, a in places)
-    value = permuted(value, size, key, f"{kind}:{form}", back)
+    values = [a.index(text[i].lower()) for i, a in places]
+    size = math.prod(len(a) for _, a in places[:sys.float_info.max_10_exp + 1])
+    if size > sys.float_info.max:
+        values = _permuted_places(values, [len(a) for _, a in places], key, f"{kind}:{form}", back)
+    else:
+        value = 0
+        for (_, a), rest in zip(places, values, strict=True):
+            value = value * len(a) + rest
+        value = permuted(value, size, key, f"{kind}:{form}", back)
+        for k in reversed(range(len(places))):
+            value, values[k] = divmod(value, len(places[k][1]))
     out = list(text)
-    for i, a in reversed(places):
-        value, rest = divmod(value, len(a))
+    for (i, a), rest in zip(places, values, strict=True):
         out[i] = a[rest].upper() if text[i].isupper() else a[rest]
     return "".join(out)
 
@@ -185,18 +219,20 @@ def _date(m: re.Match, key: bytes, back: bool) -> str | None:
     return texts[0] + parts[1] + texts[1] + parts[3] + texts[2]
 
 
-# The forms that are looked for.
+# The forms that are looked for. What may not stand before them is asked
+# after their first sign, as a search passes over all other signs fast.
 FORMS: dict[str, tuple[str, Callable]] = {
     "email": (r"[A-Za-z0-9._%+-]+@[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?(?:\.[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?)*\.[A-Za-z]{2,}", _email),
-    "card": (r"(?<![\d-])(?<!\d\.)(?:\d{13,19}|\d{4}(?:[ -]\d{4}){3}|\d{4}[ -]\d{6}[ -]\d{5})(?![\d-])", _card),
-    "iban": (r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])", _iban),
-    "phone": (r"(?<![\w+.-])(?:\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{2,4}(?:[ .-]?\d{2,4}){1,4}|\(\d{3}\) ?\d{3}[ .-]\d{4}|\d{3}[.-]\d{3}[.-]\d{4})(?![\d-])", _phone),
-    "ssn": (r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])", _ssn),
-    "ip": (r"(?<![\d.])\d{1,3}(?:\.\d{1,3}){3}(?!\.?\d)", _ip),
-    "date": (r"(?<![\d./-])(?:\d{4}-\d{1,2}-\d{1,2}|\d{1,2}/\d{1,2}/\d{4}|\d{1,2}\.\d{1,2}\.\d{4})(?![\d/-]|\.\d)", _date),
+    "card": (r"\d(?<![\d-]\d)(?<!\d\.\d)(?:\d{12,18}|\d{3}(?:[ -]\d{4}){3}|\d{3}[ -]\d{6}[ -]\d{5})(?![\d-])", _card),
+    "iban": (r"[A-Z](?<![A-Za-z0-9][A-Z])[A-Z]\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])", _iban),
+    "phone": (r"[+(\d](?<![\w+.-][+(\d])(?:(?<=\+)\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{2,4}(?:[ .-]?\d{2,4}){1,4}|(?<=\()\d{3}\) ?\d{3}[ .-]\d{4}|(?<=\d)\d{2}[.-]\d{3}[.-]\d{4})(?![\d-])", _phone),
+    "ssn": (r"\d(?<![\d-]\d)\d{2}-\d{2}-\d{4}(?![\d-])", _ssn),
+    "ip": (r"\d(?<![\d.]\d)\d{0,2}(?:\.\d{1,3}){3}(?!\.?\d)", _ip),
+    "date": (r"\d(?<![\d./-]\d)(?:\d{3}-\d{1,2}-\d{1,2}|\d?/\d{1,2}/\d{4}|\d?\.\d{1,2}\.\d{4})(?![\d/-]|\.\d)", _date),
 }
 _FORMS = {kind: (re.compile(regex, re.ASCII), make) for kind, (regex, make) in FORMS.items()}
-_HINT = re.compile("[0-9@]")
+#: A text without any of these has no value.
+_HINTS = "@" + _DIGITS
 
 
 _LOCAL = frozenset(b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-".decode())
@@ -218,7 +254,7 @@ def _addresses(regex: re.Pattern, text: str) -> Iterator[re.Match]:
 
 def pseudonymised(text: str, key: bytes, back: bool = False) -> tuple[str, list[tuple[str, int, int]]]:
     """The text with its values replaced, and kind, start and end of each in the original."""
-    if not _HINT.search(text):
+    if not any(sign in text for sign in _HINTS):
         return text, []
     found = []
     for order, (kind, (regex, make)) in enumerate(_FORMS.items()):

@@ -2,9 +2,12 @@
 
 import hashlib
 import re
+import subprocess
+import sys
 import time
 import zlib
 from collections import Counter
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -865,6 +868,64 @@ def test_permutations():
         assert [pii.permuted(k, size, KEY, "t", back=True) for k in made] == list(range(size))
 
 
+def test_long_addresses_end():
+    """Of any length; before, the root of some sizes was looked for in steps of one, without an end."""
+    run = """if True:
+        from doorflux.llm import pii
+        for n in (*range(1, 225), 1000, 100_000):
+            for head in ("b" * n, ("Xy7." * n)[:n - 1] + "z"):
+                text = f"See {head}@host7.org, again {head}@host7.org."
+                new, spans = pii.pseudonymised(text, b"a key")
+                assert head not in new and [text[a:b] for _, a, b in spans] == [f"{head}@host7.org"] * 2
+                assert pii.pseudonymised(new, b"a key", back=True)[0] == text
+    """
+    subprocess.run([sys.executable, "-c", run], cwd=Path(pii.__file__).parents[2], timeout=60, check=True)
+
+
+def test_pseudonyms_stay_as_they_were():
+    """Values that an earlier version made, some where the root as a float is larger than the root."""
+    for value, made in (
+        ("abcdefghijklmnopqrstuvwx@b.org", "woafnqwqfovbpetrnjhpqzis@y.org"),
+        ("Christopher.Montgomery42@int-business.com", "Zvwffzfvysd.Ryopiaogvc15@qbs-hfswrthi.com"),
+        ("abcdefghijklmnopqrstuvwxyzabc@b.org", "uawxbsfetsbmuzprmcfcysnxaukzk@k.org"),
+        ("abcdefghijklmnopqrstuvwxyzabcdefghi@b.org", "lncsylxllqvswxzkjbxmrspbmiccpyzhcxs@t.org"),
+        ("MT84MALT011000012345MTLCAST001S", "MT48MARC953078383584DTOSQMW739H"), ("12/25/2020", "03/19/1988"),
+    ):
+        assert pii.pseudonymised(value, KEY)[0] == made and pii.pseudonymised(made, KEY, back=True)[0] == value
+
+
+def test_permutations_of_places():
+    sizes = [3, 10, 26]
+    values = [[a, b, c] for a in range(3) for b in range(10) for c in range(26)]
+    made = [pii._permuted_places(x, sizes, KEY, "t", False) for x in values]
+    assert sorted(made) == values and made != values
+    assert [pii._permuted_places(x, sizes, KEY, "t", True) for x in made] == values
+
+
+PLAIN_FORMS = {
+    "card": r"(?<![\d-])(?<!\d\.)(?:\d{13,19}|\d{4}(?:[ -]\d{4}){3}|\d{4}[ -]\d{6}[ -]\d{5})(?![\d-])",
+    "iban": r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
+    "phone": r"(?<![\w+.-])(?:\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{2,4}(?:[ .-]?\d{2,4}){1,4}|\(\d{3}\) ?\d{3}[ .-]\d{4}|\d{3}[.-]\d{3}[.-]\d{4})(?![\d-])",
+    "ssn": r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])",
+    "ip": r"(?<![\d.])\d{1,3}(?:\.\d{1,3}){3}(?!\.?\d)",
+    "date": r"(?<![\d./-])(?:\d{4}-\d{1,2}-\d{1,2}|\d{1,2}/\d{1,2}/\d{4}|\d{1,2}\.\d{1,2}\.\d{4})(?![\d/-]|\.\d)",
+}
+
+
+@given(st.lists(st.sampled_from([*PRIVATE, *PUBLIC, *"0123456789+-. ()/@AZaz_é"]), max_size=20).map("".join))
+@settings(max_examples=500, deadline=None)
+def test_forms_find_what_plain_ones_do(text):
+    for kind, plain in PLAIN_FORMS.items():
+        assert [m.span() for m in pii._FORMS[kind][0].finditer(text)] == [m.span() for m in re.finditer(plain, text, re.ASCII)]
+
+
+def test_long_addresses_in_rows(spark):
+    texts = [None, "", "See " + "long" * 70 + "@host.org.", "token" * 1000 + "@host.org", "none"]
+    rows = pii.protect(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string"), KEY).orderBy("doc_id").collect()
+    assert [r.n_values for r in rows] == [0, 0, 1, 1, 0] and [r.spans for r in rows][2:4] == ["email:4:293", "email:0:5009"]
+    assert [pii.pseudonymised(r.text, KEY, back=True)[0] for r in rows] == [t or "" for t in texts]
+
+
 def test_personal_data(spark, sf_dir, docs, awkward, empty):
     rows = out(spark, sf_dir, "op10_pii_pseudonyms")
     assert sorted(r.doc_id for r in rows) == sorted(docs)
